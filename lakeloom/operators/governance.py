@@ -60,11 +60,20 @@ def role_closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
         """, nodes=nodes, edges=edges.select("holder", "member"))
 
 
+def closure_map(spark: SparkSession, gov: Governance) -> dict[str, set[str]]:
+    """role -> roles in its closure, resolved once per config (config-sized)."""
+    cached = gov.__dict__.get("_closure")
+    if cached is None:
+        cached = {}
+        for r in role_closure(spark, role_edges(gov)).collect():
+            cached.setdefault(r.role, set()).add(r.member)
+        gov.__dict__["_closure"] = cached
+    return cached
+
+
 def roles_of(spark: SparkSession, gov: Governance, role: str) -> set[str]:
     """Roles in session when ``role`` is active (its closure)."""
-    closure = role_closure(spark, role_edges(gov))
-    rows = closure.where(F.col("role") == role.upper()).select("member").collect()
-    return {r.member for r in rows} | {role.upper()}
+    return closure_map(spark, gov).get(role.upper(), set()) | {role.upper()}
 
 
 # ---------------------------------------------------------- grants / schemas
