@@ -204,13 +204,26 @@ def classify(df: DataFrame, table_fqn: str, gov: Governance,
     return df.select(*cols)
 
 
+def _policies(gov: Governance):
+    """Active rules and exempt roles per tag (config-sized), cached on ``gov``."""
+    cached = gov.__dict__.get("_policies")
+    if cached is None:
+        rules = gov.active("masking_rules").select("tag", "data_type", "mask_expression").collect()
+        exempt = {r.tag: set(r.roles) for r in exempt_roles(gov).collect()}
+        cached = gov.__dict__["_policies"] = (rules, exempt)
+    return cached
+
+
 def table_tags(gov: Governance, table_fqn: str) -> dict[str, tuple[str, str]]:
     """COLUMN -> (tag, tag_value) for one ``SCHEMA.TABLE`` (config rows only)."""
+    classified = gov.__dict__.get("_classified")
+    if classified is None:
+        classified = {}
+        for r in gov.active("pii_columns").select("schema", "table", "column", "tag", "tag_value").collect():
+            classified.setdefault((r.schema, r.table), {})[r.column] = (r.tag, r.tag_value)
+        gov.__dict__["_classified"] = classified
     parts = table_fqn.upper().split(".")
-    schema, table = parts[-2], parts[-1]
-    rows = (gov.active("pii_columns").where((F.col("schema") == schema) & (F.col("table") == table))
-            .select("column", "tag", "tag_value").collect())
-    return {r.column: (r.tag, r.tag_value) for r in rows}
+    return dict(classified.get((parts[-2], parts[-1]), {}))
 
 
 def masked(spark: SparkSession, df: DataFrame, table_fqn: str | None, role: str, gov: Governance,
@@ -226,8 +239,7 @@ def masked(spark: SparkSession, df: DataFrame, table_fqn: str | None, role: str,
     if not tags:
         return df
     in_session = roles_of(spark, gov, role)
-    rules = gov.active("masking_rules").select("tag", "data_type", "mask_expression").collect()
-    exempt = {r.tag: set(r.roles) for r in exempt_roles(gov).collect()}
+    rules, exempt = _policies(gov)
     cols = []
     for f in df.schema.fields:
         t = tags.get(f.name.upper())

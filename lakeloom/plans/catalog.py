@@ -267,18 +267,29 @@ def q_drift_report(spark, sf_dir):
 
 # -------------------------------------------------------------- governance
 
+_GOV: dict[str, Governance] = {}
+
+
+def governance(spark) -> Governance:
+    """The deployment's governance config, loaded once per session."""
+    key = spark.sparkContext.applicationId
+    if key not in _GOV:
+        _GOV[key] = Governance.load(spark)
+    return _GOV[key]
+
+
 def _accounts_for_masking(spark, sf_dir):
     return accounts(spark, sf_dir).select("account_id", "account_name", "arr")
 
 
 def q_masked_reader(spark, sf_dir):
-    gov = Governance.load(spark)
+    gov = governance(spark)
     return G.masked(spark, _accounts_for_masking(spark, sf_dir), ACCOUNT_TABLE, "REVOPS_READER", gov)
 
 
 def q_masked_exempt(spark, sf_dir):
     """SYSADMIN is exempt through granted_to (it holds REVOPS_ADMIN)."""
-    gov = Governance.load(spark)
+    gov = governance(spark)
     return G.masked(spark, _accounts_for_masking(spark, sf_dir), ACCOUNT_TABLE, "SYSADMIN", gov)
 
 
@@ -291,8 +302,12 @@ def _contacts(spark, sf_dir) -> DataFrame:
 
 
 def _contact_gov(spark) -> Governance:
-    rules = read_config(spark, "masking_rules").withColumn("is_active", F.lit(True))
-    return Governance.load(spark, masking_rules=rules)
+    """The same config with the contact and phone rules switched on."""
+    key = spark.sparkContext.applicationId + "/contact"
+    if key not in _GOV:
+        rules = read_config(spark, "masking_rules").withColumn("is_active", F.lit(True))
+        _GOV[key] = Governance.load(spark, masking_rules=rules)
+    return _GOV[key]
 
 
 CONTACT_TAGS = {"email": ("PII_CONTACT", "email"), "phone": ("PII_PHONE", "phone")}

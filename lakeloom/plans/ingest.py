@@ -8,10 +8,12 @@ timestamp) is excluded whole: no rows, no log row, so the next run retries it.
 
 from __future__ import annotations
 
+import logging
+import time
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,17 @@ from lakeloom.sources.landing import ScanScope, list_files, read_contents
 NOT_AN_ARRAY = "file is not a JSON array"
 FILE_TOO_LARGE = "file exceeds the size limit"
 STRICT_TS = "invalid event_timestamp (strict)"
+EMPTY_ARRAY = "empty array (no rows; rescanned next run)"
+
+
+log = logging.getLogger("lakeloom.ingest")
+
+
+@contextmanager
+def _phase(name: str):
+    t = time.perf_counter()
+    yield
+    log.info("%s %.3fs", name, time.perf_counter() - t)
 
 
 class IngestError(RuntimeError):
@@ -75,10 +88,14 @@ def raw_rows(spec: EventSpec, records: DataFrame, run_ts: datetime) -> DataFrame
 
 
 def commit_contents(spark: SparkSession, spec: EventSpec, warehouse: str, contents: DataFrame, *,
-                    run_ts: datetime, batch_id: str, strict: bool = False) -> DataFrame:
+                    run_ts: datetime, batch_id: str, attempted: list[str], strict: bool = False) -> DataFrame:
     """Parse, validate and commit whole files ``(_filename, value)`` as one batch.
 
-    Returns the per-file report rows of this batch (loaded and failed files).
+    ``attempted`` lists the files in ``contents``. One pass parses every file
+    and writes RAW; quarantine and log derive from the written batch. Files
+    that produced no log row (not a JSON array, strict failure, or ``[]``) are
+    the only ones parsed a second time, to report why. Returns the per-file
+    report rows of this batch.
     """
     # Parse once per file. The projection keeps ``from_json`` out of the
     # filter the optimizer would otherwise infer for the explode.
@@ -88,33 +105,37 @@ def commit_contents(spark: SparkSession, spec: EventSpec, warehouse: str, conten
         error = error.when(
             F.exists("_records", lambda r: invalid_timestamp(r, spec.timestamp_field)), F.lit(STRICT_TS))
     parsed = parsed.select("_filename", "_records", error.alias("_file_error"))
-    parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        records = (parsed.where(F.col("_file_error").isNull())
-                   .select("_filename", F.posexplode("_records").alias("_pos", "payload")))
+    records = (parsed.where(F.col("_file_error").isNull())
+               .select("_filename", F.posexplode("_records").alias("_pos", "payload")))
+    with _phase("write raw"):
         C.write_batch(raw_rows(spec, records, run_ts), warehouse, C.RAW, batch_id)
-        failed = _report_rows(parsed.where(F.col("_file_error").isNotNull()), "failed",
-                              F.col("_file_error")).collect()  # failed files only
-    finally:
-        parsed.unpersist()
 
     raw = C.read_batch(spark, warehouse, C.RAW, batch_id)
     quarantine = raw.where(F.col("_reason").isNotNull()).select(
         F.col("_reason").alias("reason"), "payload", "_filename", "_pos",
         C.ts_literal(run_ts).alias("_quarantined_at"))
-    C.write_batch(quarantine, warehouse, C.QUARANTINE, batch_id)
+    with _phase("write quarantine"):
+        C.write_batch(quarantine, warehouse, C.QUARANTINE, batch_id)
     log = raw.groupBy("_filename").agg(
         F.count(F.lit(1)).alias("records_processed"),
         F.count_if(F.col("_reason").isNotNull()).alias("records_quarantined"),
     ).select(F.col("_filename").alias("file_name"), "records_processed", "records_quarantined",
              C.ts_literal(run_ts).alias("load_timestamp"))
-    C.write_batch(log, warehouse, C.LOAD_LOG, batch_id)  # commit marker, written last
+    with _phase("write load log"):
+        C.write_batch(log, warehouse, C.LOAD_LOG, batch_id)  # commit marker, written last
 
     loaded = C.read_batch(spark, warehouse, C.LOAD_LOG, batch_id).select(
         "file_name", F.lit("loaded").alias("status"), F.lit(None).cast("string").alias("detail"),
         "records_processed", "records_quarantined")
-    if failed:
-        loaded = loaded.unionByName(spark.createDataFrame(failed, C.RUN_REPORT_SCHEMA))
+    logged = {r.file_name for r in loaded.select("file_name").collect()}  # files of this batch
+    missing = sorted(set(attempted) - logged)
+    if missing:
+        with _phase("classify unlogged files"):
+            why = (parsed.where(F.col("_filename").isin(missing))
+                   .select("_filename", F.coalesce("_file_error", F.lit(EMPTY_ARRAY)).alias("_why")))
+            rows = [(r._filename, "empty" if r._why == EMPTY_ARRAY else "failed", r._why, 0, 0)
+                    for r in why.collect()]
+        loaded = loaded.unionByName(spark.createDataFrame(rows, C.RUN_REPORT_SCHEMA))
     return loaded
 
 
@@ -140,20 +161,23 @@ def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: s
     todo = todo.where(F.col("length") <= spec.max_file_bytes)
 
     # Paths only (metadata, bounded by the scope): the scan needs them.
-    paths = sorted(r["path"] for r in todo.select("path").collect())
+    with _phase("list + prune + skip"):
+        paths = sorted(r["path"] for r in todo.select("path").collect())
     batch_id = None
     if paths:
         batch_id = C.new_batch_id(run_ts)
         contents = read_contents(spark, landing_root, scope, paths)
+        attempted = [r["_filename"] for r in todo.select("_filename").collect()]
         parts.append(commit_contents(spark, spec, warehouse, contents, run_ts=run_ts,
-                                     batch_id=batch_id, strict=strict))
+                                     batch_id=batch_id, attempted=attempted, strict=strict))
 
     report = parts[0]
     for p in parts[1:]:
         report = report.unionByName(p)
     if batch_id is not None:
         # Persist the report next to the batch; reading it back cuts lineage.
-        C.write_batch(report, warehouse, C.RUN_REPORT, batch_id)
+        with _phase("write report"):
+            C.write_batch(report, warehouse, C.RUN_REPORT, batch_id)
         report = C.read_batch(spark, warehouse, C.RUN_REPORT, batch_id).drop("_batch_id")
         if strict:
             bad = report.where(F.col("status") == "failed").select("file_name", "detail").collect()

@@ -18,11 +18,17 @@ rec AS (
          CAST(json_extract_string(props, '$.k') AS INTEGER) + 1000, 1, ts + INTERVAL 1 HOUR
   FROM events WHERE event_id % 50 = 0
 ),
+hours AS (
+  SELECT *, COUNT(*) OVER (PARTITION BY strftime(file_ts, '%Y-%m-%d %H')) AS hour_count FROM rec
+),
+chunked AS (
+  SELECT *, n % CAST(ceil(hour_count / 5000.0) AS BIGINT) AS chunk FROM hours
+),
 landed AS (
-  SELECT n, ts, u, copy,
+  SELECT n, ts, u, copy, chunk,
          strftime(file_ts, '%Y-%m-%d') AS file_dt,
          strftime(file_ts, '%H') AS file_hr,
-         CAST(row_number() OVER (PARTITION BY strftime(file_ts, '%Y-%m-%d %H')
+         CAST(row_number() OVER (PARTITION BY strftime(file_ts, '%Y-%m-%d %H'), chunk
                                  ORDER BY ts, n, copy) - 1 AS INTEGER) AS _pos,
          'evt_' || CAST(n AS VARCHAR) AS event_id,
          CASE WHEN n % 97 = 0 THEN NULL ELSE 'usr_' || CAST(u AS VARCHAR) END AS user_id,
@@ -36,7 +42,7 @@ landed AS (
              CASE WHEN n % 89 = 0 THEN 'account_id' END,
              CASE WHEN n % 83 = 0 THEN 'event_timestamp' END,
              CASE WHEN n % 97 = 0 THEN 'user_id' END), '') AS missing
-  FROM rec
+  FROM chunked
 ),
 raw AS (
   SELECT *, CASE WHEN missing IS NOT NULL
@@ -46,7 +52,7 @@ raw AS (
 stg AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY event_id
-                                 ORDER BY file_dt DESC, file_hr DESC, _pos DESC) AS rn
+                                 ORDER BY file_dt DESC, file_hr DESC, chunk DESC, _pos DESC) AS rn
     FROM raw WHERE reason IS NULL) WHERE rn = 1
 )
 """
@@ -168,23 +174,24 @@ ORACLES: dict[str, str] = {
     "ingest_quarantine": _w("SELECT reason, event_id, file_dt, file_hr, _pos FROM raw WHERE reason IS NOT NULL"),
     "ingest_load_log": _w("""
         SELECT file_dt, file_hr, COUNT(*) AS records_processed, COUNT(reason) AS records_quarantined
-        FROM raw GROUP BY file_dt, file_hr"""),
+        FROM raw GROUP BY file_dt, file_hr, chunk"""),
     "ingest_run_totals": _w("""
-        SELECT COUNT(DISTINCT file_dt || '/' || file_hr) AS files_loaded, COUNT(*) AS rows_loaded,
+        SELECT COUNT(DISTINCT file_dt || '/' || file_hr || '/' || CAST(chunk AS VARCHAR)) AS files_loaded, COUNT(*) AS rows_loaded,
                COUNT(reason) AS rows_quarantined FROM raw"""),
     "ingest_rerun_noop": _w("""
-        SELECT DISTINCT file_dt, file_hr, 'skipped' AS status, CAST(0 AS BIGINT) AS records_processed,
-               CAST(0 AS BIGINT) AS records_quarantined FROM raw"""),
+        SELECT file_dt, file_hr, 'skipped' AS status, CAST(0 AS BIGINT) AS records_processed,
+               CAST(0 AS BIGINT) AS records_quarantined
+        FROM (SELECT DISTINCT file_dt, file_hr, chunk FROM raw)"""),
     "ingest_force": _w("""
         SELECT file_dt, file_hr, CAST(2 AS BIGINT) AS loads, 2 * COUNT(*) AS records_processed,
                2 * COUNT(reason) AS records_quarantined, 2 * COUNT(*) AS raw_rows
-        FROM raw GROUP BY file_dt, file_hr"""),
+        FROM raw GROUP BY file_dt, file_hr, chunk"""),
     "scan_modes": _w("""
         , clock AS (SELECT date_trunc('hour', max(ts)) + INTERVAL 1 HOUR AS now FROM events),
         files AS (
           SELECT file_dt, file_hr, COUNT(*) AS records_processed,
                  strptime(file_dt || ' ' || file_hr, '%Y-%m-%d %H') AS ft
-          FROM raw GROUP BY file_dt, file_hr)
+          FROM raw GROUP BY file_dt, file_hr, chunk)
         SELECT file_dt, file_hr,
                CASE WHEN ft >= now - INTERVAL 48 HOUR THEN 'window'
                     WHEN ft >= CAST(CAST(now - INTERVAL 7 DAY AS DATE) AS TIMESTAMP) THEN 'prefill'
@@ -239,7 +246,8 @@ ORACLES: dict[str, str] = {
         FROM counts"""),
     "load_monitoring": _w("""
         , per_day AS (
-          SELECT file_dt, COUNT(DISTINCT file_hr) AS files, COUNT(*) AS records_processed,
+          SELECT file_dt, COUNT(DISTINCT file_hr || '/' || CAST(chunk AS VARCHAR)) AS files,
+                 COUNT(*) AS records_processed,
                  COUNT(reason) AS records_quarantined FROM raw GROUP BY file_dt)
         SELECT file_dt, files, records_processed, records_quarantined,
                CAST(CAST(records_quarantined AS DECIMAL(20,0)) / records_processed AS DECIMAL(12,6)) AS reject_rate,

@@ -5,7 +5,6 @@ Inactive rows are kept with ``is_active = false``; readers filter them."""
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,27 +49,32 @@ def read_config(spark: SparkSession, name: str, folder: str = CONF_DIR) -> DataF
     return df.select(*cols)
 
 
-@dataclass
 class Governance:
-    """All governance config tables of one deployment."""
+    """All governance config tables of one deployment.
 
-    environments: DataFrame
-    schemas: DataFrame
-    functional_roles: DataFrame
-    functional_grants: DataFrame
-    masking_rules: DataFrame
-    masking_exemptions: DataFrame
-    pii_columns: DataFrame
-    sandboxes: DataFrame
-    user_roles: DataFrame
-    warehouses: DataFrame
-    row_access: DataFrame
+    Tables are read on first use (a masked read needs four of them), and the
+    per-request decisions derived from them (role closure, rules, exemptions)
+    are cached on the object: load once per session, reuse for every read.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str = CONF_DIR, **overrides: DataFrame):
+        self.spark = spark
+        self.folder = folder
+        self._tables: dict[str, DataFrame] = dict(overrides)
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str = CONF_DIR, **overrides: DataFrame) -> "Governance":
-        tables = {name: overrides[name] if name in overrides else read_config(spark, name, folder)
-                  for name in _RULES}
-        return cls(**tables)
+        unknown = set(overrides) - set(_RULES)
+        if unknown:
+            raise ValueError(f"unknown config tables: {sorted(unknown)}")
+        return cls(spark, folder, **overrides)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in _RULES:
+            raise AttributeError(name)
+        if name not in self._tables:
+            self._tables[name] = read_config(self.spark, name, self.folder)
+        return self._tables[name]
 
     def active(self, name: str) -> DataFrame:
         return getattr(self, name).where(F.col("is_active"))

@@ -20,7 +20,7 @@ EMPTY_ACCOUNT_MOD = 89    # account_id is ""
 NO_TIMESTAMP_MOD = 83     # event_timestamp key absent
 RESEND_MOD = 50           # the event is sent again in the next hour's file, properties.k + 1000
 RESEND_K_OFFSET = 1000
-ROWS_PER_FILE = 5000      # records per landing file (larger hours roll to more files)
+ROWS_PER_FILE = 5000      # target records per landing file (larger hours split into chunks)
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
@@ -68,26 +68,27 @@ def telemetry_records(events: DataFrame) -> DataFrame:
 
 
 def write_landing(events: DataFrame, landing_root: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Write records as ``dt=YYYY-MM-DD/hr=HH/*.txt`` files, each one JSON array.
+    """Write records as ``dt=YYYY-MM-DD/hr=HH/chunk=C/*.txt``, each file one JSON array.
 
-    Rows of one hour are numbered (one shuffle by hour); every file holds at
-    most ``rows_per_file`` elements, so a hot hour rolls over to more files.
+    An hour holding more than ``rows_per_file`` records is split into
+    ``ceil(count / rows_per_file)`` chunks by ``n % chunks``, so a hot hour is
+    numbered and written by several tasks, never by one. Records are numbered
+    inside their chunk to place the array brackets.
     """
     rec = telemetry_records(events)
-    w = Window.partitionBy("dt", "hr").orderBy("ts", "n", "copy")
-    rn = F.row_number().over(w)
-    rec = rec.withColumn("_rn", rn).withColumn("_last", F.lead("n").over(w).isNull())
-    idx = F.col("_rn") - 1
-    first = idx % rows_per_file == 0
-    last = F.col("_last") | (F.col("_rn") % rows_per_file == 0)
+    per_hour = rec.groupBy("dt", "hr").agg(F.count(F.lit(1)).alias("_count"))
+    rec = (rec.join(per_hour, ["dt", "hr"])
+              .withColumn("chunk", F.pmod(F.col("n"), F.ceil(F.col("_count") / F.lit(rows_per_file)))))
+    w = Window.partitionBy("dt", "hr", "chunk").orderBy("ts", "n", "copy")
+    first = F.row_number().over(w) == 1
+    last = F.lead("n").over(w).isNull()
     line = F.concat(F.when(first, F.lit("[")).otherwise(F.lit(",")), F.col("json"),
                     F.when(last, F.lit("]")).otherwise(F.lit("")))
-    (rec.select("dt", "hr", "_rn", line.alias("value"))
-        .repartition("dt", "hr")
-        .sortWithinPartitions("dt", "hr", "_rn")
-        .drop("_rn")
-        .write.option("maxRecordsPerFile", rows_per_file)
-        .partitionBy("dt", "hr").mode("errorifexists").text(landing_root))
+    ordered = rec.select("dt", "hr", "chunk", "ts", "n", "copy", line.alias("value"))
+    (ordered.repartition("dt", "hr", "chunk")
+        .sortWithinPartitions("dt", "hr", "chunk", "ts", "n", "copy")
+        .select("dt", "hr", "chunk", "value")
+        .write.partitionBy("dt", "hr", "chunk").mode("errorifexists").text(landing_root))
 
 
 # ---------------------------------------------------------------- CDC feeds

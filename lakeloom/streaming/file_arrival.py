@@ -7,6 +7,7 @@ file loaded by either is skipped by both).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from lakeloom.plans.ingest import commit_contents
 
 def ingest_stream(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: str,
                   checkpoint: str, *, available_now: bool = True, processing_time: str | None = None,
-                  max_files_per_trigger: int | None = None, force: bool = False):
+                  max_files_per_trigger: int | None = 1000, force: bool = False):
     """Start the stream; with ``available_now`` it drains what is there and stops."""
     reader = spark.readStream.format("text").option("wholetext", "true")
     if max_files_per_trigger:
@@ -31,8 +32,16 @@ def ingest_stream(spark: SparkSession, spec: EventSpec, landing_root: str, wareh
         if not force:
             loaded = C.loaded_file_names(spark, warehouse)
             todo = batch.join(loaded, batch["_filename"] == loaded["file_name"], "left_anti")
-        run_ts = C.run_timestamp()
-        commit_contents(spark, spec, warehouse, todo, run_ts=run_ts, batch_id=C.new_batch_id(run_ts))
+        # A micro-batch is bounded (maxFilesPerTrigger); keep it for the passes below.
+        todo = todo.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            attempted = [r._filename for r in todo.select("_filename").collect()]
+            if attempted:
+                run_ts = C.run_timestamp()
+                commit_contents(spark, spec, warehouse, todo, run_ts=run_ts,
+                                batch_id=C.new_batch_id(run_ts), attempted=attempted)
+        finally:
+            todo.unpersist()
 
     writer = stream.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
     if available_now:

@@ -111,6 +111,7 @@ def test_file_verdicts_and_retry(spark, tmp_root):
     assert status["dt=2026-05-03/hr=00/bad.json"] == ("failed", NOT_AN_ARRAY)
     assert status["dt=2026-05-03/hr=00/object.json"] == ("failed", NOT_AN_ARRAY)
     assert status["undated/file.json"][0] == "loaded"
+    assert status["dt=2026-05-03/hr=00/empty.json"][0] == "empty"
     assert "dt=2026-05-03/hr=00/empty.json" not in _log(spark, wh)  # [] yields no log row
     assert set(_log(spark, wh)) == {"undated/file.json"}
     # Failed and empty files are retried by the next run; loaded ones are skipped.
