@@ -23,3 +23,16 @@ def pipe_list(c: Column, upper: bool = True) -> Column:
     items = F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x))
     items = F.filter(items, lambda x: x != F.lit(""))
     return F.transform(items, lambda x: F.upper(x)) if upper else items
+
+
+def snake_case(name: str) -> str:
+    """``StageName`` / ``Stage Name`` / ``STAGE-NAME`` -> ``stage_name``."""
+    import re
+
+    s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name.strip())
+    return re.sub(r"[^0-9a-zA-Z]+", "_", s).strip("_").lower()
+
+
+def snake_case_columns(df):
+    """Rename every column to snake_case (staging projection)."""
+    return df.withColumnsRenamed({c: snake_case(c) for c in df.columns if snake_case(c) != c})

@@ -125,3 +125,10 @@ def committed(spark: SparkSession, warehouse: str, table: str) -> DataFrame:
 
 def loaded_file_names(spark: SparkSession, warehouse: str) -> DataFrame:
     return load_log(spark, warehouse).select(F.col("file_name")).distinct()
+
+
+def events_between(raw: DataFrame, start, end) -> DataFrame:
+    """Event-time range on the promoted column (Parquet statistics prune row
+    groups); the payload path itself is never filtered."""
+    return raw.where((F.col("event_timestamp") >= F.lit(start).cast("timestamp_ntz")) &
+                     (F.col("event_timestamp") < F.lit(end).cast("timestamp_ntz")))

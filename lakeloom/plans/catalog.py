@@ -25,6 +25,7 @@ from lakeloom.plans import staging as STG
 from lakeloom.plans.ingest import IngestResult, ingest
 from lakeloom.session import scratch_dir
 from lakeloom.sources import standins as S
+from lakeloom.sources.cdc import ACCOUNT_CONTRACT, OPPORTUNITY_CONTRACT, conform
 from lakeloom.sources.landing import ScanScope, date_prefixes
 from lakeloom.sources.settings import Governance, read_config
 
@@ -199,11 +200,13 @@ def q_events_by_day(spark, sf_dir):
 
 
 def accounts(spark, sf_dir) -> DataFrame:
-    return STG.stg_accounts(S.account_feed(S.table(spark, sf_dir, "customer")))
+    feed = conform(S.account_feed(S.table(spark, sf_dir, "customer")), ACCOUNT_CONTRACT)
+    return STG.stg_accounts(feed)
 
 
 def opportunities(spark, sf_dir) -> DataFrame:
-    return STG.stg_opportunities(S.opportunity_feed(S.table(spark, sf_dir, "orders")))
+    feed = conform(S.opportunity_feed(S.table(spark, sf_dir, "orders")), OPPORTUNITY_CONTRACT)
+    return STG.stg_opportunities(feed)
 
 
 def q_stg_accounts(spark, sf_dir):
@@ -226,6 +229,10 @@ def q_pipeline_metrics(spark, sf_dir):
     return M.pipeline_metrics(mart(spark, sf_dir))
 
 
+def q_mart_finance_bookings(spark, sf_dir):
+    return M.finance_bookings(mart(spark, sf_dir))
+
+
 def q_account_seed_summary(spark, sf_dir):
     return M.seed_summary(accounts(spark, sf_dir), f"OG_DEV_DB.{ACCOUNT_TABLE}")
 
@@ -260,6 +267,13 @@ def q_load_monitoring(spark, sf_dir):
     return MON.reject_rate(log, by=("file_dt",), threshold=0.05)
 
 
+def q_freshness(spark, sf_dir):
+    """Event-time freshness per page against a 2 h SLA, 'now' = scan clock."""
+    fx = fixture(spark, sf_dir)
+    stg = STG.stg_events(C.committed(spark, fx.warehouse, C.RAW), SPEC)
+    return MON.freshness(stg, "event_timestamp", scan_clock(spark, sf_dir), 2.0, by=("page_name",))
+
+
 def q_drift_report(spark, sf_dir):
     fx = fixture(spark, sf_dir)
     return MON.drift_report(C.committed(spark, fx.warehouse, C.RAW), SPEC)
@@ -293,6 +307,13 @@ def q_masked_exempt(spark, sf_dir):
     return G.masked(spark, _accounts_for_masking(spark, sf_dir), ACCOUNT_TABLE, "SYSADMIN", gov)
 
 
+def q_masked_mart(spark, sf_dir):
+    """The mart read by REVOPS_READER: tags declared on derived columns mask them."""
+    df = mart(spark, sf_dir).select("opportunity_id", "stage_name", "pipeline_stage_bucket",
+                                    "amount", "weighted_amount")
+    return G.masked(spark, df, None, "REVOPS_READER", governance(spark), column_tags=M.MART_COLUMN_TAGS)
+
+
 def _contacts(spark, sf_dir) -> DataFrame:
     c = S.table(spark, sf_dir, "customer")
     return c.select(
@@ -359,12 +380,15 @@ QUERIES = {
     "stg_opportunities": q_stg_opportunities,
     "mart_opportunities": q_mart_opportunities,
     "pipeline_metrics": q_pipeline_metrics,
+    "mart_finance_bookings": q_mart_finance_bookings,
     "account_seed_summary": q_account_seed_summary,
     "dq_checks": q_dq_checks,
     "load_monitoring": q_load_monitoring,
+    "freshness": q_freshness,
     "drift_report": q_drift_report,
     "masked_reader": q_masked_reader,
     "masked_exempt": q_masked_exempt,
+    "masked_mart": q_masked_mart,
     "mask_email": q_mask_email,
     "mask_phone": q_mask_phone,
     "row_access": q_row_access,

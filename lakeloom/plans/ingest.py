@@ -141,9 +141,10 @@ def commit_contents(spark: SparkSession, spec: EventSpec, warehouse: str, conten
 
 def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: str,
            scope: ScanScope | None = None, *, force: bool = False, strict: bool = False,
-           run_ts: datetime | None = None) -> IngestResult:
+           run_ts: datetime | None = None, dry_run: bool = False) -> IngestResult:
     """Load every file in scope that is not yet in the load log (all of them
-    with ``force``) and return the per-file run report."""
+    with ``force``) and return the per-file run report. ``dry_run`` reports
+    what would be loaded and writes nothing."""
     scope = scope or ScanScope.window(lookback_hours=spec.lookback_hours,
                                       max_prefix_days=spec.max_prefix_days)
     run_ts = run_ts or C.run_timestamp()
@@ -159,6 +160,12 @@ def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: s
         todo = files.join(loaded, on, "left_anti")
     parts.append(_report_rows(todo.where(F.col("length") > spec.max_file_bytes), "failed", FILE_TOO_LARGE))
     todo = todo.where(F.col("length") <= spec.max_file_bytes)
+    if dry_run:
+        parts.append(_report_rows(todo, "would load", scope.mode))
+        report = parts[0]
+        for p in parts[1:]:
+            report = report.unionByName(p)
+        return IngestResult(None, run_ts, report)
 
     # Paths only (metadata, bounded by the scope): the scan needs them.
     with _phase("list + prune + skip"):

@@ -30,6 +30,15 @@ STAGE_PROBABILITY = {
 ACCEPTED_STAGES = tuple(STAGE_BUCKET)
 
 
+# Tags declared on the mart's derived columns, so masking travels with the
+# data (column metadata survives aliases but not expressions).
+MART_COLUMN_TAGS = {
+    "amount": ("PII_FINANCIAL", "amount"),
+    "weighted_amount": ("PII_FINANCIAL", "amount"),
+    "arr": ("PII_FINANCIAL", "arr"),
+}
+
+
 def _lookup(mapping: dict, key: Column, cast: str | None = None) -> Column:
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
     v = m[key]
@@ -80,3 +89,13 @@ def seed_summary(accounts: DataFrame, table_fqn: str) -> DataFrame:
     """``'seeded ' || COUNT(*) || ' accounts into ' || table``."""
     return accounts.agg(F.concat(F.lit("seeded "), F.count(F.lit(1)).cast("string"),
                                  F.lit(f" accounts into {table_fqn}")).alias("result"))
+
+
+def finance_bookings(mart: DataFrame) -> DataFrame:
+    """Spoke mart built on the hub mart: won bookings by close month and industry."""
+    won = mart.where((F.col("stage_name") == "Closed Won") & F.col("close_date").isNotNull())
+    return won.groupBy(F.date_format("close_date", "yyyy-MM").alias("close_month"), "industry").agg(
+        F.count(F.lit(1)).alias("bookings"),
+        F.sum("amount").cast("decimal(38,2)").alias("booked_amount"),
+        F.count_distinct("account_id").alias("accounts"),
+    )

@@ -24,11 +24,13 @@ def reject_rate(log: DataFrame, by: tuple[str, ...] = ("_batch_id",), threshold:
     return out
 
 
-def freshness(df: DataFrame, column: str, now: datetime, sla_hours: float) -> DataFrame:
-    """Newest value of a load/event time against an SLA."""
+def freshness(df: DataFrame, column: str, now: datetime, sla_hours: float,
+              by: tuple[str, ...] = ()) -> DataFrame:
+    """Newest value of a load/event time against an SLA (per group)."""
     latest = F.max(column)
-    lag = (F.unix_micros(F.to_timestamp(ts_literal(now))) - F.unix_micros(F.to_timestamp(latest))) / F.lit(3.6e9)
-    return df.agg(latest.alias("latest"), lag.cast("decimal(18,3)").alias("lag_hours")).withColumn(
+    lag_us = F.unix_micros(F.to_timestamp(ts_literal(now))) - F.unix_micros(F.to_timestamp(latest))
+    lag = (lag_us.cast("decimal(20,0)") / F.lit(3600000000)).cast("decimal(18,3)")
+    return df.groupBy(*by).agg(latest.alias("latest"), lag.alias("lag_hours")).withColumn(
         "status", F.when(F.col("latest").isNull(), "no data")
         .when(F.col("lag_hours") <= sla_hours, "fresh").otherwise("stale"))
 

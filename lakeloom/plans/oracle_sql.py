@@ -215,6 +215,24 @@ ORACLES: dict[str, str] = {
                CAST(SUM(weighted_amount) AS DECIMAL(38,2)) AS weighted_pipeline,
                CAST(AVG(days_to_close) AS DECIMAL(18,2)) AS avg_days_to_close
         FROM mart GROUP BY 1, 2"""),
+    "mart_finance_bookings": _c("""
+        SELECT strftime(close_date, '%Y-%m') AS close_month, industry, COUNT(*) AS bookings,
+               CAST(SUM(amount) AS DECIMAL(38,2)) AS booked_amount,
+               COUNT(DISTINCT account_id) AS accounts
+        FROM mart WHERE stage_name = 'Closed Won' AND close_date IS NOT NULL
+        GROUP BY 1, 2"""),
+    "freshness": _w("""
+        , clock AS (SELECT date_trunc('hour', max(ts)) + INTERVAL 1 HOUR AS now FROM events),
+        per_page AS (SELECT page_name, max(event_timestamp) AS latest FROM stg GROUP BY page_name)
+        SELECT page_name, latest,
+               CAST(CAST(epoch_us(now) - epoch_us(latest) AS DECIMAL(20,0)) / 3600000000 AS DECIMAL(18,3))
+                 AS lag_hours,
+               CASE WHEN CAST(CAST(epoch_us(now) - epoch_us(latest) AS DECIMAL(20,0)) / 3600000000
+                              AS DECIMAL(18,3)) <= 2 THEN 'fresh' ELSE 'stale' END AS status
+        FROM per_page CROSS JOIN clock"""),
+    "masked_mart": _c("""
+        SELECT opportunity_id, stage_name, pipeline_stage_bucket, CAST(NULL AS DECIMAL(18,2)) AS amount,
+               CAST(NULL AS DECIMAL(18,2)) AS weighted_amount FROM mart"""),
     "account_seed_summary": """
         SELECT 'seeded ' || CAST(COUNT(*) AS VARCHAR)
                || ' accounts into OG_DEV_DB.SALESFORCE_RAW_FIVETRAN.ACCOUNT' AS result
