@@ -28,7 +28,7 @@ def freshness(df: DataFrame, column: str, now: datetime, sla_hours: float,
               by: tuple[str, ...] = ()) -> DataFrame:
     """Newest value of a load/event time against an SLA (per group)."""
     latest = F.max(column)
-    lag_us = F.unix_micros(F.to_timestamp(ts_literal(now))) - F.unix_micros(F.to_timestamp(latest))
+    lag_us = F.timestamp_diff("MICROSECOND", latest, ts_literal(now))  # time-zone free on NTZ
     lag = (lag_us.cast("decimal(20,0)") / F.lit(3600000000)).cast("decimal(18,3)")
     return df.groupBy(*by).agg(latest.alias("latest"), lag.alias("lag_hours")).withColumn(
         "status", F.when(F.col("latest").isNull(), "no data")

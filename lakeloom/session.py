@@ -53,3 +53,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scale_conf(input_bytes: int, executors_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a large cluster run, sized from the input volume.
+
+    Shuffle partitions start at input / target size (AQE coalesces small ones
+    and splits skewed ones at runtime), scans use larger splits, and the
+    broadcast threshold stays at Spark's checked default so only sides whose
+    runtime size is known to be small are broadcast.
+    """
+    parts = max(2 * executors_cores, input_bytes // target_partition_bytes)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(int(parts)),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
+def apply_conf(spark: SparkSession, conf: dict) -> None:
+    for k, v in conf.items():
+        spark.conf.set(k, v)
