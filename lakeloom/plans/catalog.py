@@ -193,7 +193,8 @@ def q_stg_incremental(spark, sf_dir):
 def q_events_by_day(spark, sf_dir):
     fx = fixture(spark, sf_dir)
     stg = STG.stg_events(C.committed(spark, fx.warehouse, C.RAW), SPEC)
-    return stg.groupBy(F.to_date("event_timestamp").alias("event_date"), "page_name").agg(
+    day = F.date_trunc("day", "event_timestamp").cast("timestamp_ntz")
+    return stg.groupBy(day.alias("event_date"), "page_name").agg(
         F.count(F.lit(1)).alias("events"),
         F.count_distinct("user_id").alias("users"),
         F.sum("prop_k").cast("long").alias("sum_k"))
@@ -364,6 +365,37 @@ def q_access_audit(spark, sf_dir):
                          "%SALESFORCE_RAW_FIVETRAN.ACCOUNT", "ARR")
 
 
+# Nullable integer columns handed over as doubles (both engines then give the
+# same pandas type for a column that holds NULLs).
+NULLABLE_INTS = {"days_to_close"}
+
+
+def report_view(df: DataFrame) -> DataFrame:
+    """Hand-over form of a result for cross-engine comparison: exact decimals
+    become the (correctly rounded) double of the same value and calendar dates
+    become midnight timestamps. Models themselves keep decimal and date types."""
+    from pyspark.sql.types import DateType, DecimalType
+
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, DecimalType) or f.name in NULLABLE_INTS:
+            c = c.cast("double")
+        elif isinstance(f.dataType, DateType):
+            c = c.cast("timestamp_ntz")
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
+def _reported(fn):
+    def run(spark, sf_dir):
+        return report_view(fn(spark, sf_dir))
+
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 QUERIES = {
     "ingest_raw": q_ingest_raw,
     "ingest_quarantine": q_ingest_quarantine,
@@ -394,3 +426,4 @@ QUERIES = {
     "row_access": q_row_access,
     "access_audit": q_access_audit,
 }
+QUERIES = {name: _reported(fn) for name, fn in QUERIES.items()}

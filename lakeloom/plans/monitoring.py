@@ -39,22 +39,27 @@ def drift_report(raw: DataFrame, spec: EventSpec) -> DataFrame:
     """Top-level payload keys seen against the registered contract.
 
     ``contract``: required key; ``known``: registered optional key;
-    ``additive``: new key (surface it, land it, never alter the table). For a
-    required key, ``records_without`` counts records that lack it (breaking;
-    these are quarantined at load).
+    ``additive``: new key (surface it, land it, never alter the table).
+    ``records_without`` counts records lacking the key; for a required key
+    these are breaking (quarantined at load). Contract keys never seen are
+    listed too. Two aggregate passes, no per-record driver work.
     """
     keys = F.map_keys(F.try_variant_get("payload", "$", "map<string,variant>"))
     with_keys = raw.select(keys.alias("_keys"))
     seen = with_keys.select(F.explode("_keys").alias("key")).groupBy("key").agg(
         F.count(F.lit(1)).alias("records_with_key"))
-    required = list(spec.required)
-    # One pass counts, per required key, the records that lack it.
-    missing = with_keys.agg(*[F.count_if(~F.coalesce(F.array_contains("_keys", k), F.lit(False))).alias(k)
-                              for k in required])
-    missing = missing.select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("key"), F.col(k).cast("long").alias("records_without")) for k in required])))
-    status = (F.when(F.col("key").isin(required), "contract")
-              .when(F.col("key").isin(list(spec.contract_keys)), "known").otherwise("additive"))
-    return (seen.join(missing, "key", "full")
-            .select("key", F.coalesce("records_with_key", F.lit(0)).cast("long").alias("records_with_key"),
-                    status.alias("status"), "records_without"))
+    known = list(dict.fromkeys(list(spec.required) + list(spec.contract_keys)))
+    # One aggregate pass: the total and, per contract key, the records lacking
+    # it. The result is one row of config-sized width.
+    counts = with_keys.agg(F.count(F.lit(1)).alias("_total"),
+                           *[F.count_if(~F.coalesce(F.array_contains("_keys", k), F.lit(False))).alias(k)
+                             for k in known]).first()
+    contract = raw.sparkSession.createDataFrame([(k, int(counts[k])) for k in known],
+                                                "key string, _without long")
+    status = (F.when(F.col("key").isin(list(spec.required)), "contract")
+              .when(F.col("key").isin(known), "known").otherwise("additive"))
+    return seen.join(contract, "key", "full").select(
+        "key", F.coalesce("records_with_key", F.lit(0)).cast("long").alias("records_with_key"),
+        status.alias("status"),
+        F.coalesce("_without", F.lit(int(counts["_total"])) - F.col("records_with_key"))
+         .cast("long").alias("records_without"))

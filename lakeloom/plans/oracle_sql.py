@@ -160,6 +160,12 @@ ORDER BY cols.query_start_time DESC
 """
 
 
+def _dbl(sql: str, *cols: str) -> str:
+    """Decimals handed over as doubles (see catalog.report_view)."""
+    repl = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+    return f"SELECT * REPLACE ({repl}) FROM ({sql}) AS q"
+
+
 def _w(body: str) -> str:
     return "WITH " + _LANDED + body
 
@@ -201,27 +207,29 @@ ORACLES: dict[str, str] = {
     "stg_events_latest": _w(f"SELECT {_STG_COLS} FROM stg"),
     "stg_incremental_equals_full": _w(f"SELECT {_STG_COLS} FROM stg"),
     "events_by_day": _w("""
-        SELECT CAST(event_timestamp AS DATE) AS event_date, page_name, COUNT(*) AS events,
+        SELECT date_trunc('day', event_timestamp) AS event_date, page_name, COUNT(*) AS events,
                COUNT(DISTINCT user_id) AS users, CAST(SUM(prop_k) AS BIGINT) AS sum_k
         FROM stg GROUP BY 1, 2"""),
-    "stg_accounts": _c("SELECT * FROM acc"),
-    "stg_opportunities": _c("""
-        SELECT opportunity_id, account_id, owner_id, stage_name, amount, close_date, created_date,
-               last_modified_date, _fivetran_synced FROM opp"""),
-    "mart_opportunities": _c("SELECT * FROM mart"),
-    "pipeline_metrics": _c("""
+    "stg_accounts": _dbl(_c("SELECT * FROM acc"), "arr"),
+    "stg_opportunities": _dbl(_c("""
+        SELECT opportunity_id, account_id, owner_id, stage_name, amount,
+               CAST(close_date AS TIMESTAMP) AS close_date, created_date,
+               last_modified_date, _fivetran_synced FROM opp"""), "amount"),
+    "mart_opportunities": _dbl(_c("SELECT * REPLACE (CAST(close_date AS TIMESTAMP) AS close_date) FROM mart"),
+                               "amount", "weighted_amount", "days_to_close"),
+    "pipeline_metrics": _dbl(_c("""
         SELECT pipeline_stage_bucket, customer_tier, COUNT(*) AS opportunities,
                CAST(SUM(amount) AS DECIMAL(38,2)) AS total_amount,
                CAST(SUM(weighted_amount) AS DECIMAL(38,2)) AS weighted_pipeline,
                CAST(AVG(days_to_close) AS DECIMAL(18,2)) AS avg_days_to_close
-        FROM mart GROUP BY 1, 2"""),
-    "mart_finance_bookings": _c("""
+        FROM mart GROUP BY 1, 2"""), "total_amount", "weighted_pipeline", "avg_days_to_close"),
+    "mart_finance_bookings": _dbl(_c("""
         SELECT strftime(close_date, '%Y-%m') AS close_month, industry, COUNT(*) AS bookings,
                CAST(SUM(amount) AS DECIMAL(38,2)) AS booked_amount,
                COUNT(DISTINCT account_id) AS accounts
         FROM mart WHERE stage_name = 'Closed Won' AND close_date IS NOT NULL
-        GROUP BY 1, 2"""),
-    "freshness": _w("""
+        GROUP BY 1, 2"""), "booked_amount"),
+    "freshness": _dbl(_w("""
         , clock AS (SELECT date_trunc('hour', max(ts)) + INTERVAL 1 HOUR AS now FROM events),
         per_page AS (SELECT page_name, max(event_timestamp) AS latest FROM stg GROUP BY page_name)
         SELECT page_name, latest,
@@ -229,10 +237,10 @@ ORACLES: dict[str, str] = {
                  AS lag_hours,
                CASE WHEN CAST(CAST(epoch_us(now) - epoch_us(latest) AS DECIMAL(20,0)) / 3600000000
                               AS DECIMAL(18,3)) <= 2 THEN 'fresh' ELSE 'stale' END AS status
-        FROM per_page CROSS JOIN clock"""),
-    "masked_mart": _c("""
+        FROM per_page CROSS JOIN clock"""), "lag_hours"),
+    "masked_mart": _dbl(_c("""
         SELECT opportunity_id, stage_name, pipeline_stage_bucket, CAST(NULL AS DECIMAL(18,2)) AS amount,
-               CAST(NULL AS DECIMAL(18,2)) AS weighted_amount FROM mart"""),
+               CAST(NULL AS DECIMAL(18,2)) AS weighted_amount FROM mart"""), "amount", "weighted_amount"),
     "account_seed_summary": """
         SELECT 'seeded ' || CAST(COUNT(*) AS VARCHAR)
                || ' accounts into OG_DEV_DB.SALESFORCE_RAW_FIVETRAN.ACCOUNT' AS result
@@ -262,7 +270,7 @@ ORACLES: dict[str, str] = {
         SELECT check_name, model, check_type, failures, severity,
                CASE WHEN failures <= 0 THEN 'pass' WHEN severity = 'warn' THEN 'warn' ELSE 'fail' END AS status
         FROM counts"""),
-    "load_monitoring": _w("""
+    "load_monitoring": _dbl(_w("""
         , per_day AS (
           SELECT file_dt, COUNT(DISTINCT file_hr || '/' || CAST(chunk AS VARCHAR)) AS files,
                  COUNT(*) AS records_processed,
@@ -270,18 +278,18 @@ ORACLES: dict[str, str] = {
         SELECT file_dt, files, records_processed, records_quarantined,
                CAST(CAST(records_quarantined AS DECIMAL(20,0)) / records_processed AS DECIMAL(12,6)) AS reject_rate,
                CAST(CAST(records_quarantined AS DECIMAL(20,0)) / records_processed AS DECIMAL(12,6)) > 0.05 AS alert
-        FROM per_day"""),
+        FROM per_day"""), "reject_rate"),
     "drift_report": _w("""
         , t AS (SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE n % 83 = 0) AS no_ts FROM raw)
         SELECT 'event_id' AS key, total AS records_with_key, 'contract' AS status, CAST(0 AS BIGINT) AS records_without FROM t
         UNION ALL SELECT 'account_id', total, 'contract', 0 FROM t
         UNION ALL SELECT 'user_id', total, 'contract', 0 FROM t
         UNION ALL SELECT 'event_timestamp', total - no_ts, 'contract', no_ts FROM t
-        UNION ALL SELECT 'page_name', total, 'known', NULL FROM t
-        UNION ALL SELECT 'session_id', total, 'known', NULL FROM t
-        UNION ALL SELECT 'properties', total, 'known', NULL FROM t"""),
-    "masked_reader": _c("SELECT account_id, account_name, CAST(NULL AS DECIMAL(18,2)) AS arr FROM acc"),
-    "masked_exempt": _c("SELECT account_id, account_name, arr FROM acc"),
+        UNION ALL SELECT 'page_name', total, 'known', 0 FROM t
+        UNION ALL SELECT 'session_id', total, 'known', 0 FROM t
+        UNION ALL SELECT 'properties', total, 'known', 0 FROM t"""),
+    "masked_reader": _dbl(_c("SELECT account_id, account_name, CAST(NULL AS DECIMAL(18,2)) AS arr FROM acc"), "arr"),
+    "masked_exempt": _dbl(_c("SELECT account_id, account_name, arr FROM acc"), "arr"),
     "mask_email": """
         SELECT 'acct_' || CAST(c_custkey AS VARCHAR) AS account_id,
                regexp_replace(lower(replace(c_name, '#', '.')) || '@example.com', '^[^@]+', '****') AS email
