@@ -62,7 +62,6 @@ def main():
 
     raw = C.committed(spark, fx.warehouse, C.RAW)
     typed = STG.typed_events(raw, Q.SPEC)
-    plain_accounts = Q.accounts(spark, sf_dir).select("account_id", "account_name", "arr")
 
     queries = {
         "ingest_raw": ingest_raw,
@@ -71,7 +70,7 @@ def main():
         "stg_events_latest_window": lambda: noop(latest_by_key_window(typed, ["event_id"], list(STG.EVENT_ORDER))),
         "mart_opportunities": lambda: noop(Q.q_mart_opportunities(spark, sf_dir)),
         "masked_reader": lambda: noop(Q.q_masked_reader(spark, sf_dir)),
-        "plain_reader": lambda: noop(plain_accounts),
+        "plain_reader": lambda: noop(Q.accounts(spark, sf_dir).select("account_id", "account_name", "arr")),
         "access_audit": lambda: noop(Q.q_access_audit(spark, sf_dir)),
         "dq_checks": lambda: noop(Q.q_dq_checks(spark, sf_dir)),
         "events_by_day": lambda: noop(Q.q_events_by_day(spark, sf_dir)),

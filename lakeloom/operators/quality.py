@@ -75,22 +75,43 @@ def _summary(counts: DataFrame, checks: list[Check]) -> DataFrame:
 
 
 def run_checks(models: dict[str, DataFrame], checks: list[Check]) -> DataFrame:
+    """One summary row per check.
+
+    Per model, the row-level checks and (at most) one unique check share a
+    single pass: group by the unique key (no extra shuffle when the model is
+    already partitioned by it, as staged models are), count rows and failing
+    rows per key, then sum. Relationships are one anti-join each.
+    """
     parts: list[DataFrame] = []
     by_model: dict[str, list[Check]] = {}
     for c in checks:
-        if _row_failure(c) is not None:
+        if _row_failure(c) is not None or c.kind == "unique":
             by_model.setdefault(c.model, []).append(c)
     for model, cs in by_model.items():
-        counts = models[model].agg(*[F.count_if(_row_failure(c)).alias(c.name) for c in cs])
-        parts.append(_summary(counts, cs))
-    for c in checks:
-        if c.kind == "unique":
-            df = models[c.model]
-            nonnull = df.where(F.coalesce(*[F.col(x).isNotNull() for x in c.columns]) if len(c.columns) == 1
-                               else F.lit(True))
-            dup = nonnull.groupBy(*c.columns).count().where(F.col("count") > 1)
+        df = models[model]
+        row_checks = [c for c in cs if c.kind != "unique"]
+        uniques = [c for c in cs if c.kind == "unique"]
+        folded = uniques[0] if uniques else None
+        if folded is not None:
+            keys = list(folded.columns)
+            per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"),
+                                            *[F.count_if(_row_failure(c)).alias(c.name) for c in row_checks])
+            key_ok = F.lit(True)
+            for k in keys:
+                key_ok = key_ok & F.col(k).isNotNull()
+            counts = per_key.agg(F.count_if(key_ok & (F.col("_rows") > 1)).alias(folded.name),
+                                 *[F.sum(c.name).alias(c.name) for c in row_checks])
+            parts.append(_summary(counts, [folded] + row_checks))
+        elif row_checks:
+            counts = df.agg(*[F.count_if(_row_failure(c)).alias(c.name) for c in row_checks])
+            parts.append(_summary(counts, row_checks))
+        for c in uniques[1:]:
+            dup = df.groupBy(*c.columns).count().where(F.col("count") > 1)
+            for k in c.columns:
+                dup = dup.where(F.col(k).isNotNull())
             parts.append(_summary(dup.agg(F.count(F.lit(1)).alias(c.name)), [c]))
-        elif c.kind == "relationships":
+    for c in checks:
+        if c.kind == "relationships":
             child = models[c.model].where(F.col(c.columns[0]).isNotNull())
             parent = models[c.to_model].select(F.col(c.to_column).alias("_parent_key"))
             orphans = child.join(parent, child[c.columns[0]] == parent["_parent_key"], "left_anti")
@@ -98,9 +119,10 @@ def run_checks(models: dict[str, DataFrame], checks: list[Check]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    status = (F.when(F.col("failures") <= F.col("threshold"), "pass")
+    status = (F.when(F.coalesce(F.col("failures"), F.lit(0)) <= F.col("threshold"), "pass")
               .when(F.col("severity") == "warn", "warn").otherwise("fail"))
-    return out.withColumn("status", status).select(*SUMMARY_COLUMNS)
+    return (out.withColumn("failures", F.coalesce(F.col("failures"), F.lit(0)).cast("long"))
+            .withColumn("status", status).select(*SUMMARY_COLUMNS))
 
 
 class QualityError(RuntimeError):

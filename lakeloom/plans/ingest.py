@@ -148,13 +148,17 @@ def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: s
     scope = scope or ScanScope.window(lookback_hours=spec.lookback_hours,
                                       max_prefix_days=spec.max_prefix_days)
     run_ts = run_ts or C.run_timestamp()
+    batch = C.new_batch_id(run_ts)
     files = list_files(spark, landing_root, scope)
 
     parts: list[DataFrame] = []
     if force:
         todo = files
     else:
-        loaded = C.loaded_file_names(spark, warehouse)
+        # The skip set is the log as of this run: this batch's own log rows
+        # (written later) never count, however late the report is evaluated.
+        loaded = (C.load_log(spark, warehouse).where(F.col("_batch_id") != batch)
+                  .select("file_name").distinct())
         on = files["_filename"] == loaded["file_name"]
         parts.append(_report_rows(files.join(loaded, on, "left_semi"), "skipped", "already loaded"))
         todo = files.join(loaded, on, "left_anti")
@@ -169,12 +173,13 @@ def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: s
 
     # Paths only (metadata, bounded by the scope): the scan needs them.
     with _phase("list + prune + skip"):
-        paths = sorted(r["path"] for r in todo.select("path").collect())
+        listed = sorted((r["path"], r["_filename"]) for r in todo.select("path", "_filename").collect())
+    paths = [p for p, _ in listed]
     batch_id = None
     if paths:
-        batch_id = C.new_batch_id(run_ts)
+        batch_id = batch
         contents = read_contents(spark, landing_root, scope, paths)
-        attempted = [r["_filename"] for r in todo.select("_filename").collect()]
+        attempted = [name for _, name in listed]
         parts.append(commit_contents(spark, spec, warehouse, contents, run_ts=run_ts,
                                      batch_id=batch_id, attempted=attempted, strict=strict))
 

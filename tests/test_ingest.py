@@ -37,6 +37,7 @@ def test_first_load_golden(spark, sample_landing, tmp_root):
     ])
     t = res.totals().first()
     assert (t.files_loaded, t.rows_loaded, t.rows_quarantined) == (2, 9, 5)
+    assert sorted((r.file_name, r.status) for r in res.report.collect()) == [(F09, "loaded"), (F10, "loaded")]
     # Promoted keys are best effort; the full set lands (invalid rows too).
     row = raw.where(F.col("_filename") == F09).where(F.col("_pos") == 0).first()
     assert row.event_id == "ev_0001" and row.event_timestamp == datetime(2026, 5, 1, 9, 14, 22)
