@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Newest row per key, in one aggregation over one scan.
+
+    NULL keys behave as in ``PARTITION BY``: they form one group and keep one
+    row (staging filters contract-invalid rows, so event ids are never NULL
+    there). A large NULL group is no skew risk: it is combined per task.
+    """
     values = [c for c in df.columns if c not in keys]
     if not values:
         return df.select(*keys).distinct()

@@ -20,6 +20,12 @@ def tmp_root(spark):
     return scratch_dir(spark, "test")
 
 
+@pytest.fixture
+def tmp_root_factory(spark):
+    """Fresh folder per call (hypothesis runs many examples in one test)."""
+    return lambda: scratch_dir(spark, "test")
+
+
 def write_json(path: str, records) -> str:
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "w") as f:

@@ -121,3 +121,10 @@ def test_clean_string(spark):
     df = spark.createDataFrame([("  closed\t won ",), ("NEGOTIATION",), ("   ",), (None,)], "s string")
     assert [r.c for r in df.select(clean_string(F.col("s")).alias("c")).collect()] == [
         "Closed Won", "Negotiation", None, None]
+
+
+def test_null_keys_group_like_partition_by(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), ("a", 3)], "k string, o int")
+    out = sorted(latest_by_key(df, ["k"], ["o"]).collect(), key=lambda r: (r.k or "", r.o))
+    win = sorted(latest_by_key_window(df, ["k"], ["o"]).collect(), key=lambda r: (r.k or "", r.o))
+    assert [(r.k, r.o) for r in out] == [(r.k, r.o) for r in win] == [(None, 2), ("a", 3)]
