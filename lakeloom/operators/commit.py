@@ -132,3 +132,13 @@ def events_between(raw: DataFrame, start, end) -> DataFrame:
     groups); the payload path itself is never filtered."""
     return raw.where((F.col("event_timestamp") >= F.lit(start).cast("timestamp_ntz")) &
                      (F.col("event_timestamp") < F.lit(end).cast("timestamp_ntz")))
+
+
+def register_views(spark: SparkSession, warehouse: str, prefix: str = "") -> list[str]:
+    """Expose the committed tables to Spark SQL as temp views
+    (``raw``, ``quarantine``, ``load_log``, ``run_report``)."""
+    names = []
+    for table in (RAW, QUARANTINE, LOAD_LOG, RUN_REPORT):
+        committed(spark, warehouse, table).createOrReplaceTempView(prefix + table)
+        names.append(prefix + table)
+    return names

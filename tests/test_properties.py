@@ -1,8 +1,6 @@
 """Property tests (hypothesis): contract validation against a plain model,
 order-independent dedup, exempt masking is the identity."""
 
-import json
-import os
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st

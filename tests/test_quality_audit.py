@@ -1,7 +1,6 @@
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from lakeloom.operators import quality as Q
 from lakeloom.operators.audit import column_access

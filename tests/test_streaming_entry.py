@@ -29,3 +29,17 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
     assert [f.name for f in df.schema.fields] == ["event_date", "page_name", "events", "users", "sum_k"]
+
+
+def test_cli_ingest_and_sql_views(spark, sample_landing, tmp_root, capsys):
+    from lakeloom.cli import main
+    wh = f"{tmp_root}/wh"
+    assert main(["ingest", "--landing", sample_landing, "--warehouse", wh, "--backfill"]) == 0
+    out = capsys.readouterr().out
+    assert "Done: 2 file(s), 9 loaded, 5 quarantined." in out
+    assert main(["ingest", "--landing", sample_landing, "--warehouse", wh, "--backfill"]) == 0
+    assert "Done: 0 file(s)" in capsys.readouterr().out
+    C.register_views(spark, wh, prefix="t_")
+    n = spark.sql("SELECT count(*) AS n FROM t_raw r JOIN t_load_log l ON r._filename = l.file_name").first().n
+    assert n == 9
+    assert main(["check-config"]) == 0
