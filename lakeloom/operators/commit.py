@@ -117,7 +117,7 @@ def committed(spark: SparkSession, warehouse: str, table: str) -> DataFrame:
     prune ``_batch_id`` folders dynamically.
     """
     data = read_all(spark, warehouse, table)
-    if table == LOAD_LOG:
+    if table in (LOAD_LOG, RUN_REPORT):  # the log is the marker; reports are written after commit
         return data
     batches = load_log(spark, warehouse).select("_batch_id").distinct()
     return data.join(batches, "_batch_id", "left_semi")

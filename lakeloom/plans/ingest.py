@@ -14,6 +14,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +46,10 @@ class IngestError(RuntimeError):
 
 @dataclass
 class IngestResult:
-    batch_id: str | None
+    batch_id: str | None   # the run id (also the first batch), None when nothing was loaded
     run_ts: datetime
-    report: DataFrame  # file_name, status, detail, records_processed, records_quarantined
+    report: DataFrame      # file_name, status, detail, records_processed, records_quarantined
+    batches: tuple[str, ...] = ()
 
     def totals(self) -> DataFrame:
         """Run totals: files loaded, rows loaded, rows quarantined."""
@@ -141,59 +143,84 @@ def commit_contents(spark: SparkSession, spec: EventSpec, warehouse: str, conten
 
 def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: str,
            scope: ScanScope | None = None, *, force: bool = False, strict: bool = False,
-           run_ts: datetime | None = None, dry_run: bool = False) -> IngestResult:
+           run_ts: datetime | None = None, dry_run: bool = False,
+           max_files_per_batch: int = 10000) -> IngestResult:
     """Load every file in scope that is not yet in the load log (all of them
     with ``force``) and return the per-file run report. ``dry_run`` reports
-    what would be loaded and writes nothing."""
+    what would be loaded and writes nothing.
+
+    A scope with more than ``max_files_per_batch`` files is split by a hash of
+    the file name into chunks, each collected (paths only) and committed as
+    its own batch, so the driver never holds more than one chunk of paths and
+    a failure mid-backfill loses at most one chunk.
+    """
     scope = scope or ScanScope.window(lookback_hours=spec.lookback_hours,
                                       max_prefix_days=spec.max_prefix_days)
     run_ts = run_ts or C.run_timestamp()
-    batch = C.new_batch_id(run_ts)
+    run_id = C.new_batch_id(run_ts)
     files = list_files(spark, landing_root, scope)
 
     parts: list[DataFrame] = []
     if force:
         todo = files
     else:
-        # The skip set is the log as of this run: this batch's own log rows
-        # (written later) never count, however late the report is evaluated.
-        loaded = (C.load_log(spark, warehouse).where(F.col("_batch_id") != batch)
+        # The skip set is the log as of the start of this run: batch ids sort
+        # by time, and this run's batches (written later) sort after run_id.
+        loaded = (C.load_log(spark, warehouse).where(F.col("_batch_id") < run_id)
                   .select("file_name").distinct())
         on = files["_filename"] == loaded["file_name"]
         parts.append(_report_rows(files.join(loaded, on, "left_semi"), "skipped", "already loaded"))
         todo = files.join(loaded, on, "left_anti")
     parts.append(_report_rows(todo.where(F.col("length") > spec.max_file_bytes), "failed", FILE_TOO_LARGE))
-    todo = todo.where(F.col("length") <= spec.max_file_bytes)
+    todo = todo.where(F.col("length") <= spec.max_file_bytes).select("path", "_filename")
     if dry_run:
         parts.append(_report_rows(todo, "would load", scope.mode))
-        report = parts[0]
-        for p in parts[1:]:
-            report = report.unionByName(p)
-        return IngestResult(None, run_ts, report)
-
-    # Paths only (metadata, bounded by the scope): the scan needs them.
-    with _phase("list + prune + skip"):
-        listed = sorted((r["path"], r["_filename"]) for r in todo.select("path", "_filename").collect())
-    paths = [p for p, _ in listed]
-    batch_id = None
-    if paths:
-        batch_id = batch
-        contents = read_contents(spark, landing_root, scope, paths)
-        attempted = [name for _, name in listed]
-        parts.append(commit_contents(spark, spec, warehouse, contents, run_ts=run_ts,
-                                     batch_id=batch_id, attempted=attempted, strict=strict))
-
-    report = parts[0]
-    for p in parts[1:]:
-        report = report.unionByName(p)
-    if batch_id is not None:
-        # Persist the report next to the batch; reading it back cuts lineage.
+        return IngestResult(None, run_ts, _union(parts))
+
+    batches: list[str] = []
+
+    def commit_chunk(listed: list[tuple[str, str]]) -> None:
+        batch_id = run_id if not batches else f"{run_id}_{len(batches):05d}"
+        contents = read_contents(spark, landing_root, scope, [p for p, _ in listed])
+        parts.append(commit_contents(spark, spec, warehouse, contents, run_ts=run_ts, batch_id=batch_id,
+                                     attempted=[name for _, name in listed], strict=strict))
+        batches.append(batch_id)
+
+    # The listing's file index (already on the driver) bounds the scope size
+    # without running a job; only a scope above the batch limit is chunked.
+    if len(files.inputFiles()) <= max_files_per_batch:
+        with _phase("list + prune + skip"):
+            listed = sorted((r["path"], r["_filename"]) for r in todo.collect())
+        if listed:
+            commit_chunk(listed)
+    else:
+        todo = todo.persist(StorageLevel.MEMORY_AND_DISK)  # file metadata only
+        try:
+            n_chunks = max(1, -(-todo.count() // max_files_per_batch))
+            for i in range(n_chunks):
+                chunk = todo.where(F.pmod(F.xxhash64("_filename"), F.lit(n_chunks)) == i)
+                listed = sorted((r["path"], r["_filename"]) for r in chunk.collect())
+                if listed:
+                    commit_chunk(listed)
+        finally:
+            todo.unpersist()
+
+    report = _union(parts)
+    if batches:
+        # Persist the report under the run id; reading it back cuts lineage.
         with _phase("write report"):
-            C.write_batch(report, warehouse, C.RUN_REPORT, batch_id)
-        report = C.read_batch(spark, warehouse, C.RUN_REPORT, batch_id).drop("_batch_id")
+            C.write_batch(report, warehouse, C.RUN_REPORT, run_id)
+        report = C.read_batch(spark, warehouse, C.RUN_REPORT, run_id).drop("_batch_id")
         if strict:
             bad = report.where(F.col("status") == "failed").select("file_name", "detail").collect()
             if bad:
                 raise IngestError(f"{len(bad)} file(s) failed: " +
                                   "; ".join(f"{r.file_name}: {r.detail}" for r in bad[:20]))
-    return IngestResult(batch_id, run_ts, report)
+    return IngestResult(run_id if batches else None, run_ts, report, tuple(batches))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

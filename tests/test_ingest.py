@@ -188,3 +188,19 @@ def test_size_guard_fails_file_without_truncating(spark, sample_landing, tmp_roo
     st = {r.file_name: r.status for r in res.report.collect()}
     assert st == {F09: "failed", F10: "failed"}
     assert C.committed(spark, wh, C.RAW).count() == 0
+
+
+def test_large_scope_commits_in_bounded_batches(spark, tmp_root):
+    root = f"{tmp_root}/landing"
+    for h in range(8):
+        write_json(f"{root}/dt=2026-05-05/hr={h:02d}/f.json", [
+            {"event_id": f"e{h}", "account_id": "a", "event_timestamp": "2026-05-05T00:00:00Z", "user_id": "u"}])
+    wh = f"{tmp_root}/wh"
+    res = ingest(spark, SPEC, root, wh, ScanScope.backfill(), max_files_per_batch=2)
+    log = C.committed(spark, wh, C.LOAD_LOG)
+    assert len(res.batches) > 1  # hash chunks: about 2 files each
+    assert log.select("_batch_id").distinct().count() == len(res.batches)
+    assert log.count() == 8 and C.committed(spark, wh, C.RAW).count() == 8
+    assert sorted(r.status for r in res.report.collect()) == ["loaded"] * 8
+    again = ingest(spark, SPEC, root, wh, ScanScope.backfill(), max_files_per_batch=2)
+    assert again.batch_id is None and {r.status for r in again.report.collect()} == {"skipped"}
