@@ -97,6 +97,20 @@ def q_ingest_load_log(spark, sf_dir):
     return log.select(*_file_cols("file_name"), "records_processed", "records_quarantined")
 
 
+def q_ingest_dry_run(spark, sf_dir):
+    """What a backfill into an empty warehouse would load; nothing is written."""
+    landing = landing_for(spark, sf_dir)
+    res = ingest(spark, SPEC, landing, scratch_dir(spark, "warehouse"), ScanScope.backfill(), dry_run=True)
+    return res.report.select(*_file_cols("file_name"), "status")
+
+
+def q_quarantine_by_reason(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    q = C.committed(spark, fx.warehouse, C.QUARANTINE)
+    return q.groupBy("reason").agg(F.count(F.lit(1)).alias("records"),
+                                   F.count_distinct("_filename").alias("files"))
+
+
 def q_ingest_run_totals(spark, sf_dir):
     return fixture(spark, sf_dir).first_load.totals()
 
@@ -401,6 +415,8 @@ QUERIES = {
     "ingest_quarantine": q_ingest_quarantine,
     "ingest_load_log": q_ingest_load_log,
     "ingest_run_totals": q_ingest_run_totals,
+    "ingest_dry_run": q_ingest_dry_run,
+    "quarantine_by_reason": q_quarantine_by_reason,
     "ingest_rerun_noop": q_ingest_rerun_noop,
     "ingest_force": q_ingest_force,
     "scan_modes": q_scan_modes,

@@ -184,6 +184,13 @@ ORACLES: dict[str, str] = {
     "ingest_run_totals": _w("""
         SELECT COUNT(DISTINCT file_dt || '/' || file_hr || '/' || CAST(chunk AS VARCHAR)) AS files_loaded, COUNT(*) AS rows_loaded,
                COUNT(reason) AS rows_quarantined FROM raw"""),
+    "ingest_dry_run": _w("""
+        SELECT file_dt, file_hr, 'would load' AS status
+        FROM (SELECT DISTINCT file_dt, file_hr, chunk FROM raw)"""),
+    "quarantine_by_reason": _w("""
+        SELECT reason, COUNT(*) AS records,
+               COUNT(DISTINCT file_dt || '/' || file_hr || '/' || CAST(chunk AS VARCHAR)) AS files
+        FROM raw WHERE reason IS NOT NULL GROUP BY reason"""),
     "ingest_rerun_noop": _w("""
         SELECT file_dt, file_hr, 'skipped' AS status, CAST(0 AS BIGINT) AS records_processed,
                CAST(0 AS BIGINT) AS records_quarantined
