@@ -249,7 +249,7 @@ def q_mart_finance_bookings(spark, sf_dir):
 
 
 def q_account_seed_summary(spark, sf_dir):
-    return M.seed_summary(accounts(spark, sf_dir), f"OG_DEV_DB.{ACCOUNT_TABLE}")
+    return M.seed_summary(accounts(spark, sf_dir), f"DEV_DB.{ACCOUNT_TABLE}")
 
 
 # ----------------------------------------------------------------- quality

@@ -118,23 +118,23 @@ WITH ah AS (
          'USER_' || CAST(o_custkey % 20 AS VARCHAR) AS user_name,
          CASE o_orderpriority
            WHEN '1-URGENT' THEN [
-             {'objectName': 'OG_PROD_DB.SALESFORCE_RAW_FIVETRAN.ACCOUNT',
+             {'objectName': 'PROD_DB.SALESFORCE_RAW_FIVETRAN.ACCOUNT',
               'columns': [{'columnName': 'ACCOUNT_NAME'}, {'columnName': 'ARR'}]},
-             {'objectName': 'OG_PROD_DB.SALESFORCE_RAW_FIVETRAN.OPPORTUNITY',
+             {'objectName': 'PROD_DB.SALESFORCE_RAW_FIVETRAN.OPPORTUNITY',
               'columns': [{'columnName': 'AMOUNT'}]}]
            WHEN '2-HIGH' THEN [
-             {'objectName': 'OG_PROD_DB.SALESFORCE_RAW_FIVETRAN.ACCOUNT',
+             {'objectName': 'PROD_DB.SALESFORCE_RAW_FIVETRAN.ACCOUNT',
               'columns': [{'columnName': 'ARR'}]}]
            WHEN '3-MEDIUM' THEN [
-             {'objectName': 'OG_PROD_DB.SALESFORCE_RAW_FIVETRAN.ACCOUNT',
+             {'objectName': 'PROD_DB.SALESFORCE_RAW_FIVETRAN.ACCOUNT',
               'columns': [{'columnName': 'ACCOUNT_NAME'}, {'columnName': 'INDUSTRY'}]}]
            WHEN '4-NOT SPECIFIED' THEN [
-             {'objectName': 'OG_PROD_DB.MARTS_REVOPS.MART_REVOPS__PIPELINE',
+             {'objectName': 'PROD_DB.MARTS_REVOPS.MART_REVOPS__PIPELINE',
               'columns': [{'columnName': 'ARR'}, {'columnName': 'AMOUNT'}]}]
            ELSE [
-             {'objectName': 'OG_PROD_DB.SALESFORCE_RAW_FIVETRAN.OPPORTUNITY',
+             {'objectName': 'PROD_DB.SALESFORCE_RAW_FIVETRAN.OPPORTUNITY',
               'columns': [{'columnName': 'AMOUNT'}, {'columnName': 'STAGE_NAME'}]},
-             {'objectName': 'OG_PROD_DB.SALESFORCE_RAW_FIVETRAN.ACCOUNT',
+             {'objectName': 'PROD_DB.SALESFORCE_RAW_FIVETRAN.ACCOUNT',
               'columns': [{'columnName': 'ARR'}, {'columnName': 'BILLING_STATE'}]}]
          END AS base_objects_accessed
   FROM orders
@@ -250,7 +250,7 @@ ORACLES: dict[str, str] = {
                CAST(NULL AS DECIMAL(18,2)) AS weighted_amount FROM mart"""), "amount", "weighted_amount"),
     "account_seed_summary": """
         SELECT 'seeded ' || CAST(COUNT(*) AS VARCHAR)
-               || ' accounts into OG_DEV_DB.SALESFORCE_RAW_FIVETRAN.ACCOUNT' AS result
+               || ' accounts into DEV_DB.SALESFORCE_RAW_FIVETRAN.ACCOUNT' AS result
         FROM customer""",
     "dq_checks": _c("""
         , counts AS (

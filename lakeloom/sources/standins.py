@@ -180,9 +180,9 @@ def account_feed(customer: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ audit inputs
 
 # Objects and columns a query touches, by order priority.
-ACCOUNT_FQN = "OG_PROD_DB.SALESFORCE_RAW_FIVETRAN.ACCOUNT"
-OPPORTUNITY_FQN = "OG_PROD_DB.SALESFORCE_RAW_FIVETRAN.OPPORTUNITY"
-MART_FQN = "OG_PROD_DB.MARTS_REVOPS.MART_REVOPS__PIPELINE"
+ACCOUNT_FQN = "PROD_DB.SALESFORCE_RAW_FIVETRAN.ACCOUNT"
+OPPORTUNITY_FQN = "PROD_DB.SALESFORCE_RAW_FIVETRAN.OPPORTUNITY"
+MART_FQN = "PROD_DB.MARTS_REVOPS.MART_REVOPS__PIPELINE"
 STATUS_ROLE = {"F": "REVOPS_ADMIN", "O": "REVOPS_ANALYST", "P": "REVOPS_READER"}
 
 
