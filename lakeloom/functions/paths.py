@@ -45,3 +45,10 @@ def relative_path(path: Column, root: str) -> Column:
     return (F.when(path.startswith(q), F.substring(path, len(q) + 1, 1 << 20))
             .when(path.startswith(plain), F.substring(path, len(plain) + 1, 1 << 20))
             .otherwise(path))
+
+
+def file_uri_path(meta_path: Column) -> Column:
+    """``_metadata.file_path`` (URI-encoded: ``a%20b``, ``c%25d``) decoded to
+    the plain path the file listing reports. ``+`` is literal in a URI path,
+    so it is protected before the form decoder runs."""
+    return F.url_decode(F.replace(meta_path, F.lit("+"), F.lit("%2B")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.config import EventSpec
-from lakeloom.functions.paths import relative_path
+from lakeloom.functions.paths import file_uri_path, relative_path
 from lakeloom.operators import commit as C
 from lakeloom.plans.ingest import commit_contents
 
@@ -25,7 +25,8 @@ def ingest_stream(spark: SparkSession, spec: EventSpec, landing_root: str, wareh
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.load(landing_root).select(
-        relative_path(F.col("_metadata.file_path"), landing_root).alias("_filename"), F.col("value"))
+        relative_path(file_uri_path(F.col("_metadata.file_path")), landing_root).alias("_filename"),
+        F.col("value"))
 
     def load_batch(batch: DataFrame, epoch_id: int) -> None:
         todo = batch

@@ -204,3 +204,18 @@ def test_large_scope_commits_in_bounded_batches(spark, tmp_root):
     assert sorted(r.status for r in res.report.collect()) == ["loaded"] * 8
     again = ingest(spark, SPEC, root, wh, ScanScope.backfill(), max_files_per_batch=2)
     assert again.batch_id is None and {r.status for r in again.report.collect()} == {"skipped"}
+
+
+def test_special_characters_in_paths(spark, tmp_root):
+    root = f"{tmp_root}/land ing"
+    names = ["a b.json", "c%d.json", "e+f.json", "ü.json"]
+    for n in names:
+        write_json(f"{root}/dt=2026-05-06/hr=00/{n}", [
+            {"event_id": n, "account_id": "a", "event_timestamp": "2026-05-06T00:00:00Z", "user_id": "u"}])
+    wh = f"{tmp_root}/wh"
+    res = ingest(spark, SPEC, root, wh, ScanScope.backfill())
+    assert sorted(r.file_name for r in res.report.collect() if r.status == "loaded") == \
+        sorted(f"dt=2026-05-06/hr=00/{n}" for n in names)
+    assert sorted(r.event_id for r in C.committed(spark, wh, C.RAW).collect()) == sorted(names)
+    again = ingest(spark, SPEC, root, wh, ScanScope.backfill())
+    assert {r.status for r in again.report.collect()} == {"skipped"}
