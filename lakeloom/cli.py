@@ -2,6 +2,8 @@
 
     python -m lakeloom ingest --env DEV --root <shared root> --warehouse <wh> [--backfill | --prefill D | --path P]
     python -m lakeloom check-config
+    python -m lakeloom build --accounts <p> --opportunities <p> --target-root <root> [--sandbox NAME]
+    python -m lakeloom masked-read --path <p> --table SCHEMA.TABLE --role ROLE
     python -m lakeloom audit --warehouse <wh> --access-history <p> --query-history <p> --object '%SCHEMA.TABLE' --column ARR
 """
 
@@ -57,6 +59,34 @@ def cmd_check_config(args) -> int:
     return 1 if bad else 0
 
 
+def cmd_build(args) -> int:
+    from lakeloom.config import Target
+    from lakeloom.plans.build import build_sales_models
+    from lakeloom.plans.catalog import model_checks
+    from lakeloom.sources.cdc import ACCOUNT_CONTRACT, OPPORTUNITY_CONTRACT, read_cdc
+
+    spark = _session(args)
+    acc = read_cdc(spark, args.accounts, ACCOUNT_CONTRACT)
+    opp = read_cdc(spark, args.opportunities, OPPORTUNITY_CONTRACT)
+    target = Target(args.target_root, sandbox=args.sandbox)
+    summary = build_sales_models(spark, acc, opp, target, model_checks())
+    for r in summary.orderBy("check_name").collect():
+        print(f"{r.status.upper():5s} {r.check_name} failures={r.failures}")
+    return 0
+
+
+def cmd_masked_read(args) -> int:
+    from lakeloom.operators.governance import masked
+    from lakeloom.sources.settings import CONF_DIR, Governance
+
+    spark = _session(args)
+    gov = Governance.load(spark, args.config or CONF_DIR)
+    df = masked(spark, spark.read.parquet(args.path), args.table, args.role, gov)
+    for r in df.limit(args.limit).collect():
+        print(json.dumps(r.asDict(), default=str))
+    return 0
+
+
 def cmd_audit(args) -> int:
     from lakeloom.operators.audit import column_access
 
@@ -93,6 +123,21 @@ def main(argv: list[str] | None = None) -> int:
     chk.add_argument("--config", help="folder of config CSV files")
     chk.set_defaults(fn=cmd_check_config)
 
+    bld = sub.add_parser("build", help="build, test and publish staging and the mart")
+    bld.add_argument("--accounts", required=True, help="account replica (parquet)")
+    bld.add_argument("--opportunities", required=True, help="opportunity replica (parquet)")
+    bld.add_argument("--target-root", required=True)
+    bld.add_argument("--sandbox", help="write <layer>__<model> into this sandbox folder")
+    bld.set_defaults(fn=cmd_build)
+
+    mr = sub.add_parser("masked-read", help="read a classified table as a role")
+    mr.add_argument("--path", required=True)
+    mr.add_argument("--table", required=True, help="SCHEMA.TABLE of the classification")
+    mr.add_argument("--role", required=True)
+    mr.add_argument("--config", help="folder of config CSV files")
+    mr.add_argument("--limit", type=int, default=20)
+    mr.set_defaults(fn=cmd_masked_read)
+
     aud = sub.add_parser("audit", help="who read a column, when")
     aud.add_argument("--access-history", required=True)
     aud.add_argument("--query-history", required=True)

@@ -75,3 +75,19 @@ def test_hash_mask_rule(spark):
     out = G.masked(spark, df, None, "REVOPS_READER", gov, column_tags={"email": ("PII_CONTACT", "email")}).first()
     import hashlib
     assert out.email == hashlib.sha256(b"a@b.c").hexdigest()
+
+
+def test_cli_build_and_masked_read(spark, tmp_root, capsys):
+    from lakeloom.cli import main
+    acc, opp = f"{tmp_root}/acc", f"{tmp_root}/opp"
+    S.account_feed(S.table(spark, SF, "customer")).write.parquet(acc)
+    S.opportunity_feed(S.table(spark, SF, "orders")).write.parquet(opp)
+    assert main(["build", "--accounts", acc, "--opportunities", opp, "--target-root", f"{tmp_root}/t",
+                 "--sandbox", "REVOPS_DEV_ROBIN_LEE"]) == 0
+    out = capsys.readouterr().out
+    assert "unique_stg_opportunities_opportunity_id failures=0" in out and "FAIL " not in out
+    assert main(["masked-read", "--path", acc, "--table", "SALESFORCE_RAW_FIVETRAN.ACCOUNT",
+                 "--role", "REVOPS_READER", "--limit", "3"]) == 0
+    import json
+    rows = [json.loads(x) for x in capsys.readouterr().out.strip().splitlines()]
+    assert len(rows) == 3 and all(r["arr"] is None for r in rows)
