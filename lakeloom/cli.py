@@ -38,7 +38,7 @@ def cmd_ingest(args) -> int:
     print(f"MODE: {scope.mode}" + ("  [force: re-appending loaded files]" if args.force_insert
                                    else "  [skips files already in the load log]"))
     res = ingest(spark, spec, landing, args.warehouse, scope, force=args.force_insert,
-                 strict=args.strict, dry_run=args.dry_run)
+                 strict=args.strict, dry_run=args.dry_run, persist_report=True)
     for r in res.report.orderBy("file_name").collect():
         print(f"{r.status:10s} {r.file_name}  loaded={r.records_processed} quarantined={r.records_quarantined}"
               + (f"  ({r.detail})" if r.detail else ""))

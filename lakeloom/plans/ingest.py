@@ -144,7 +144,7 @@ def commit_contents(spark: SparkSession, spec: EventSpec, warehouse: str, conten
 def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: str,
            scope: ScanScope | None = None, *, force: bool = False, strict: bool = False,
            run_ts: datetime | None = None, dry_run: bool = False,
-           max_files_per_batch: int = 10000) -> IngestResult:
+           max_files_per_batch: int = 10000, persist_report: bool = False) -> IngestResult:
     """Load every file in scope that is not yet in the load log (all of them
     with ``force``) and return the per-file run report. ``dry_run`` reports
     what would be loaded and writes nothing.
@@ -153,6 +153,11 @@ def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: s
     the file name into chunks, each collected (paths only) and committed as
     its own batch, so the driver never holds more than one chunk of paths and
     a failure mid-backfill loses at most one chunk.
+
+    The report stays a DataFrame over the listing and this run's log batches
+    (the skip set is pinned to batches older than the run, so it is stable
+    however late it is evaluated); ``persist_report`` also writes it to the
+    ``run_report`` table.
     """
     scope = scope or ScanScope.window(lookback_hours=spec.lookback_hours,
                                       max_prefix_days=spec.max_prefix_days)
@@ -207,10 +212,10 @@ def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: s
 
     report = _union(parts)
     if batches:
-        # Persist the report under the run id; reading it back cuts lineage.
-        with _phase("write report"):
-            C.write_batch(report, warehouse, C.RUN_REPORT, run_id)
-        report = C.read_batch(spark, warehouse, C.RUN_REPORT, run_id).drop("_batch_id")
+        if persist_report:  # reading it back also cuts lineage
+            with _phase("write report"):
+                C.write_batch(report, warehouse, C.RUN_REPORT, run_id)
+            report = C.read_batch(spark, warehouse, C.RUN_REPORT, run_id).drop("_batch_id")
         if strict:
             bad = report.where(F.col("status") == "failed").select("file_name", "detail").collect()
             if bad:

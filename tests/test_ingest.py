@@ -219,3 +219,10 @@ def test_special_characters_in_paths(spark, tmp_root):
     assert sorted(r.event_id for r in C.committed(spark, wh, C.RAW).collect()) == sorted(names)
     again = ingest(spark, SPEC, root, wh, ScanScope.backfill())
     assert {r.status for r in again.report.collect()} == {"skipped"}
+
+
+def test_persisted_report(spark, sample_landing, tmp_root):
+    wh = f"{tmp_root}/wh"
+    ingest(spark, SPEC, sample_landing, wh, ScanScope.backfill(), persist_report=True)
+    rep = C.committed(spark, wh, C.RUN_REPORT)
+    assert sorted((r.file_name, r.status) for r in rep.collect()) == [(F09, "loaded"), (F10, "loaded")]
