@@ -21,14 +21,25 @@ from lakeloom.plans import marts as M
 from lakeloom.plans import staging as STG
 
 
-def publish(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """Write a new version of the model and make it current; returns it."""
+def write_version(spark: SparkSession, df: DataFrame, path: str) -> tuple[int, str, DataFrame]:
+    """Write a new, not yet current version of a model; returns it read back."""
     version = time.time_ns() // 1000
     data = f"{path.rstrip('/')}/v_{version}_{uuid.uuid4().hex[:8]}"
     df.write.mode("errorifexists").parquet(data)
+    return version, data, spark.read.parquet(data)
+
+
+def make_current(spark: SparkSession, path: str, version: int, data: str) -> None:
+    """Append the version row: from now on readers see this version."""
     spark.createDataFrame([(version, data)], "version long, path string") \
         .write.mode("append").parquet(f"{path.rstrip('/')}/_versions")
-    return spark.read.parquet(data)
+
+
+def publish(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Write a new version of the model and make it current; returns it."""
+    version, data, written = write_version(spark, df, path)
+    make_current(spark, path, version, data)
+    return written
 
 
 def read_model(spark: SparkSession, path: str) -> DataFrame | None:
@@ -42,17 +53,22 @@ def read_model(spark: SparkSession, path: str) -> DataFrame | None:
 
 def build_sales_models(spark: SparkSession, accounts_src: DataFrame, opportunities_src: DataFrame,
                        target: Target, checks: list[Q.Check]) -> DataFrame:
-    """Build, test and publish staging and mart; a failing error check blocks
-    publication of the layer it tests. Returns the check summary."""
-    acc = STG.stg_accounts(accounts_src)
-    opp = STG.stg_opportunities(opportunities_src)
+    """Build, test and publish staging and mart. Each model is computed once:
+    it is written as a new version, the checks run on the written data, and
+    only a passing layer becomes current. Returns the check summary."""
+    acc_path, opp_path = target.path("staging", "stg_accounts"), target.path("staging", "stg_opportunities")
+    acc_v = write_version(spark, STG.stg_accounts(accounts_src), acc_path)
+    opp_v = write_version(spark, STG.stg_opportunities(opportunities_src), opp_path)
     staging_checks = [c for c in checks if c.model.startswith("stg_")]
-    summary = Q.assert_checks(Q.run_checks({"stg_accounts": acc, "stg_opportunities": opp}, staging_checks))
-    acc = publish(spark, acc, target.path("staging", "stg_accounts"))
-    opp = publish(spark, opp, target.path("staging", "stg_opportunities"))
-    mart = M.mart_opportunities(opp, acc)
+    summary = Q.assert_checks(Q.run_checks({"stg_accounts": acc_v[2], "stg_opportunities": opp_v[2]},
+                                           staging_checks))
+    make_current(spark, acc_path, acc_v[0], acc_v[1])
+    make_current(spark, opp_path, opp_v[0], opp_v[1])
+    mart_path = target.path("marts", "mart_opportunities")
+    mart_v = write_version(spark, M.mart_opportunities(opp_v[2], acc_v[2]), mart_path)
     mart_checks = [c for c in checks if c.model == "mart_opportunities"]
     if mart_checks:
-        summary = summary.unionByName(Q.assert_checks(Q.run_checks({"mart_opportunities": mart}, mart_checks)))
-    publish(spark, mart, target.path("marts", "mart_opportunities"))
+        summary = summary.unionByName(Q.assert_checks(Q.run_checks({"mart_opportunities": mart_v[2]},
+                                                                   mart_checks)))
+    make_current(spark, mart_path, mart_v[0], mart_v[1])
     return summary

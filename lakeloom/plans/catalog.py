@@ -23,7 +23,7 @@ from lakeloom.plans import marts as M
 from lakeloom.plans import monitoring as MON
 from lakeloom.plans import staging as STG
 from lakeloom.plans.ingest import IngestResult, ingest
-from lakeloom.session import scratch_dir
+from lakeloom.session import scratch_dir, work_root
 from lakeloom.sources import standins as S
 from lakeloom.sources.cdc import ACCOUNT_CONTRACT, OPPORTUNITY_CONTRACT, conform
 from lakeloom.sources.landing import ScanScope, date_prefixes
@@ -271,8 +271,14 @@ def model_checks() -> list[Q.Check]:
 
 
 def q_dq_checks(spark, sf_dir):
-    models = {"stg_opportunities": opportunities(spark, sf_dir), "stg_accounts": accounts(spark, sf_dir),
-              "mart_opportunities": mart(spark, sf_dir)}
+    """All model checks. Each staged model is computed once and checkpointed
+    (reliable, in spark.checkpoint.dir); every check and the mart then scan
+    that result instead of recomputing the dedup per branch."""
+    work_root(spark)  # makes sure a checkpoint folder is set
+    opp = opportunities(spark, sf_dir).checkpoint()
+    acc = accounts(spark, sf_dir).checkpoint()
+    models = {"stg_opportunities": opp, "stg_accounts": acc,
+              "mart_opportunities": M.mart_opportunities(opp, acc)}
     return Q.run_checks(models, model_checks())
 
 
