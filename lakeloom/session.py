@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _LOCAL_FALLBACK: dict[str, str] = {}
+_CONTEXT_DIR_SET: set[str] = set()
 
 
 def work_root(spark: SparkSession) -> str:
@@ -20,9 +21,18 @@ def work_root(spark: SparkSession) -> str:
     machine-local folder is not visible to executors.
     """
     conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    root = conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        # Named only in the session conf: point DataFrame.checkpoint() at the
+        # same shared folder (once per application).
+        app = spark.sparkContext.applicationId
+        if app not in _CONTEXT_DIR_SET:
+            spark.sparkContext.setCheckpointDir(root)
+            _CONTEXT_DIR_SET.add(app)
+        return root.rstrip("/")
     master = spark.sparkContext.master
     if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
