@@ -50,3 +50,19 @@ def test_dedup_order_independent(spark, tmp_root_factory, rows, seed):
     b = sorted(latest_by_key(df.orderBy(F.rand(seed)).repartition(4), ["k"], ["o"]).collect())
     expect = sorted({k: max(o for kk, o in rows if kk == k) for k, _ in rows}.items())
     assert a == b and [(r.k, r.o) for r in a] == expect
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.decimals(min_value=-10**6, max_value=10**6, places=2,
+                                                 allow_nan=False, allow_infinity=False)),
+                min_size=1, max_size=20),
+       st.sampled_from(["REVOPS_ADMIN", "SYSADMIN", "FINANCE_ANALYST", "REVOPS_DEVELOPER"]))
+def test_exempt_read_is_identity(spark, tmp_root_factory, values, role):
+    from lakeloom.operators.governance import masked
+    from lakeloom.sources.settings import Governance
+    gov = Governance.load(spark)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, arr decimal(18,2)")
+    out = masked(spark, df, "SALESFORCE_RAW_FIVETRAN.ACCOUNT", role, gov)
+    assert sorted(out.collect()) == sorted(df.collect())
+    hidden = masked(spark, df, "SALESFORCE_RAW_FIVETRAN.ACCOUNT", "REVOPS_READER", gov)
+    assert [r.arr for r in hidden.collect()] == [None] * len(values)
