@@ -45,7 +45,13 @@ def role_edges(gov: Governance) -> DataFrame:
 
 def role_closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(role, member): every role reachable from ``role`` (itself included),
-    resolved with a recursive CTE (depth-capped against cycles)."""
+    resolved with a recursive CTE (depth-capped against cycles).
+
+    The edge list is config-sized; it is collected once so each recursion
+    step joins a local relation instead of re-reading the config files.
+    """
+    edges = spark.createDataFrame(edges.select("holder", "member").distinct().collect(),
+                                  "holder string, member string")
     nodes = edges.select(F.col("holder").alias("r")).unionByName(edges.select(F.col("member").alias("r"))).distinct()
     return spark.sql(
         f"""
