@@ -1,6 +1,7 @@
 """Command line: the loader and the other jobs, run with spark-submit or python.
 
     python -m lakeloom ingest --env DEV --root <shared root> --warehouse <wh> [--backfill | --prefill D | --path P]
+    python -m lakeloom stream --landing <p> --warehouse <wh> --checkpoint <ckpt> [--available-now | --every '1 minute']
     python -m lakeloom check-config
     python -m lakeloom build --accounts <p> --opportunities <p> --target-root <root> [--sandbox NAME]
     python -m lakeloom masked-read --path <p> --table SCHEMA.TABLE --role ROLE
@@ -47,6 +48,20 @@ def cmd_ingest(args) -> int:
     return 0
 
 
+def cmd_stream(args) -> int:
+    from lakeloom.config import EVENTS
+    from lakeloom.streaming.file_arrival import ingest_stream
+
+    spark = _session(args)
+    spec = EVENTS[args.event]
+    landing = args.landing or spec.landing_root(args.root, args.env)
+    q = ingest_stream(spark, spec, landing, args.warehouse, args.checkpoint,
+                      available_now=args.available_now, processing_time=args.every,
+                      max_files_per_trigger=args.max_files_per_trigger)
+    q.awaitTermination()
+    return 0 if q.exception() is None else 1
+
+
 def cmd_check_config(args) -> int:
     from lakeloom.operators.config_rules import config_violations
     from lakeloom.sources.settings import CONF_DIR, Governance
@@ -119,6 +134,18 @@ def main(argv: list[str] | None = None) -> int:
     ing.add_argument("--dry-run", action="store_true")
     ing.set_defaults(fn=cmd_ingest)
 
+    stm = sub.add_parser("stream", help="file-arrival ingest with Structured Streaming")
+    stm.add_argument("--env", default="DEV", choices=["DEV", "QA", "PROD"])
+    stm.add_argument("--event", default="page_views")
+    stm.add_argument("--root", default="")
+    stm.add_argument("--landing")
+    stm.add_argument("--warehouse", required=True)
+    stm.add_argument("--checkpoint", required=True, help="streaming checkpoint folder (shared storage)")
+    stm.add_argument("--available-now", action="store_true", help="drain what is there, then stop")
+    stm.add_argument("--every", default="1 minute", help="processing-time trigger interval")
+    stm.add_argument("--max-files-per-trigger", type=int, default=1000)
+    stm.set_defaults(fn=cmd_stream)
+
     chk = sub.add_parser("check-config", help="validate the governance config tables")
     chk.add_argument("--config", help="folder of config CSV files")
     chk.set_defaults(fn=cmd_check_config)

@@ -74,3 +74,11 @@ def test_late_file_in_window_rescan(spark, sample_landing, tmp_root):
     wh2 = f"{tmp_root}/wh2"
     assert ingest(spark, SPEC, sample_landing, wh2, ScanScope.window(datetime(2026, 5, 10), 48)).batch_id is None
     assert ingest(spark, SPEC, sample_landing, wh2, ScanScope.prefill("2026-05-01")).totals().first().files_loaded == 3
+
+
+def test_cli_stream_available_now(spark, sample_landing, tmp_root):
+    from lakeloom.cli import main
+    wh = f"{tmp_root}/wh"
+    assert main(["stream", "--landing", sample_landing, "--warehouse", wh,
+                 "--checkpoint", f"{tmp_root}/ckpt", "--available-now"]) == 0
+    assert C.committed(spark, wh, C.RAW).count() == 9
