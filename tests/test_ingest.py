@@ -226,3 +226,16 @@ def test_persisted_report(spark, sample_landing, tmp_root):
     ingest(spark, SPEC, sample_landing, wh, ScanScope.backfill(), persist_report=True)
     rep = C.committed(spark, wh, C.RUN_REPORT)
     assert sorted((r.file_name, r.status) for r in rep.collect()) == [(F09, "loaded"), (F10, "loaded")]
+
+
+def test_run_with_only_empty_and_bad_files(spark, tmp_root):
+    root = f"{tmp_root}/landing"
+    write_json(f"{root}/dt=2026-05-07/hr=00/empty.json", "[]")
+    write_json(f"{root}/dt=2026-05-07/hr=01/bad.json", "not json")
+    wh = f"{tmp_root}/wh"
+    res = ingest(spark, SPEC, root, wh, ScanScope.backfill(), persist_report=True)
+    assert sorted((r.file_name, r.status) for r in res.report.collect()) == [
+        ("dt=2026-05-07/hr=00/empty.json", "empty"), ("dt=2026-05-07/hr=01/bad.json", "failed")]
+    assert C.committed(spark, wh, C.RAW).count() == 0
+    assert C.committed(spark, wh, C.LOAD_LOG).count() == 0
+    assert res.totals().first().files_loaded == 0
