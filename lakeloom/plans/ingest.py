@@ -211,16 +211,15 @@ def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: s
             todo.unpersist()
 
     report = _union(parts)
-    if batches:
-        if persist_report:  # reading it back also cuts lineage
-            with _phase("write report"):
-                C.write_batch(report, warehouse, C.RUN_REPORT, run_id)
-            report = C.read_batch(spark, warehouse, C.RUN_REPORT, run_id).drop("_batch_id")
-        if strict:
-            bad = report.where(F.col("status") == "failed").select("file_name", "detail").collect()
-            if bad:
-                raise IngestError(f"{len(bad)} file(s) failed: " +
-                                  "; ".join(f"{r.file_name}: {r.detail}" for r in bad[:20]))
+    if batches and persist_report:  # reading it back also cuts lineage
+        with _phase("write report"):
+            C.write_batch(report, warehouse, C.RUN_REPORT, run_id)
+        report = C.read_batch(spark, warehouse, C.RUN_REPORT, run_id).drop("_batch_id")
+    if strict:  # after the good files committed; too-large files count as failed too
+        bad = report.where(F.col("status") == "failed").select("file_name", "detail").collect()
+        if bad:
+            raise IngestError(f"{len(bad)} file(s) failed: " +
+                              "; ".join(f"{r.file_name}: {r.detail}" for r in bad[:20]))
     return IngestResult(run_id if batches else None, run_ts, report, tuple(batches))
 
 

@@ -188,6 +188,8 @@ def test_size_guard_fails_file_without_truncating(spark, sample_landing, tmp_roo
     st = {r.file_name: r.status for r in res.report.collect()}
     assert st == {F09: "failed", F10: "failed"}
     assert C.committed(spark, wh, C.RAW).count() == 0
+    with pytest.raises(IngestError):
+        ingest(spark, small, sample_landing, wh, ScanScope.backfill(), strict=True)
 
 
 def test_large_scope_commits_in_bounded_batches(spark, tmp_root):
