@@ -45,7 +45,15 @@ def timed(fn, reps=REPS):
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, shuffle_partitions=max(8, 2 * int(cpus)) if cpus.isdigit() else 16)
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):  # stage/task times without the UI
+        import tempfile
+
+        extra = {"spark.eventLog.enabled": "true",
+                 "spark.eventLog.dir": tempfile.mkdtemp(prefix="run-events-", dir="/tmp")}
+        print(f"event log: {extra['spark.eventLog.dir']}", file=sys.stderr)
+    spark = local_session(cpus, shuffle_partitions=max(8, 2 * int(cpus)) if cpus.isdigit() else 16,
+                          extra_conf=extra)
 
     t0 = time.perf_counter()
     fx = Q.fixture(spark, sf_dir)  # landing from events + one backfill load

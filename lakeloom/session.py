@@ -48,7 +48,8 @@ def scratch_dir(spark: SparkSession, kind: str) -> str:
     return f"{work_root(spark)}/lakeloom/{kind}/{uuid.uuid4().hex}"
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
+                  extra_conf: dict | None = None) -> SparkSession:
     """Session used by tests and the bench (UI off, AQE on, UTC)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -60,6 +61,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("LAKELOOM_DRIVER_MEMORY", "8g"))
     )
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
