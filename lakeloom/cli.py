@@ -41,8 +41,9 @@ def cmd_ingest(args) -> int:
     res = ingest(spark, spec, landing, args.warehouse, scope, force=args.force_insert,
                  strict=args.strict, dry_run=args.dry_run, persist_report=True)
     for r in res.report.orderBy("file_name").collect():
-        print(f"{r.status:10s} {r.file_name}  loaded={r.records_processed} quarantined={r.records_quarantined}"
-              + (f"  ({r.detail})" if r.detail else ""))
+        counts = (f"  loaded={r.records_processed} quarantined={r.records_quarantined}"
+                  if r.status == "loaded" else "")
+        print(f"{r.status:10s} {r.file_name}{counts}" + (f"  ({r.detail})" if r.detail else ""))
     t = res.totals().first()
     print(f"Done: {t.files_loaded} file(s), {t.rows_loaded} loaded, {t.rows_quarantined} quarantined.")
     return 0
