@@ -26,7 +26,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(E.ORACLES))
 def test_query_matches_oracle(spark, duck, name):
     got = E.queries()[name](spark, SF).toPandas()
     want = duck.execute(E.oracle_sql()[name]).df()
@@ -34,4 +34,4 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E.QUERIES) == set(E.ORACLES)
