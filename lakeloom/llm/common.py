@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import lakeloom
 from lakeloom.session import scratch_dir
 
 #: Rows that go to a Python worker at once; texts and pages are long rows.
@@ -23,9 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows, since a row here is a whole text."""
+_SHIPPED: set[str] = set()
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Send the package to the Python workers (once per application) and bound
+    the Arrow batches by rows, since a row here is a whole text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(lakeloom.__file__).parent
+    # The driver's own folder: Spark's file server hands the archive to the executors.
+    archive = Path(tempfile.mkdtemp(prefix="lakeloom-package-"), "lakeloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
@@ -102,3 +123,38 @@ def word_hashes(text: Column) -> Column:
     lower-cased. Null or wordless text: an empty array."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
+
+
+class PieceStore:
+    """Ids of distinct text pieces, each encoded once per worker.
+
+    ``encode_new`` gets a list of new pieces and returns an integer array for
+    each. Pieces are numbered as they come; beyond ``limit`` the store starts
+    anew, which costs time but changes no result."""
+
+    def __init__(self, encode_new: Callable[[list[str]], list[np.ndarray]], limit: int):
+        self.encode_new, self.limit = encode_new, limit
+        self._empty()
+
+    def _empty(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__  # the next number for each new piece
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids(self, each: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (lists of pieces) one after another, and the ids per text."""
+        if len(self.number) > self.limit:
+            self._empty()
+        pieces = np.fromiter(map(len, each), np.int64, len(each))
+        seq = np.fromiter(map(self.number.__getitem__, chain.from_iterable(each)), np.int64, int(pieces.sum()))
+        new = list(islice(self.number, len(self.size), None))
+        if new:
+            parts = self.encode_new(new)
+            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, *parts]).astype(np.uint32)
+        size = self.size[seq]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[seq] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pieces)])])

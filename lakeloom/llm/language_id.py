@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lakeloom.llm.common import char_class, code_points, crc32_of_id, mix64, passes, small_batches
+from lakeloom.llm.common import char_class, code_points, crc32_of_id, mix64, passes, prepare_workers
 
 SAMPLE_PER_LANGUAGE = 2000
 PROFILE_SIZE = 4000
@@ -119,6 +119,7 @@ class LanguageFilter:
 def fit(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE,
         profile_size: int = PROFILE_SIZE, max_languages: int = MAX_LANGUAGES) -> LanguageFilter:
     """Learn from rows (text, lang, sample key ``doc_id``) with non-null lang."""
+    prepare_workers(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").select(
         "lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw"))
     sizes = (rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect())
@@ -155,7 +156,7 @@ PREDICTION = T.StructType([
 
 def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """One row per document: doc_id, lang_pred, score, coverage."""
-    small_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +171,7 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 def keep(docs: DataFrame, model: LanguageFilter, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """The documents in a learned language, with the columns of ``docs``; those
     without letters, or whose trigrams hardly occur in any profile, go."""
-    small_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

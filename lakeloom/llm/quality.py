@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.common import char_class, code_points, crc32_of_id, mix64, passes, small_batches, stored
+from lakeloom.llm.common import char_class, code_points, crc32_of_id, mix64, passes, prepare_workers, stored
 
 SHRINK_TO_POOLED = 0.1
 SHRINK_TO_SPHERE = 0.02
@@ -148,7 +148,7 @@ STATISTICS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField(
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the feature vector of every whole text."""
-    small_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Discriminan
 
 def keep(docs: DataFrame, model: Discriminant, keep_from: float = KEEP_FROM) -> DataFrame:
     """The documents that score at least ``keep_from``, with the columns of ``docs``."""
-    small_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

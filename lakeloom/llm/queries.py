@@ -5,13 +5,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import language_id, quality
+from lakeloom.llm import byte_bpe, language_id, quality, token_files
 from lakeloom.llm.common import crc32_of_id, table
 
 
+BYTE_BPE_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_BPE_FILE = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 1
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(language_id.training_rows(docs))
@@ -19,6 +25,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.pmod(crc32_of_id("doc_id"), F.lit(5)) == 0).alias("held_out"), "lang_pred", "score", "coverage")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE_FILE, public_tokenizers.PATTERN)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write(table(spark, sf_dir, "documents"), WORD_BPE_FILE, END_ID)
+    return token_files.read(files)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores, _ = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scores.select("doc_id", (F.pmod(crc32_of_id("doc_id"), F.lit(4)) == 2).alias("held_out"), "score", "predicted")
@@ -26,6 +41,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_token_files": op7_token_files,
     "op8_quality": op8_quality,
 }
 ORACLES: dict[str, str] = {}
