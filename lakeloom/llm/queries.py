@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import byte_bpe, language_id, quality, token_files
+from lakeloom.llm import byte_bpe, language_id, near_dedup, quality, token_files
 from lakeloom.llm.common import crc32_of_id, table
 
 
@@ -18,6 +18,10 @@ WORD_BPE_FILE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(language_id.training_rows(docs))
@@ -40,6 +44,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_token_files": op7_token_files,
