@@ -9,12 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import byte_bpe, language_id, near_dedup, quality, token_files
+from lakeloom.llm import byte_bpe, decontaminate, language_id, near_dedup, quality, token_files
 from lakeloom.llm.common import crc32_of_id, table
 
 
 BYTE_BPE_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE_FILE = public_tokenizers.path("word_bpe_49k.json")
+PATTERN = public_tokenizers.PATTERN
 END_ID = 1
 
 
@@ -30,7 +31,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE_FILE, public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE_FILE, PATTERN)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +44,34 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (F.pmod(crc32_of_id("doc_id"), F.lit(4)) == 2).alias("held_out"), "score", "predicted")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository's top; it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_token_files": op7_token_files,
     "op8_quality": op8_quality,
+    "op10_decontaminate": op10_decontaminate,
+    "pipeline": pipeline,
+}
+
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+_SHINGLES = "list_distinct(list_transform(range(0, greatest(len(w) - 4, 0)), lambda i: array_to_string(w[i + 1:i + 5], ' ')))"
+
+ORACLES: dict[str, str] = {
+    "op10_decontaminate": f"""
+        WITH i AS (SELECT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+             d AS (SELECT doc_id, unnest({_SHINGLES}) AS h FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+             e AS (SELECT item_id, len(s) AS n, unnest(s) AS h FROM i)
+        SELECT doc_id, item_id, count(*) AS shared, any_value(n) AS item_shingles, count(*) / any_value(n) AS containment
+        FROM d JOIN e USING (h) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n) - 1e-9""",
 }
-ORACLES: dict[str, str] = {}
