@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import byte_bpe, decontaminate, language_id, near_dedup, quality, token_files
+from lakeloom.llm import byte_bpe, decontaminate, language_id, near_dedup, quality, token_files, url_templates
 from lakeloom.llm.common import crc32_of_id, table
 
 
@@ -17,6 +17,7 @@ BYTE_BPE_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE_FILE = public_tokenizers.path("word_bpe_49k.json")
 PATTERN = public_tokenizers.PATTERN
 END_ID = 1
+BLOCK, ALLOW = ("net/", "example.com/de/"), ("example.net/en/", "org/fr/")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.pmod(crc32_of_id("doc_id"), F.lit(5)) == 0).alias("held_out"), "lang_pred", "score", "coverage")
 
 
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"), BLOCK, ALLOW)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE_FILE, PATTERN)
 
@@ -57,6 +62,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
+    "op3_url_templates": op3_url_templates,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_token_files": op7_token_files,
     "op8_quality": op8_quality,
@@ -67,7 +73,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _SHINGLES = "list_distinct(list_transform(range(0, greatest(len(w) - 4, 0)), lambda i: array_to_string(w[i + 1:i + 5], ' ')))"
 
+_DIGITS, _NUMBERED, _MIXED = "'^[0-9]+$'", "'^[0-9]+\\.[A-Za-z0-9]+$'", "'^[0-9A-Fa-f-]{8,}$'"
+
+
+def _token_sql(s: str) -> str:
+    return (f"CASE WHEN regexp_matches({s}, {_DIGITS}) THEN '{{n}}' WHEN regexp_matches({s}, {_NUMBERED}) "
+            f"THEN '{{n}}.' || regexp_extract({s}, '([^.]*)$', 1) WHEN regexp_matches({s}, {_MIXED}) AND regexp_matches({s}, '[0-9]') THEN '{{id}}' END")
+
+
+def _level_sql(k: int) -> str:
+    """Template after ``k`` levels (t{k}) from t{k - 1}."""
+    return f"""
+        s{k} AS (SELECT *, segments[{k}] AS segment FROM t{k - 1}),
+        v{k} AS (SELECT host, template FROM (SELECT host, template, segment, sum(n) AS n FROM s{k} WHERE segment IS NOT NULL
+                     AND ({_token_sql('segment')}) IS NULL GROUP BY ALL) GROUP BY host, template HAVING count(*) >= 10 AND count(*) >= 0.5 * sum(n)),
+        t{k} AS (SELECT host, path, n, b, a, segments, CASE WHEN segment IS NULL THEN template ELSE template || '/' ||
+                     coalesce({_token_sql('segment')}, CASE WHEN (host, template) IN (SELECT (host, template) FROM v{k}) THEN '*' END, segment) END AS template FROM s{k})"""
+
+
+URL_SQL = f"""
+    WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        r(rule, rule_host, prefix, ruled) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+                   ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+        f AS (SELECT u.*, rule, ruled FROM u LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, prefix)),
+        p AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(ruled, length(rule)) AS ruled
+              FROM (SELECT *, row_number() OVER () AS _ FROM f) GROUP BY page_id, host, path),
+        t0 AS (SELECT host, path, count(*) AS n, count(*) FILTER (ruled = 'block') AS b, count(*) FILTER (ruled = 'allow') AS a,
+                   CASE WHEN path = '' THEN [] ELSE string_split(path, '/')[2:] END AS segments, '' AS template FROM p GROUP BY host, path),
+        {",".join(map(_level_sql, (1, 2, 3, 4)))},
+        t AS (SELECT host, path, b, a, template || CASE WHEN len(segments) > 4 THEN '/**' ELSE '' END AS template FROM t4),
+        m AS (SELECT *, regexp_extract(template, '(?s)^(/[^/]*)', 1) AS branch FROM t),
+        q AS (SELECT *, substr(template, length(branch) + 1) AS below FROM m),
+        st AS (SELECT host, branch, count(DISTINCT below) AS subs, min(below) AS low, max(below) AS high, sum(b) AS b, sum(a) AS a
+               FROM q WHERE branch <> '' GROUP BY host, branch),
+        w AS (SELECT *, b + a AS c, b / (b + a) + 1.96 * 1.96 / (2 * (b + a)) AS middle,
+                  1.96 * sqrt((b / (b + a)) * (a / (b + a)) / (b + a) + 1.96 * 1.96 / (4 * (b + a) * (b + a))) AS half FROM st),
+        k AS (SELECT host, branch, subs, low, high, CASE WHEN c = 0 THEN 'none' WHEN (middle - half) / (1 + 1.96 * 1.96 / c) > 0.5 THEN 'block'
+                  WHEN (middle + half) / (1 + 1.96 * 1.96 / c) < 0.5 THEN 'allow' ELSE 'mixed' END AS kind FROM w),
+        j AS (SELECT host, branch, '/*' || CASE WHEN kind = 'none' THEN '' ELSE '{{' || kind || '}}' END AS joint
+              FROM (SELECT *, count(*) OVER (PARTITION BY host, subs, low, high, kind) AS alike FROM k) WHERE alike > 1),
+        z AS (SELECT host, path, b, a, coalesce(joint, branch) || below AS template FROM q LEFT JOIN j USING (host, branch)),
+        g AS (SELECT coalesce(sum(b) / nullif(sum(b) + sum(a), 0), 0.5) AS share FROM t0),
+        x AS (SELECT host, template, sum(b) AS tb, (sum(b) + 2.0::DOUBLE * any_value(share)) / (sum(b) + sum(a) + 2.0::DOUBLE) AS purity
+              FROM z, g GROUP BY host, template)
+    SELECT page_id, p.host, p.path, rule, coalesce(ruled, CASE WHEN tb > 0 AND purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, template, purity
+    FROM p JOIN z USING (host, path) JOIN x USING (host, template)"""
+
 ORACLES: dict[str, str] = {
+    "op3_url_templates": URL_SQL,
     "op10_decontaminate": f"""
         WITH i AS (SELECT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
              d AS (SELECT doc_id, unnest({_SHINGLES}) AS h FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
