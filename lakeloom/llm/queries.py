@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import byte_bpe, decontaminate, language_id, near_dedup, quality, token_files, url_templates
+from lakeloom.llm import byte_bpe, decontaminate, language_id, near_dedup, quality, token_files, url_templates, vector_search, warc
 from lakeloom.llm.common import crc32_of_id, table
 
 
@@ -35,6 +35,15 @@ def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages"), BLOCK, ALLOW)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE_FILE, PATTERN)
 
@@ -63,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
     "op3_url_templates": op3_url_templates,
+    "op4_warc": op4_warc,
+    "op5_vector_search": op5_vector_search,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_token_files": op7_token_files,
     "op8_quality": op8_quality,
@@ -123,6 +134,14 @@ URL_SQL = f"""
 
 ORACLES: dict[str, str] = {
     "op3_url_templates": URL_SQL,
+    "op5_vector_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+                   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op10_decontaminate": f"""
         WITH i AS (SELECT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
              d AS (SELECT doc_id, unnest({_SHINGLES}) AS h FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
