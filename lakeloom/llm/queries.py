@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import byte_bpe, decontaminate, language_id, near_dedup, quality, token_files, url_templates, vector_search, warc
-from lakeloom.llm.common import crc32_of_id, table
+from lakeloom.llm import byte_bpe, decontaminate, language_id, near_dedup, quality, token_files, token_rollup, url_templates, vector_search, warc
+from lakeloom.llm.common import crc32_of_id, stored, table
 
 
 BYTE_BPE_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -58,6 +58,32 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (F.pmod(crc32_of_id("doc_id"), F.lit(4)) == 2).alias("held_out"), "score", "predicted")
 
 
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents counted under two versions: words between white space, and words
+    with every punctuation mark apart. Batches: insert under the first; revise the counts
+    of texts with a digit to the second's; insert all under the second; delete the texts
+    without a full stop from the first; the first batch once more, which changes nothing."""
+    text = F.coalesce("text", F.lit(""))
+    counted = stored(table(spark, sf_dir, "documents").select(
+        "source", "lang", text.rlike("[0-9]").alias("digit"), text.contains(".").alias("stop"),
+        F.regexp_count(text, F.lit(r"[^ \t\n]+")).cast("long").alias("words"),
+        F.regexp_count(text, F.lit(r"[^ \t\n.,;:!?]+|[.,;:!?]")).cast("long").alias("parts")), "token-counts")
+    none = F.lit(None).cast("long")
+    held = F.when(F.col("digit"), F.col("parts")).otherwise(F.col("words"))
+
+    def changes(rows: DataFrame, tokenizer: str, op: str, n, old=none) -> DataFrame:
+        return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.lit(op).alias("op"), n.alias("n_tokens"), old.alias("old_n_tokens"))
+
+    store = token_rollup.RollupStore(spark)
+    first = changes(counted, "words-1", "insert", F.col("words"))
+    store.commit("2026-01", first)
+    store.commit("2026-02", changes(counted.where("digit"), "words-1", "revise", F.col("parts"), F.col("words")))
+    store.commit("2026-03", changes(counted, "words-2", "insert", F.col("parts")))
+    store.commit("2026-04", changes(counted.where("not stop"), "words-1", "delete", held))
+    store.commit("2026-01", first)
+    return store.totals()
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_token_files": op7_token_files,
     "op8_quality": op8_quality,
+    "op9_token_rollup": op9_token_rollup,
     "op10_decontaminate": op10_decontaminate,
     "pipeline": pipeline,
 }
@@ -142,6 +169,13 @@ ORACLES: dict[str, str] = {
                    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op9_token_rollup": r"""
+        WITH c AS (SELECT source, lang, regexp_matches(coalesce(text, ''), '[0-9]') AS digit, contains(coalesce(text, ''), '.') AS stop,
+                       len(regexp_extract_all(coalesce(text, ''), '[^ \t\n]+')) AS words,
+                       len(regexp_extract_all(coalesce(text, ''), '[^ \t\n.,;:!?]+|[.,;:!?]')) AS parts FROM documents)
+        SELECT source, lang, 'words-1' AS tokenizer, count(*) AS documents, sum(CASE WHEN digit THEN parts ELSE words END)::BIGINT AS tokens
+        FROM c WHERE stop GROUP BY source, lang
+        UNION ALL SELECT source, lang, 'words-2', count(*), sum(parts)::BIGINT FROM c GROUP BY source, lang""",
     "op10_decontaminate": f"""
         WITH i AS (SELECT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
              d AS (SELECT doc_id, unnest({_SHINGLES}) AS h FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
