@@ -59,12 +59,16 @@ def extra_bits(smallest_item: int) -> int:
 
 
 def with_shingles(rows: DataFrame, text: str, *columns: str | Column) -> DataFrame:
-    """``columns`` and ``s``, the sorted distinct shingle hashes of the text."""
+    """``columns`` and ``s``, the sorted distinct shingle hashes of the text. Rows
+    are not filtered here, and arrays are exploded with ``explode_outer``: Spark would
+    push a filter on ``w`` or ``s`` below their projections and compute them once per
+    element."""
     words = rows.select(*columns, word_hashes(F.col(text)).alias("w"))
     names = [c for c in words.columns if c != "w"]
     each = F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE),
                        lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(SHINGLE))))
-    listed = words.where(F.size("w") >= SHINGLE).select(*names, F.array_distinct(each).alias("s"))
+    none = F.array().cast("array<bigint>")
+    listed = words.select(*names, F.when(F.size("w") >= SHINGLE, F.array_distinct(each)).otherwise(none).alias("s"))
     return listed.select(*names, F.sort_array("s").alias("s"))
 
 
@@ -76,20 +80,20 @@ def _bin(hash_: Column, bits: Column) -> Column:
 def document_sketches(docs: DataFrame, e: int) -> DataFrame:
     """key (MD5 of the text), class and sketch value, a row for each value."""
     rows = with_shingles(docs, "text", F.md5(F.col("text").cast("binary")).alias("key"))
-    sized = rows.select("key", "s", F.ceil(F.log2(F.size("s").cast("double"))).cast("int").alias("class"))
+    sized = rows.select("key", "s", F.ceil(F.log2(F.greatest(F.size("s"), F.lit(1)).cast("double"))).cast("int").alias("class"))
     sized = sized.select("key", "s", "class", F.greatest(F.lit(0), F.least(F.lit(64), F.col("class") + e)).alias("bits"))
     least = F.filter("s", lambda x, i: (i == 0) | (_bin(x, F.col("bits")) != _bin(F.get("s", i - 1), F.col("bits"))))
-    return sized.select("key", "class", F.explode(least).alias("hash"))
+    return sized.select("key", "class", F.explode_outer(least).alias("hash"))
 
 
 def item_rows(benchmark: DataFrame) -> DataFrame:
-    """item (a number for the text), item_id, size, hash, common: how many leading
-    bits the hash shares with the item's next smaller one (-1: there is none)."""
-    rows = with_shingles(benchmark, "text", F.col("item_id").cast("long").alias("item_id"), F.md5(F.col("text").cast("binary")).alias("item"))
-    each = rows.select("item_id", "item", "s", F.posexplode("s").alias("at", "hash"))
-    differs = F.expr("hash ^ get(s, at - 1)")
-    common = F.when(F.col("at") == 0, -1).otherwise(64 - F.length(F.bin(differs)))
-    return each.select("item_id", "item", F.size("s").alias("size"), "hash", common.alias("common"))
+    """A row per distinct item text and shingle: item (MD5 of the text), size, hash,
+    common: how many leading bits the hash shares with the item's next smaller one
+    (-1: there is none)."""
+    texts = benchmark.select("text", F.md5(F.col("text").cast("binary")).alias("item")).where("item is not null").dropDuplicates(["item"])
+    each = with_shingles(texts, "text", "item").select("item", "s", F.posexplode_outer("s").alias("at", "hash"))
+    common = F.when(F.col("at") == 0, -1).otherwise(64 - F.length(F.bin(F.expr("hash ^ get(s, at - 1)"))))
+    return each.select("item", F.size("s").alias("size"), "hash", common.alias("common")).where("hash is not null")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -100,24 +104,25 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
     """key, item_id, shared, size of all contaminated texts (None: no item can be
     searched)."""
-    items = stored(item_rows(benchmark).dropDuplicates(["item_id", "item", "hash"]), "bench-items")
+    items = stored(item_rows(benchmark), "bench-items")
     found = items.agg(F.count("*").alias("n"), F.min("size").alias("least")).first()
     if not found["n"]:
         return None
     e = extra_bits(found["least"])
     # the bins of class c have c + e bits: the shingle is its bin's least once those tell it from the one before
-    sketch = items.select("hash", "item", "item_id", (F.col("common") + 1 - e).alias("from_class"))
+    sketch = items.select("hash", "item", (F.col("common") + 1 - e).alias("from_class"))
     met = document_sketches(docs, e).join(_small(sketch, found["n"]), "hash").where(
         (F.col("class") >= F.col("from_class")) | (F.col("from_class") + e <= 0))
-    candidates = stored(met.select("key", "item", "item_id").distinct(), "bench-candidates")
+    candidates = stored(met.select("key", "item").distinct(), "bench-candidates")
     keys = candidates.select("key").distinct()
     texts = docs.select("text", F.md5(F.col("text").cast("binary")).alias("key")).join(
         _small(keys, candidates.count()), "key", "left_semi").dropDuplicates(["key"])
-    each = with_shingles(texts, "text", "key").select("key", F.explode("s").alias("hash"))
-    counts = each.join(_small(items.select("hash", "item", "item_id", "size"), found["n"]), "hash").groupBy(
-        "key", "item", "item_id").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
-    sure = counts.where(F.col("shared") >= CONTAINMENT * F.col("size") - 1e-9).join(candidates, ["key", "item", "item_id"], "left_semi")
-    best = sure.groupBy("key", "item_id").agg(F.max_by(F.struct("shared", "size"), F.col("shared") / F.col("size")).alias("b"))
+    each = with_shingles(texts, "text", "key").select("key", F.explode_outer("s").alias("hash"))
+    counts = each.join(_small(items.select("hash", "item", "size"), found["n"]), "hash").groupBy(
+        "key", "item").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
+    sure = counts.where(F.col("shared") >= CONTAINMENT * F.col("size") - 1e-9).join(candidates, ["key", "item"], "left_semi")
+    ids = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.md5(F.col("text").cast("binary")).alias("item")).distinct()
+    best = sure.join(ids, "item").groupBy("key", "item_id").agg(F.max_by(F.struct("shared", "size"), F.col("shared") / F.col("size")).alias("b"))
     return stored(best.select("key", "item_id", F.col("b.shared").alias("shared"), F.col("b.size").cast("long").alias("size")), "bench-contained")
 
 
