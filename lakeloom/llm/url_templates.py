@@ -42,6 +42,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.llm.common import stored
+
 DEPTH = 4
 MANY, RARE = 10, 0.5
 ALPHA = 2.0
@@ -85,6 +87,7 @@ def templates(paths: DataFrame) -> DataFrame:
         step = F.coalesce(_token(F.col("segment")), "star", "segment")
         rows = rows.join(varied, ["host", "template"], "left").withColumn(
             "template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("star", "segment")
+        rows = stored(rows, "url-level")  # counts of distinct paths; keeps the plans small
     deep = F.size("segments") > DEPTH
     return rows.withColumn("template", F.when(deep, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
 
@@ -117,12 +120,13 @@ def judge(pages: DataFrame, block: Sequence[str], allow: Sequence[str]) -> DataF
     """page_id, host, path, rule, verdict, template and purity of every page."""
     host, path = url_parts(F.col("url").cast("string"))
     parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    parts = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), [*block, *allow]))
+    parts = stored(parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), [*block, *allow])), "url-parts")
     blocked, allowed = F.col("rule").isin(list(block)), F.col("rule").isin(list(allow))
     of_rule = F.when(blocked, "block").when(allowed, "allow")
     paths = parts.groupBy("host", "path").agg(
         F.count("*").alias("n"), F.count_if(F.coalesce(blocked, F.lit(False))).alias("b"), F.count_if(F.coalesce(allowed, F.lit(False))).alias("a"))
-    rows = merged(templates(paths))
+    paths = stored(paths, "url-paths")
+    rows = stored(merged(templates(paths)), "url-templates")
     total = paths.agg(F.sum("b").alias("b"), F.sum("a").alias("a")).first()
     labelled = (total["b"] or 0) + (total["a"] or 0)
     share = total["b"] / labelled if labelled else 0.5
