@@ -128,11 +128,11 @@ def word_hashes(text: Column) -> Column:
 class PieceStore:
     """Ids of distinct text pieces, each encoded once per worker.
 
-    ``encode_new`` gets a list of new pieces and returns an integer array for
-    each. Pieces are numbered as they come; beyond ``limit`` the store starts
-    anew, which costs time but changes no result."""
+    ``encode_new`` gets a list of new pieces and returns ids one after another,
+    and where among them each piece's ids start and how many they are. Pieces are numbered as they come; beyond
+    ``limit`` the store starts anew, which costs time but changes no result."""
 
-    def __init__(self, encode_new: Callable[[list[str]], list[np.ndarray]], limit: int):
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int):
         self.encode_new, self.limit = encode_new, limit
         self._empty()
 
@@ -141,6 +141,11 @@ class PieceStore:
         self.number.default_factory = self.number.__len__  # the next number for each new piece
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def known(self, piece: str) -> np.ndarray | None:
+        """The ids of a piece of an earlier call."""
+        n = self.number.get(piece, len(self.size))
+        return self.flat[self.start[n]:self.start[n] + self.size[n]] if n < len(self.size) else None
+
     def ids(self, each: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (lists of pieces) one after another, and the ids per text."""
         if len(self.number) > self.limit:
@@ -149,11 +154,10 @@ class PieceStore:
         seq = np.fromiter(map(self.number.__getitem__, chain.from_iterable(each)), np.int64, int(pieces.sum()))
         new = list(islice(self.number, len(self.size), None))
         if new:
-            parts = self.encode_new(new)
-            size = np.fromiter(map(len, parts), np.int64, len(parts))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            flat, start, size = self.encode_new(new)
+            self.start = np.concatenate([self.start, len(self.flat) + start])
             self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, *parts]).astype(np.uint32)
+            self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
         size = self.size[seq]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[seq] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]

@@ -18,22 +18,22 @@ similarity. Weights are cut into dyadic cells, so a shingle of weight ``w`` cost
 
 **Joins.** Equal texts are one node, found by an MD5 aggregation, so copies cost
 one row each. ``ROWS`` coordinates make a band (25 bands of 5: a pair at 0.8 is
-missed with probability 5e-5) and nodes that share a band share a bucket. Links
-are verified exactly, on the shingle counts, and only those that can join two
-components are looked for:
+missed with probability 5e-5) and nodes that share a band share a bucket. Nodes in
+buckets of two or more get a second, finer signature of ``FINE`` coordinates from
+their texts; pairs that agree on less than ``LEAST_AGREEMENT`` of it, four standard
+deviations below 0.8, are not read. The others are verified exactly, on the shingle
+counts. Only links that can join two components are looked for:
 
 1. every member of a bucket against the bucket's smallest node;
-2. while the open pairs (same bucket, different component) are many, members
-   against another node of the bucket, drawn anew each round;
-3. at last all open pairs: the members outside a bucket's largest component
-   against all its members of other components. A bucket that still has more than
-   ``WIDE_BUCKET`` such members, mostly texts that share a common passage, is
-   first split by further coordinates (16 keys of 6), which pairs at 0.8 share
-   with a probability of 0.99 for each of the several buckets they meet in.
-
-A candidate whose signatures agree on less than ``LEAST_AGREEMENT`` of the
-coordinates is not read: at a similarity of 0.8 that is over five standard
-deviations below the mean.
+2. in buckets that hold several components, each stray (a member outside the
+   bucket's largest component) against the member of another component that its fine
+   signature agrees with most;
+3. each stray against every member of another component.
+
+Steps 2 and 3 compare signatures in a grid of at most ``STRAYS`` by ``MEMBERS`` rows a
+cell, so a bucket of any size is spread over tasks of bounded size, and only pairs
+that agree leave a cell. Members of one component are never compared: groups of near
+copies cost a row for each member once they are linked.
 
 Defined cases: null text is a class of its own; texts without a word are
 classed with equal texts only. Null doc_ids take part; a class's id is its
@@ -45,7 +45,7 @@ columns.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,10 +60,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
-LEAST_AGREEMENT = 0.6
-WIDE_BUCKET = 200
-SPLIT_KEYS, SPLIT_ROWS = 16, 6
-STAR_ROUNDS = 8
+FINE = 512
+COARSE = 128
+LEAST_AGREEMENT, LEAST_COARSE = 0.73, 0.62
+STRAYS, MEMBERS = 1024, 16384
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -146,7 +146,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 SKETCH = T.StructType([
     T.StructField("uid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("key", T.StringType()),
-    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
+    T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def sketch(rows: DataFrame) -> DataFrame:
@@ -164,31 +164,115 @@ def sketch(rows: DataFrame) -> DataFrame:
             bands = mix64(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(GOLDEN)).view(np.int64)
             has = np.diff(np.concatenate([[0], ends])) > 0
             offsets = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))])
-            short = sig.astype("<u2")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands[has].ravel())),
-                 pa.array([s.tobytes() for s in short], pa.binary())], names=SKETCH.names)
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands[has].ravel()))], names=SKETCH.names)
 
     ready = rows.select("uid", F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("key"),
                         word_hashes(F.col("text")).alias("words"))
     return ready.mapInArrow(run, SKETCH)
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree on enough coordinates."""
-    least = math.ceil(LEAST_AGREEMENT * COORDINATES)
+def fine_signatures(texts: DataFrame) -> DataFrame:
+    """node and the fine signature (a byte per coordinate) of (node, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, ends = _lists(batch.column(1))
+            starts = np.concatenate([[0], ends[:-1]])
+            for a in range(0, len(ends), 100):
+                part = slice(a, a + 100)
+                base = starts[a]
+                doc, h, n = shingles(words[base:ends[part][-1]], ends[part] - base)
+                sig = dart_signatures(doc, h, n.astype(float), len(ends[part]), FINE).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array([s.tobytes() for s in sig], pa.binary())], names=["node", "fine"])
+
+    return texts.select("node", "words").mapInArrow(run, "node long, fine binary")
+
+
+def _bytes(column: list) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, FINE)
+
+
+def _agreeing(pairs: DataFrame, fine: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose fine signatures agree on enough coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, COORDINATES) for c in batch.columns[2:])
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= least))
+            x, y = (_bytes(c.to_pylist()) for c in batch.columns[2:])
+            yield batch.select([0, 1]).filter(pa.array((x == y).mean(1) >= LEAST_AGREEMENT, pa.bool_()))
 
-    both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(
-        sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
+    both = pairs.join(fine.select(F.col("node").alias("a"), F.col("fine").alias("x")), "a").join(
+        fine.select(F.col("node").alias("b"), F.col("fine").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _cell_pairs(stray: np.ndarray, node: np.ndarray, label: np.ndarray, main: np.ndarray, fine: np.ndarray, best_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (stray, member) of the pairs of a cell that agree."""
+    rows, cols = np.flatnonzero(stray), np.flatnonzero(~stray)
+    left, right = [], []
+    step = max(1, (1 << 23) // max(1, len(cols) * COARSE))
+    for a in range(0, len(rows), step):
+        own = rows[a:a + step]
+        may = label[own][:, None] != label[cols][None, :]
+        if not best_only:  # two strays meet twice: once is enough
+            may &= main[cols][None, :] | (node[own][:, None] < node[cols][None, :])
+        rough = (fine[own, :COARSE][:, None, :] == fine[cols, :COARSE][None, :, :]).sum(2)
+        x, y = np.nonzero(may & (rough >= LEAST_COARSE * COARSE))
+        agree = np.concatenate([(fine[own[x[k:k + 4096]]] == fine[cols[y[k:k + 4096]]]).mean(1) for k in range(0, len(x), 4096)]) if len(x) else np.zeros(0)
+        hold = agree >= LEAST_AGREEMENT
+        x, y, agree = x[hold], y[hold], agree[hold]
+        if best_only and len(x):
+            order = np.lexsort((node[cols[y]], -agree, x))
+            x, y = x[order], y[order]
+            first = np.append(True, x[1:] != x[:-1])
+            x, y = x[first], y[first]
+        left.append(own[x])
+        right.append(cols[y])
+    return (np.concatenate(left), np.concatenate(right)) if left else (rows[:0], rows[:0])
+
+
+def _grid(opened: DataFrame, best_only: bool) -> DataFrame:
+    """Pairs (a, b) of the strays and members of open buckets that agree: all of
+    them, or for each stray the best of each cell. ``opened`` is (bucket, node,
+    label, most, n, strays, fine)."""
+    down = F.ceil(F.col("strays") / STRAYS).cast("int")
+    across = F.ceil(F.col("n") / MEMBERS).cast("int")
+    sized = opened.select("bucket", "node", "label", (F.col("label") == F.col("most")).alias("main"), "fine", down.alias("down"), across.alias("across"))
+    member = sized.select("bucket", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), F.pmod(F.hash("node", F.lit(1)), F.col("across")).alias("j"),
+                          F.lit(False).alias("stray"), "node", "label", "main", "fine")
+    stray = sized.where("not main").select("bucket", F.pmod(F.hash("node", F.lit(2)), F.col("down")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"),
+                                           F.lit(True).alias("stray"), "node", "label", "main", "fine")
+    cells = member.union(stray).select(F.xxhash64("bucket", "i", "j").alias("cell"), "stray", "node", "label", "main", "fine")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            cell, stray, node, label, main = (table.column(i).to_numpy() for i in range(5))
+            fine = _bytes(table.column(5).to_pylist())
+            edges = np.flatnonzero(np.diff(cell)) + 1
+            for rows in np.split(np.arange(len(cell)), edges):
+                x, y = _cell_pairs(stray[rows], node[rows], label[rows], main[rows], fine[rows], best_only)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[rows][x]), pa.array(node[rows][y])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            cell = held.column(0).to_numpy()
+            whole = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+            if whole:
+                yield from pairs(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield from pairs(held)
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+
+
 def weighted_jaccard_at_least(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
     """Exact test on the word hashes of two texts."""
     _, hx, nx = shingles(x, np.array([len(x)]))
@@ -211,47 +295,34 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _links(nodes: DataFrame, texts_of) -> DataFrame | None:
-    """Labels (node, label) of all linked nodes; ``nodes`` is (node, bands, sig)."""
+def _links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Labels (node, label) of all linked nodes; ``nodes`` is (node, bands)."""
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
     members = stored(rows.join(shared.select("bucket", "centre"), "bucket"), "dedup-buckets")
     if members.isEmpty():
         return None
-    sigs = stored(nodes.select("node", "sig").join(members.select("node").distinct(), "node", "left_semi"), "dedup-signatures")
     texts = stored(texts_of(members.select("node").distinct()), "dedup-texts")
+    fine = stored(fine_signatures(texts), "dedup-fine")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return _verified(_agreeing(pairs, sigs), texts)
+    def distinct(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    links = stored(linked(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))), "dedup-links")
-    for turn in range(STAR_ROUNDS + 1):
+    star = distinct(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+    links = stored(_verified(_agreeing(star, fine), texts), "dedup-links")
+    for best_only in (True, False):
         labels = components(links)
         labelled = members.select("bucket", "node").join(labels, "node", "left").select(
             "bucket", "node", F.coalesce("label", "node").alias("label"))
         groups = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         open_buckets = groups.groupBy("bucket").agg(
             F.max_by("label", "n").alias("most"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
-        opened = stored(labelled.join(open_buckets, "bucket"), "dedup-open")
-        work = opened.where("label <> most").agg(F.sum("n")).first()[0]
-        if work is None:
+        opened = labelled.join(open_buckets, "bucket").join(fine, "node")
+        found = stored(distinct(_grid(opened, best_only)), "dedup-pairs")
+        if found.isEmpty():
             return labels
-        if turn == STAR_ROUNDS or work <= 2 * members.count():
-            break
-        drawn = opened.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("centre"))
-        heads = drawn.join(opened.select("bucket", F.col("node").alias("centre"), F.col("label").alias("own")), ["bucket", "centre"])
-        pairs = opened.join(heads, "bucket").where("label <> own").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-        links = stored(links.union(linked(pairs)), "dedup-links")
-    narrow = opened.where(F.col("strays") <= WIDE_BUCKET).select("bucket", "node", "label", "most")
-    wide = opened.where(F.col("strays") > WIDE_BUCKET).join(sigs, "node")
-    parts = [F.concat(*(F.substring("sig", 2 * c + 1, 2) for c in range(j * SPLIT_ROWS, (j + 1) * SPLIT_ROWS))) for j in range(SPLIT_KEYS)]
-    split = wide.select("bucket", "node", "label", "most", F.posexplode(F.array(*parts)).alias("j", "part")).select(
-        F.xxhash64("bucket", "j", "part").alias("bucket"), "node", "label", "most")
-    last = narrow.union(split)
-    strays = last.where("label <> most").select("bucket", F.col("node").alias("a"), F.col("label").alias("own"))
-    pairs = strays.join(last, "bucket").where("label <> own and (label = most or a < node)").select("a", F.col("node").alias("b"))
-    return components(stored(links.union(linked(pairs)), "dedup-links"))
+        links = stored(links.union(_verified(found, texts)), "dedup-links")
+    return components(links)
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -271,7 +342,7 @@ def _classed(rows: DataFrame) -> DataFrame:
         F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).select(
             "key", "node", F.coalesce("first_uid", "node").alias("first_uid"), "first_id", "copies")
     keys = stored(keys, "dedup-keys")
-    nodes = sketches.where(F.size("bands") > 0).select(F.col("uid").alias("node"), "bands", "sig").join(
+    nodes = sketches.where(F.size("bands") > 0).select(F.col("uid").alias("node"), "bands").join(
         keys.select("node"), "node", "left_semi")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
