@@ -158,8 +158,8 @@ class ByteBPE:
                 heapq.heappush(heap, (x, before[i]))
         return np.array([x for x in ids if x >= 0], np.int64)
 
-    def _encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """The ids of distinct pieces."""
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct pieces, and each piece's start and size among them."""
         out: list[np.ndarray | None] = [None] * len(pieces)
         short: list[tuple[int, bytes]] = []
         for i, p in enumerate(pieces):
@@ -179,7 +179,8 @@ class ByteBPE:
             for (i, _), ids in zip(short[a:b], self._merge_rows([raw for _, raw in short[a:b]])):
                 out[i] = ids
             a = b
-        return out  # type: ignore[return-value]
+        size = np.fromiter(map(len, out), np.int64, len(out))
+        return np.concatenate(out), np.cumsum(size) - size, size
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and the ids per text."""
