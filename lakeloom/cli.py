@@ -5,7 +5,7 @@
     python -m lakeloom check-config
     python -m lakeloom build --accounts <p> --opportunities <p> --target-root <root> [--sandbox NAME]
     python -m lakeloom masked-read --path <p> --table SCHEMA.TABLE --role ROLE
-    python -m lakeloom audit --warehouse <wh> --access-history <p> --query-history <p> --object '%SCHEMA.TABLE' --column ARR
+    python -m lakeloom audit --access-history <p> --query-history <p> --object '%SCHEMA.TABLE' --column ARR [--out <folder>]
 """
 
 from __future__ import annotations
@@ -33,20 +33,19 @@ def cmd_ingest(args) -> int:
     spark = _session(args)
     spec = EVENTS[args.event]
     scope = resolve_scope(path=args.path, backfill=args.backfill, prefill=args.prefill,
-                          lookback_hours=args.lookback_hours or spec.lookback_hours,
-                          max_prefix_days=spec.max_prefix_days)
+                          lookback_hours=args.lookback_hours or spec.lookback_hours)
     landing = args.landing or spec.landing_root(args.root, args.env)
-    print(f"MODE: {scope.mode}" + ("  [force: re-appending loaded files]" if args.force_insert
-                                   else "  [skips files already in the load log]"))
+    print(f"scope: {scope.mode}; files in the load log are " + ("loaded again" if args.force_insert else "left out"))
     res = ingest(spark, spec, landing, args.warehouse, scope, force=args.force_insert,
                  strict=args.strict, dry_run=args.dry_run, persist_report=True)
-    for r in res.report.orderBy("file_name").collect():
-        counts = (f"  loaded={r.records_processed} quarantined={r.records_quarantined}"
-                  if r.status == "loaded" else "")
-        print(f"{r.status:10s} {r.file_name}{counts}" + (f"  ({r.detail})" if r.detail else ""))
+    by_status = {r.status: r["count"] for r in res.report.groupBy("status").count().collect()}
+    for status, n in sorted(by_status.items()):
+        print(f"{n} file(s) {status}")
+    for r in res.report.where("status = 'failed'").orderBy("file_name").toLocalIterator():
+        print(f"failed: {r.file_name}: {r.detail}", file=sys.stderr)
     t = res.totals().first()
-    print(f"Done: {t.files_loaded} file(s), {t.rows_loaded} loaded, {t.rows_quarantined} quarantined.")
-    return 0
+    print(f"rows: {t.rows_loaded} written, of which {t.rows_quarantined} break the contract")
+    return 1 if by_status.get("failed") else 0
 
 
 def cmd_stream(args) -> int:
@@ -97,10 +96,7 @@ def cmd_masked_read(args) -> int:
 
     spark = _session(args)
     gov = Governance.load(spark, args.config or CONF_DIR)
-    df = masked(spark, spark.read.parquet(args.path), args.table, args.role, gov)
-    for r in df.limit(args.limit).collect():
-        print(json.dumps(r.asDict(), default=str))
-    return 0
+    return _show(masked(spark, spark.read.parquet(args.path), args.table, args.role, gov), args)
 
 
 def cmd_audit(args) -> int:
@@ -109,9 +105,18 @@ def cmd_audit(args) -> int:
     spark = _session(args)
     ah = spark.read.parquet(args.access_history)
     qh = spark.read.parquet(args.query_history)
-    out = column_access(ah, qh, args.object, args.column)
-    for r in out.limit(args.limit).collect():
-        print(json.dumps(r.asDict(), default=str))
+    return _show(column_access(ah, qh, args.object, args.column), args)
+
+
+def _show(df, args) -> int:
+    """Write the whole result to ``--out``, or print it; only ``--limit`` cuts it."""
+    if args.limit is not None:
+        df = df.limit(args.limit)
+    if args.out:
+        df.write.parquet(args.out)
+    else:
+        for r in df.toLocalIterator():
+            print(json.dumps(r.asDict(), default=str))
     return 0
 
 
@@ -163,7 +168,8 @@ def main(argv: list[str] | None = None) -> int:
     mr.add_argument("--table", required=True, help="SCHEMA.TABLE of the classification")
     mr.add_argument("--role", required=True)
     mr.add_argument("--config", help="folder of config CSV files")
-    mr.add_argument("--limit", type=int, default=20)
+    mr.add_argument("--limit", type=int, help="print or write so many rows only")
+    mr.add_argument("--out", help="folder for the whole result (parquet)")
     mr.set_defaults(fn=cmd_masked_read)
 
     aud = sub.add_parser("audit", help="who read a column, when")
@@ -171,7 +177,8 @@ def main(argv: list[str] | None = None) -> int:
     aud.add_argument("--query-history", required=True)
     aud.add_argument("--object", required=True, help="ILIKE pattern, e.g. %%SCHEMA.TABLE")
     aud.add_argument("--column", required=True)
-    aud.add_argument("--limit", type=int, default=1000)
+    aud.add_argument("--limit", type=int, help="print or write so many rows only")
+    aud.add_argument("--out", help="folder for the whole result (parquet)")
     aud.set_defaults(fn=cmd_audit)
 
     args = ap.parse_args(argv)

@@ -32,12 +32,8 @@ class EventSpec:
     contract_keys: tuple[str, ...] = ()
     # Landing location template; {env} is the lower-case environment.
     landing_template: str = "{root}/{env}/product_events/{name}"
-    # Files larger than this fail the file (never truncated).
-    max_file_bytes: int = 512 * 1024 * 1024
     # Default lookback of the steady-state run.
     lookback_hours: int = 48
-    # Beyond this span, the scan lists the whole landing root instead of day folders.
-    max_prefix_days: int = 90
 
     def landing_root(self, root: str, env: str) -> str:
         return self.landing_template.format(root=root.rstrip("/"), env=env.lower(), name=self.name)

@@ -89,13 +89,17 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def is_missing_path(error: AnalysisException) -> bool:
+    return "PATH_NOT_FOUND" in str(error) or "does not exist" in str(error)
+
+
 def read_all(spark: SparkSession, warehouse: str, table: str) -> DataFrame:
     """Every batch of a table, committed or not, with its ``_batch_id``."""
     schema = T.StructType(SCHEMAS[table].fields + [_BATCH])
     try:
         return spark.read.schema(schema).parquet(f"{warehouse.rstrip('/')}/{table}")
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+        if is_missing_path(e):
             return empty(spark, schema)
         raise
 
@@ -113,8 +117,7 @@ def load_log(spark: SparkSession, warehouse: str) -> DataFrame:
 def committed(spark: SparkSession, warehouse: str, table: str) -> DataFrame:
     """Rows of committed batches only (semi-join to the batches in the log).
 
-    The batch list is tiny (one row per run), so Spark can broadcast it and
-    prune ``_batch_id`` folders dynamically.
+    The batch list has one row per run; Spark broadcasts it while it is small.
     """
     data = read_all(spark, warehouse, table)
     if table in (LOAD_LOG, RUN_REPORT):  # the log is the marker; reports are written after commit

@@ -16,11 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeloom.session import work_root
 from lakeloom.sources.settings import Governance
 
-MAX_ROLE_DEPTH = 32
-
-
 # ---------------------------------------------------------------- role graph
 
 def role_edges(gov: Governance) -> DataFrame:
@@ -44,26 +42,20 @@ def role_edges(gov: Governance) -> DataFrame:
 
 
 def role_closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(role, member): every role reachable from ``role`` (itself included),
-    resolved with a recursive CTE (depth-capped against cycles).
-
-    The edge list is config-sized; it is collected once so each recursion
-    step joins a local relation instead of re-reading the config files.
-    """
-    edges = spark.createDataFrame(edges.select("holder", "member").distinct().collect(),
-                                  "holder string, member string")
-    nodes = edges.select(F.col("holder").alias("r")).unionByName(edges.select(F.col("member").alias("r"))).distinct()
-    return spark.sql(
-        f"""
-        WITH RECURSIVE reach(role, member, depth) AS (
-          SELECT r, r, 0 FROM {{nodes}}
-          UNION ALL
-          SELECT reach.role, e.member, reach.depth + 1
-          FROM reach JOIN {{edges}} e ON reach.member = e.holder
-          WHERE reach.depth < {MAX_ROLE_DEPTH}
-        )
-        SELECT DISTINCT role, member FROM reach
-        """, nodes=nodes, edges=edges.select("holder", "member"))
+    """(role, member): every role reachable from ``role``, itself included.
+
+    Paths double in length each step until nothing is added, so a chain of n roles
+    takes about log2(n) steps and a cycle ends like any other graph."""
+    work_root(spark)  # names the checkpoint folder where the session has none
+    edges = edges.select("holder", "member").distinct().checkpoint()
+    nodes = edges.select("holder").union(edges.select("member")).distinct()
+    reach = nodes.select(F.col("holder").alias("role"), F.col("holder").alias("member")).union(edges).distinct().checkpoint()
+    while True:
+        onward = reach.select(F.col("role").alias("member"), F.col("member").alias("end"))
+        longer = reach.join(onward, "member").select("role", F.col("end").alias("member")).distinct().checkpoint()
+        if longer.count() == reach.count():
+            return reach
+        reach = longer
 
 
 def closure_map(spark: SparkSession, gov: Governance) -> dict[str, set[str]]:
@@ -175,16 +167,39 @@ def base_type(data_type: str) -> str:
     return data_type.split("(")[0].strip().upper()
 
 
-_TYPE_FAMILY = {
-    "NUMBER": (T.DecimalType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DoubleType, T.FloatType),
-    "NUMERIC": (T.DecimalType,), "DECIMAL": (T.DecimalType,),
-    "VARCHAR": (T.StringType,), "STRING": (T.StringType,), "TEXT": (T.StringType,),
-    "DATE": (T.DateType,), "TIMESTAMP_NTZ": (T.TimestampNTZType,), "BOOLEAN": (T.BooleanType,),
-}
+_WHOLE = (T.IntegerType, T.LongType, T.ShortType, T.ByteType)
+_REAL = (T.DoubleType, T.FloatType)
+_FAMILIES = (
+    (("NUMBER", "NUMERIC", "DECIMAL", "DEC"), (T.DecimalType, *_WHOLE, *_REAL)),
+    (("INT", "INTEGER", "BIGINT", "SMALLINT", "TINYINT", "BYTEINT"), (*_WHOLE, T.DecimalType)),
+    (("FLOAT", "FLOAT4", "FLOAT8", "DOUBLE", "DOUBLE PRECISION", "REAL"), (*_REAL, T.DecimalType)),
+    (("VARCHAR", "CHAR", "CHARACTER", "STRING", "TEXT", "NCHAR", "NVARCHAR"), (T.StringType, T.VarcharType, T.CharType)),
+    (("DATE",), (T.DateType,)),
+    (("DATETIME", "TIMESTAMP", "TIMESTAMP_NTZ", "TIMESTAMP_LTZ", "TIMESTAMP_TZ"), (T.TimestampNTZType, T.TimestampType)),
+    (("BOOLEAN", "BOOL"), (T.BooleanType,)),
+    (("BINARY", "VARBINARY"), (T.BinaryType,)),
+    (("VARIANT", "OBJECT", "ARRAY"), (T.VariantType, T.StructType, T.MapType, T.ArrayType)),
+)
+_TYPE_FAMILY = {name: types for names, types in _FAMILIES for name in names}
+
+
+class MaskingError(ValueError):
+    """A tagged column can't be masked as configured; nothing is shown."""
 
 
 def _type_matches(data_type: str, spark_type: T.DataType) -> bool:
-    return isinstance(spark_type, _TYPE_FAMILY.get(base_type(data_type), ()))
+    if (family := _TYPE_FAMILY.get(base_type(data_type))) is None:
+        raise MaskingError(f"masking rule with the unknown type {data_type}")
+    return isinstance(spark_type, family)
+
+
+def _rule_for(rules: list, tag: str, field: T.StructField):
+    """The tag's rule for the column's type; None if the tag has no active rule."""
+    own = [r for r in rules if r.tag == tag]
+    fit = [r for r in own if _type_matches(r.data_type, field.dataType)]
+    if own and not fit:
+        raise MaskingError(f"no rule of tag {tag} fits column {field.name} of type {field.dataType.simpleString()}")
+    return fit[0] if fit else None
 
 
 def mask_column(expression: str, column: str, spark_type: T.DataType) -> Column:
@@ -195,10 +210,10 @@ def mask_column(expression: str, column: str, spark_type: T.DataType) -> Column:
     return F.expr(sql).cast(spark_type)
 
 
-def classify(df: DataFrame, table_fqn: str, gov: Governance,
+def classify(df: DataFrame, table_fqn: str | None, gov: Governance,
              column_tags: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Attach ``tag``/``tag_value`` metadata to the classified columns of a table."""
-    tags = table_tags(gov, table_fqn)
+    tags = table_tags(gov, table_fqn) if table_fqn else {}
     tags.update({k.upper(): v for k, v in (column_tags or {}).items()})
     cols = []
     for f in df.schema.fields:
@@ -234,9 +249,10 @@ def table_tags(gov: Governance, table_fqn: str) -> dict[str, tuple[str, str]]:
 
 def masked(spark: SparkSession, df: DataFrame, table_fqn: str | None, role: str, gov: Governance,
            column_tags: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """Read ``df`` as ``role``: a tagged column whose tag has a rule for its
-    type shows the real value when any exempt role of the tag is in the
-    role's closure, else the rule's mask. One projection, no UDF."""
+    """Read ``df`` as ``role``: a tagged column whose tag has an active rule shows the
+    real value when any exempt role of the tag is in the role's closure, else the
+    mask of the rule for its type. Active rules none of which fits raise. One
+    projection, no UDF."""
     tags = table_tags(gov, table_fqn) if table_fqn else {}
     tags.update({k.upper(): v for k, v in (column_tags or {}).items()})
     for f in df.schema.fields:  # tags carried as column metadata
@@ -249,9 +265,7 @@ def masked(spark: SparkSession, df: DataFrame, table_fqn: str | None, role: str,
     cols = []
     for f in df.schema.fields:
         t = tags.get(f.name.upper())
-        rule = None
-        if t:
-            rule = next((r for r in rules if r.tag == t[0] and _type_matches(r.data_type, f.dataType)), None)
+        rule = _rule_for(rules, t[0], f) if t else None
         if rule is None or exempt.get(rule.tag, set()) & in_session:
             cols.append(F.col(f"`{f.name}`"))
         else:

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+KINDS = ("not_null", "unique", "accepted_values", "relationships", "expression", "pattern", "conditional_reference",
+         "one_per_group", "empty")
 SUMMARY_COLUMNS = ["check_name", "model", "check_type", "failures", "severity", "status"]
 
 
@@ -20,7 +22,7 @@ SUMMARY_COLUMNS = ["check_name", "model", "check_type", "failures", "severity",
 class Check:
     name: str
     model: str
-    kind: str                      # not_null | unique | accepted_values | relationships | expression | empty
+    kind: str                      # one of KINDS; empty: every row of the model is a failure
     columns: tuple[str, ...] = ()
     values: tuple = ()
     to_model: str | None = None
@@ -52,7 +54,32 @@ def expression(name: str, model: str, failing_when: str, **kw) -> Check:
     return Check(name, model, "expression", condition=failing_when, **kw)
 
 
+def empty(name: str, model: str, **kw) -> Check:
+    """Singular test: the model, any DataFrame, must have no row."""
+    return Check(name, model, "empty", **kw)
+
+
+def pattern(model: str, column: str, regex: str, **kw) -> Check:
+    """Non-null values must match the regular expression."""
+    return Check(f"pattern_{model}_{column}", model, "pattern", (column,), condition=regex, **kw)
+
+
+def conditional_reference(model: str, column: str, to_model: str, to_column: str, when: str, **kw) -> Check:
+    """Rows that match ``when`` need a parent; a null reference is a failure there."""
+    return Check(f"conditional_reference_{model}_{column}", model, "conditional_reference", (column,),
+                 to_model=to_model, to_column=to_column, condition=when, **kw)
+
+
+def one_per_group(model: str, column: str, when: str, **kw) -> Check:
+    """Each value of ``column`` has exactly one row that matches ``when``."""
+    return Check(f"one_per_group_{model}_{column}", model, "one_per_group", (column,), condition=when, **kw)
+
+
 def _row_failure(c: Check):
+    if c.kind == "empty":
+        return F.lit(True)
+    if c.kind == "pattern":
+        return F.col(c.columns[0]).isNotNull() & ~F.col(c.columns[0]).rlike(c.condition)
     if c.kind == "not_null":
         return F.col(c.columns[0]).isNull()
     if c.kind == "accepted_values":
@@ -82,6 +109,8 @@ def run_checks(models: dict[str, DataFrame], checks: list[Check]) -> DataFrame:
     already partitioned by it, as staged models are), count rows and failing
     rows per key, then sum. Relationships are one anti-join each.
     """
+    if unknown := [c for c in checks if c.kind not in KINDS]:
+        raise ValueError(f"unknown check kinds: {sorted({c.kind for c in unknown})}")
     parts: list[DataFrame] = []
     by_model: dict[str, list[Check]] = {}
     for c in checks:
@@ -116,6 +145,14 @@ def run_checks(models: dict[str, DataFrame], checks: list[Check]) -> DataFrame:
             parent = models[c.to_model].select(F.col(c.to_column).alias("_parent_key"))
             orphans = child.join(parent, child[c.columns[0]] == parent["_parent_key"], "left_anti")
             parts.append(_summary(orphans.agg(F.count(F.lit(1)).alias(c.name)), [c]))
+        elif c.kind == "conditional_reference":
+            child = models[c.model].where(F.coalesce(F.expr(c.condition), F.lit(False)))
+            parent = models[c.to_model].select(F.col(c.to_column).alias("_parent_key"))
+            orphans = child.join(parent, child[c.columns[0]] == parent["_parent_key"], "left_anti")
+            parts.append(_summary(orphans.agg(F.count(F.lit(1)).alias(c.name)), [c]))
+        elif c.kind == "one_per_group":
+            hits = models[c.model].groupBy(c.columns[0]).agg(F.count_if(F.coalesce(F.expr(c.condition), F.lit(False))).alias("_hits"))
+            parts.append(_summary(hits.agg(F.count_if(F.col("_hits") != 1).alias(c.name)), [c]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -125,6 +162,10 @@ def run_checks(models: dict[str, DataFrame], checks: list[Check]) -> DataFrame:
             .withColumn("status", status).select(*SUMMARY_COLUMNS))
 
 
+def no_checks(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "check_name string, model string, check_type string, failures long, severity string, status string")
+
+
 class QualityError(RuntimeError):
     pass
 

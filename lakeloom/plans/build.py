@@ -16,9 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.config import Target
+from lakeloom.operators import governance as G
 from lakeloom.operators import quality as Q
+from lakeloom.operators.commit import is_missing_path
 from lakeloom.plans import marts as M
 from lakeloom.plans import staging as STG
+from lakeloom.sources.cdc import ACCOUNT_TABLE, OPPORTUNITY_TABLE
+from lakeloom.sources.settings import CONF_DIR, Governance
 
 
 def write_version(spark: SparkSession, df: DataFrame, path: str) -> tuple[int, str, DataFrame]:
@@ -45,27 +49,33 @@ def publish(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
 def read_model(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         versions = spark.read.parquet(f"{path.rstrip('/')}/_versions")
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if is_missing_path(e):
+            return None
+        raise
     last = versions.orderBy(F.col("version").desc()).select("path").take(1)
     return spark.read.parquet(last[0]["path"]) if last else None
 
 
 def build_sales_models(spark: SparkSession, accounts_src: DataFrame, opportunities_src: DataFrame,
-                       target: Target, checks: list[Q.Check]) -> DataFrame:
+                       target: Target, checks: list[Q.Check], gov: Governance | None = None) -> DataFrame:
     """Build, test and publish staging and mart. Each model is computed once:
     it is written as a new version, the checks run on the written data, and
-    only a passing layer becomes current. Returns the check summary."""
+    only a passing layer becomes current. Classified columns, and those derived from
+    them, are written with their tags, so masked reads of a built model need no tags
+    passed. Returns the check summary."""
+    gov = gov or Governance.load(spark, CONF_DIR)
     acc_path, opp_path = target.path("staging", "stg_accounts"), target.path("staging", "stg_opportunities")
-    acc_v = write_version(spark, STG.stg_accounts(accounts_src), acc_path)
-    opp_v = write_version(spark, STG.stg_opportunities(opportunities_src), opp_path)
+    acc_v = write_version(spark, G.classify(STG.stg_accounts(accounts_src), ACCOUNT_TABLE, gov), acc_path)
+    opp_v = write_version(spark, G.classify(STG.stg_opportunities(opportunities_src), OPPORTUNITY_TABLE, gov), opp_path)
     staging_checks = [c for c in checks if c.model.startswith("stg_")]
-    summary = Q.assert_checks(Q.run_checks({"stg_accounts": acc_v[2], "stg_opportunities": opp_v[2]},
-                                           staging_checks))
+    staged = {"stg_accounts": acc_v[2], "stg_opportunities": opp_v[2]}
+    summary = Q.assert_checks(Q.run_checks(staged, staging_checks)) if staging_checks else Q.no_checks(spark)
     make_current(spark, acc_path, acc_v[0], acc_v[1])
     make_current(spark, opp_path, opp_v[0], opp_v[1])
     mart_path = target.path("marts", "mart_opportunities")
-    mart_v = write_version(spark, M.mart_opportunities(opp_v[2], acc_v[2]), mart_path)
+    mart = M.mart_opportunities(opp_v[2], acc_v[2])
+    mart_v = write_version(spark, G.classify(mart, None, gov, M.MART_COLUMN_TAGS), mart_path)
     mart_checks = [c for c in checks if c.model == "mart_opportunities"]
     if mart_checks:
         summary = summary.unionByName(Q.assert_checks(Q.run_checks({"mart_opportunities": mart_v[2]},

@@ -13,25 +13,24 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.config import EVENTS
+from lakeloom.config import EVENTS, Target
 from lakeloom.functions.paths import path_dt, path_hr
 from lakeloom.operators import commit as C
 from lakeloom.operators import governance as G
 from lakeloom.operators import quality as Q
 from lakeloom.operators.audit import column_access
+from lakeloom.plans import build as B
 from lakeloom.plans import marts as M
 from lakeloom.plans import monitoring as MON
 from lakeloom.plans import staging as STG
 from lakeloom.plans.ingest import IngestResult, ingest
 from lakeloom.session import scratch_dir, work_root
 from lakeloom.sources import standins as S
-from lakeloom.sources.cdc import ACCOUNT_CONTRACT, OPPORTUNITY_CONTRACT, conform
-from lakeloom.sources.landing import ScanScope, date_prefixes
+from lakeloom.sources.cdc import ACCOUNT_CONTRACT, ACCOUNT_TABLE, OPPORTUNITY_CONTRACT, OPPORTUNITY_TABLE, conform
+from lakeloom.sources.landing import ScanScope, day_folders
 from lakeloom.sources.settings import Governance, read_config
 
 SPEC = EVENTS["product_events"]
-ACCOUNT_TABLE = "SALESFORCE_RAW_FIVETRAN.ACCOUNT"
-OPPORTUNITY_TABLE = "SALESFORCE_RAW_FIVETRAN.OPPORTUNITY"
 
 
 @dataclass
@@ -195,7 +194,7 @@ def q_stg_incremental(spark, sf_dir):
     snap = scratch_dir(spark, "snapshot")
     ev = S.table(spark, sf_dir, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     mid = ev.lo + (ev.hi - ev.lo) / 2
-    first = ScanScope(tuple(date_prefixes(ev.lo, mid)), None, "first half")
+    first = ScanScope(day_folders(ev.lo.date(), mid.date()), None, "first half")
     keys, order = [SPEC.key_field], list(STG.EVENT_ORDER)
     for scope in (first, ScanScope.backfill()):
         ingest(spark, SPEC, landing, wh, scope)
@@ -214,14 +213,20 @@ def q_events_by_day(spark, sf_dir):
         F.sum("prop_k").cast("long").alias("sum_k"))
 
 
+def accounts_feed(spark, sf_dir) -> DataFrame:
+    return conform(S.account_feed(S.table(spark, sf_dir, "customer")), ACCOUNT_CONTRACT)
+
+
+def opportunities_feed(spark, sf_dir) -> DataFrame:
+    return conform(S.opportunity_feed(S.table(spark, sf_dir, "orders")), OPPORTUNITY_CONTRACT)
+
+
 def accounts(spark, sf_dir) -> DataFrame:
-    feed = conform(S.account_feed(S.table(spark, sf_dir, "customer")), ACCOUNT_CONTRACT)
-    return STG.stg_accounts(feed)
+    return STG.stg_accounts(accounts_feed(spark, sf_dir))
 
 
 def opportunities(spark, sf_dir) -> DataFrame:
-    feed = conform(S.opportunity_feed(S.table(spark, sf_dir, "orders")), OPPORTUNITY_CONTRACT)
-    return STG.stg_opportunities(feed)
+    return STG.stg_opportunities(opportunities_feed(spark, sf_dir))
 
 
 def q_stg_accounts(spark, sf_dir):
@@ -329,10 +334,29 @@ def q_masked_exempt(spark, sf_dir):
 
 
 def q_masked_mart(spark, sf_dir):
-    """The mart read by REVOPS_READER: tags declared on derived columns mask them."""
-    df = mart(spark, sf_dir).select("opportunity_id", "stage_name", "pipeline_stage_bucket",
-                                    "amount", "weighted_amount")
-    return G.masked(spark, df, None, "REVOPS_READER", governance(spark), column_tags=M.MART_COLUMN_TAGS)
+    """The built mart read by REVOPS_READER: its own tags mask the derived columns."""
+    df = _built(spark, sf_dir, "marts", "mart_opportunities").select(
+        "opportunity_id", "stage_name", "pipeline_stage_bucket", "amount", "weighted_amount")
+    return G.masked(spark, df, None, "REVOPS_READER", governance(spark))
+
+
+def q_masked_staging(spark, sf_dir):
+    """The built account staging read by REVOPS_READER, no tags passed."""
+    df = _built(spark, sf_dir, "staging", "stg_accounts").select("account_id", "account_name", "arr")
+    return G.masked(spark, df, None, "REVOPS_READER", governance(spark))
+
+
+_BUILDS: dict[tuple[str, str], Target] = {}
+
+
+def _built(spark, sf_dir, layer: str, model: str) -> DataFrame:
+    """A published model of a build over the CDC feeds (built once per session)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILDS:
+        target = Target(scratch_dir(spark, "models"))
+        B.build_sales_models(spark, accounts_feed(spark, sf_dir), opportunities_feed(spark, sf_dir), target, [], governance(spark))
+        _BUILDS[key] = target
+    return B.read_model(spark, _BUILDS[key].path(layer, model))
 
 
 def _contacts(spark, sf_dir) -> DataFrame:
@@ -443,6 +467,7 @@ QUERIES = {
     "masked_reader": q_masked_reader,
     "masked_exempt": q_masked_exempt,
     "masked_mart": q_masked_mart,
+    "masked_staging": q_masked_staging,
     "mask_email": q_mask_email,
     "mask_phone": q_mask_phone,
     "row_access": q_row_access,

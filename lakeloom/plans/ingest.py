@@ -14,7 +14,6 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +24,6 @@ from lakeloom.sources.landing import ScanScope, list_files, read_contents
 
 # Fixed value: file verdict texts.
 NOT_AN_ARRAY = "file is not a JSON array"
-FILE_TOO_LARGE = "file exceeds the size limit"
 STRICT_TS = "invalid event_timestamp (strict)"
 EMPTY_ARRAY = "empty array (no rows; rescanned next run)"
 
@@ -129,98 +127,87 @@ def commit_contents(spark: SparkSession, spec: EventSpec, warehouse: str, conten
     loaded = C.read_batch(spark, warehouse, C.LOAD_LOG, batch_id).select(
         "file_name", F.lit("loaded").alias("status"), F.lit(None).cast("string").alias("detail"),
         "records_processed", "records_quarantined")
-    logged = {r.file_name for r in loaded.select("file_name").collect()}  # files of this batch
+    logged = {r.file_name for r in loaded.select("file_name").toLocalIterator()}  # names only
     missing = sorted(set(attempted) - logged)
     if missing:
         with _phase("classify unlogged files"):
             why = (parsed.where(F.col("_filename").isin(missing))
                    .select("_filename", F.coalesce("_file_error", F.lit(EMPTY_ARRAY)).alias("_why")))
-            rows = [(r._filename, "empty" if r._why == EMPTY_ARRAY else "failed", r._why, 0, 0)
-                    for r in why.collect()]
+            verdicts = {r._filename: r._why for r in why.toLocalIterator()}
+        # a file of 0 bytes makes no row at all: it is no array either
+        rows = [(name, "empty" if w == EMPTY_ARRAY else "failed", w, 0, 0)
+                for name in missing for w in [verdicts.get(name, NOT_AN_ARRAY)]]
         loaded = loaded.unionByName(spark.createDataFrame(rows, C.RUN_REPORT_SCHEMA))
     return loaded
 
 
 def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: str,
            scope: ScanScope | None = None, *, force: bool = False, strict: bool = False,
-           run_ts: datetime | None = None, dry_run: bool = False,
-           max_files_per_batch: int = 10000, persist_report: bool = False) -> IngestResult:
+           run_ts: datetime | None = None, dry_run: bool = False, only: DataFrame | None = None,
+           persist_report: bool = False) -> IngestResult:
     """Load every file in scope that is not yet in the load log (all of them
     with ``force``) and return the per-file run report. ``dry_run`` reports
-    what would be loaded and writes nothing.
-
-    A scope with more than ``max_files_per_batch`` files is split by a hash of
-    the file name into chunks, each collected (paths only) and committed as
-    its own batch, so the driver never holds more than one chunk of paths and
-    a failure mid-backfill loses at most one chunk.
-
-    The report stays a DataFrame over the listing and this run's log batches
-    (the skip set is pinned to batches older than the run, so it is stable
-    however late it is evaluated); ``persist_report`` also writes it to the
-    ``run_report`` table.
+    what would be loaded and writes nothing. ``only`` (file_name) narrows the
+    scope to the files named.
+
+    The scope is listed once: the files and whether the log held them at that
+    time are written as the run's manifest, from which the paths to read and the
+    report come, so the report is the same however late it is evaluated. A run
+    is one commit at any number of files. The driver holds the paths to read,
+    as Spark's file index does for any scan; no payload passes through it.
+    ``persist_report`` also writes the report to the ``run_report`` table.
     """
-    scope = scope or ScanScope.window(lookback_hours=spec.lookback_hours,
-                                      max_prefix_days=spec.max_prefix_days)
+    scope = scope or ScanScope.window(lookback_hours=spec.lookback_hours)
     run_ts = run_ts or C.run_timestamp()
     run_id = C.new_batch_id(run_ts)
-    files = list_files(spark, landing_root, scope)
-
-    parts: list[DataFrame] = []
+    files = list_files(spark, landing_root, scope).select("path", "_filename")
+    if only is not None:
+        files = files.join(only.select(F.col("file_name").alias("_filename")).distinct(), "_filename", "left_semi")
     if force:
-        todo = files
+        manifest = files.withColumn("held", F.lit(False))
     else:
-        # The skip set is the log as of the start of this run: batch ids sort
-        # by time, and this run's batches (written later) sort after run_id.
-        loaded = (C.load_log(spark, warehouse).where(F.col("_batch_id") < run_id)
-                  .select("file_name").distinct())
-        on = files["_filename"] == loaded["file_name"]
-        parts.append(_report_rows(files.join(loaded, on, "left_semi"), "skipped", "already loaded"))
-        todo = files.join(loaded, on, "left_anti")
-    parts.append(_report_rows(todo.where(F.col("length") > spec.max_file_bytes), "failed", FILE_TOO_LARGE))
-    todo = todo.where(F.col("length") <= spec.max_file_bytes).select("path", "_filename")
+        held = C.loaded_file_names(spark, warehouse).select(F.col("file_name").alias("_filename")).distinct().withColumn("held", F.lit(True))
+        manifest = files.join(held, "_filename", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    if not dry_run:
+        path = f"{warehouse.rstrip('/')}/_manifests/{run_id}"
+        with _phase("list + skip"):
+            manifest.write.parquet(path)
+        manifest = spark.read.schema(manifest.schema).parquet(path)
+    todo = manifest.where("not held")
+    parts = [_report_rows(manifest.where("held"), "skipped", "already loaded")]
     if dry_run:
         parts.append(_report_rows(todo, "would load", scope.mode))
         return IngestResult(None, run_ts, _union(parts))
 
-    batches: list[str] = []
-
-    def commit_chunk(listed: list[tuple[str, str]]) -> None:
-        batch_id = run_id if not batches else f"{run_id}_{len(batches):05d}"
+    listed = sorted((r["path"], r["_filename"]) for r in todo.toLocalIterator())
+    if listed:
         contents = read_contents(spark, landing_root, scope, [p for p, _ in listed])
-        parts.append(commit_contents(spark, spec, warehouse, contents, run_ts=run_ts, batch_id=batch_id,
+        parts.append(commit_contents(spark, spec, warehouse, contents, run_ts=run_ts, batch_id=run_id,
                                      attempted=[name for _, name in listed], strict=strict))
-        batches.append(batch_id)
-
-    # The listing's file index (already on the driver) bounds the scope size
-    # without running a job; only a scope above the batch limit is chunked.
-    if len(files.inputFiles()) <= max_files_per_batch:
-        with _phase("list + prune + skip"):
-            listed = sorted((r["path"], r["_filename"]) for r in todo.collect())
-        if listed:
-            commit_chunk(listed)
-    else:
-        todo = todo.persist(StorageLevel.MEMORY_AND_DISK)  # file metadata only
-        try:
-            n_chunks = max(1, -(-todo.count() // max_files_per_batch))
-            for i in range(n_chunks):
-                chunk = todo.where(F.pmod(F.xxhash64("_filename"), F.lit(n_chunks)) == i)
-                listed = sorted((r["path"], r["_filename"]) for r in chunk.collect())
-                if listed:
-                    commit_chunk(listed)
-        finally:
-            todo.unpersist()
-
     report = _union(parts)
-    if batches and persist_report:  # reading it back also cuts lineage
+    if listed and persist_report:  # reading it back also cuts lineage
         with _phase("write report"):
             C.write_batch(report, warehouse, C.RUN_REPORT, run_id)
         report = C.read_batch(spark, warehouse, C.RUN_REPORT, run_id).drop("_batch_id")
-    if strict:  # after the good files committed; too-large files count as failed too
-        bad = report.where(F.col("status") == "failed").select("file_name", "detail").collect()
-        if bad:
-            raise IngestError(f"{len(bad)} file(s) failed: " +
-                              "; ".join(f"{r.file_name}: {r.detail}" for r in bad[:20]))
-    return IngestResult(run_id if batches else None, run_ts, report, tuple(batches))
+    if strict:  # after the good files committed
+        bad = report.where(F.col("status") == "failed")
+        if n := bad.count():
+            first = bad.orderBy("file_name").first()
+            raise IngestError(f"{n} file(s) failed, the first is {first.file_name}: {first.detail}; "
+                              "the run report names all")
+    return IngestResult(run_id if listed else None, run_ts, report, (run_id,) if listed else ())
+
+
+def retry_failed(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: str) -> IngestResult | None:
+    """Try the files again that a run report calls failed and no load log holds."""
+    reports = C.read_all(spark, warehouse, C.RUN_REPORT)
+    if reports is None:
+        return None
+    failed = reports.where("status = 'failed'").select("file_name").distinct().join(
+        C.loaded_file_names(spark, warehouse).select("file_name").distinct(), "file_name", "left_anti")
+    if failed.isEmpty():
+        return None
+    return ingest(spark, spec, landing_root, warehouse, ScanScope.backfill(), only=failed, persist_report=True)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -296,6 +296,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'session_id', total, 'known', 0 FROM t
         UNION ALL SELECT 'properties', total, 'known', 0 FROM t"""),
     "masked_reader": _dbl(_c("SELECT account_id, account_name, CAST(NULL AS DECIMAL(18,2)) AS arr FROM acc"), "arr"),
+    "masked_staging": _dbl(_c("SELECT account_id, account_name, CAST(NULL AS DECIMAL(18,2)) AS arr FROM acc"), "arr"),
     "masked_exempt": _dbl(_c("SELECT account_id, account_name, arr FROM acc"), "arr"),
     "mask_email": """
         SELECT 'acct_' || CAST(c_custkey AS VARCHAR) AS account_id,

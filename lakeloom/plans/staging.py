@@ -5,8 +5,8 @@
 * ``stg_accounts``      CDC accounts  -> newest version per account id.
 * ``stg_opportunities`` CDC opportunities -> newest version, clean stage
                         name, soft-deleted rows dropped.
-* ``incremental``       high-water mark on ``_batch_id`` -> new slice merged
-                        with the current snapshot -> new snapshot version.
+* ``incremental``       batches not consumed yet -> new slice merged with the
+                        current snapshot -> new snapshot version.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lakeloom.config import EventSpec
 from lakeloom.functions.contract import payload_field
 from lakeloom.functions.text import clean_string
+from lakeloom.operators.commit import is_missing_path
 from lakeloom.operators.dedup import latest_by_key
 
 # Dedup order for telemetry (newest load wins; file and position break ties).
@@ -59,12 +60,19 @@ def stg_events(raw: DataFrame, spec: EventSpec) -> DataFrame:
 
 def stg_accounts(accounts: DataFrame) -> DataFrame:
     """Only the columns the model depends on (a drifting replica may add more)."""
-    return latest_by_key(accounts.select(*ACCOUNT_COLUMNS), ["account_id"], ACCOUNT_ORDER)
+    return _newest(accounts.select(*ACCOUNT_COLUMNS), "account_id", ACCOUNT_ORDER)
+
+
+def _newest(versions: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """Newest version per key; versions that tie on the whole order are told apart by
+    a hash of the row, so the choice doesn't depend on where a row lies."""
+    hashed = versions.withColumn("_row_hash", F.xxhash64(*versions.columns))
+    return latest_by_key(hashed, [key], [*order, "_row_hash"]).drop("_row_hash")
 
 
 def stg_opportunities(opportunities: DataFrame) -> DataFrame:
     src = opportunities.select(*OPPORTUNITY_COLUMNS)
-    latest = latest_by_key(src, ["opportunity_id"], OPPORTUNITY_ORDER)
+    latest = _newest(src, "opportunity_id", OPPORTUNITY_ORDER)
     return (latest.where(~F.coalesce(F.col("is_deleted"), F.lit(False)))
             .withColumn("stage_name", clean_string(F.col("stage_name")))
             .drop("is_deleted"))
@@ -76,18 +84,29 @@ def _versions_path(snapshot_root: str) -> str:
     return f"{snapshot_root.rstrip('/')}/_versions"
 
 
+def _consumed_path(version_path: str) -> str:
+    return f"{version_path}_consumed"
+
+
 def current_snapshot(spark: SparkSession, snapshot_root: str) -> DataFrame | None:
     """The newest committed snapshot version, or None before the first build.
 
     ``_versions`` rows are written after the snapshot data, so a version is
     only visible once complete.
     """
+    path = _current_path(spark, snapshot_root)
+    return spark.read.parquet(path) if path else None
+
+
+def _current_path(spark: SparkSession, snapshot_root: str) -> str | None:
     try:
         versions = spark.read.parquet(_versions_path(snapshot_root))
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if is_missing_path(e):
+            return None
+        raise
     last = versions.orderBy(F.col("version").desc()).select("path").take(1)
-    return spark.read.parquet(last[0]["path"]) if last else None
+    return last[0]["path"] if last else None
 
 
 def build_incremental(spark: SparkSession, snapshot_root: str, source: DataFrame,
@@ -95,23 +114,27 @@ def build_incremental(spark: SparkSession, snapshot_root: str, source: DataFrame
                       full_refresh: bool = False) -> DataFrame:
     """Latest-per-key model built incrementally; writes a new snapshot version.
 
-    ``source`` holds typed rows carrying the ``watermark`` column (a
-    time-sortable batch id or sync time). The new slice is the rows with
-    ``watermark >=`` the snapshot's high-water mark (an overlap of one batch;
-    the dedup absorbs repeats), merged with the current snapshot. Because the
-    newest-wins choice is associative, the result equals a full rebuild.
+    ``source`` holds typed rows carrying the ``watermark`` column (a batch id). Each
+    version keeps a table of the ids it has consumed; the new slice is the rows of
+    all other ids, whatever their order, so a batch that began earlier and was
+    committed later is not lost. It is merged with the current snapshot. Because
+    the newest-wins choice is associative, the result equals a full rebuild.
     ``full_refresh`` rebuilds from the whole source (needed after a logic change).
     """
-    prev = None if full_refresh else current_snapshot(spark, snapshot_root)
-    if prev is None:
-        merged = source
-    else:
-        hw = prev.agg(F.max(watermark)).first()[0]  # one scalar
-        slice_ = source.where(F.col(watermark) >= F.lit(hw)) if hw is not None else source
-        merged = slice_.unionByName(prev.select(*source.columns))
-    result = latest_by_key(merged, keys, order)
+    prev_path = None if full_refresh else _current_path(spark, snapshot_root)
     version = time.time_ns() // 1000
     version_path = f"{snapshot_root.rstrip('/')}/v_{version}_{uuid.uuid4().hex[:8]}"
+    seen = source.select(watermark).distinct()
+    if prev_path is None:
+        seen.write.parquet(_consumed_path(version_path))
+        merged = source.join(spark.read.parquet(_consumed_path(version_path)), watermark, "left_semi").select(*source.columns)
+    else:
+        consumed = spark.read.parquet(_consumed_path(prev_path))
+        seen.union(consumed).distinct().write.parquet(_consumed_path(version_path))
+        fresh = spark.read.parquet(_consumed_path(version_path)).join(consumed, watermark, "left_anti")
+        slice_ = source.join(fresh, watermark, "left_semi").select(*source.columns)
+        merged = slice_.unionByName(spark.read.parquet(prev_path).select(*source.columns))
+    result = latest_by_key(merged, keys, order)
     result.write.mode("errorifexists").parquet(version_path)
     spark.createDataFrame([(version, version_path)], "version long, path string") \
         .write.mode("append").parquet(_versions_path(snapshot_root))  # commit marker

@@ -2,7 +2,9 @@
 trigger changes. A streaming ``text`` source (whole files) feeds
 ``foreachBatch``, which runs the same commit path as the batch loader, so the
 load log stays the single idempotency record shared by batch and stream (a
-file loaded by either is skipped by both).
+file loaded by either is skipped by both). The checkpoint moves past a file that
+failed, so every micro-batch writes its report and ``run_available_now`` first
+tries the reported failures again (``retry_failed``).
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from lakeloom.config import EventSpec
 from lakeloom.functions.paths import file_uri_path, relative_path
 from lakeloom.operators import commit as C
-from lakeloom.plans.ingest import commit_contents
+from lakeloom.plans.ingest import commit_contents, retry_failed
 
 
 def ingest_stream(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: str,
@@ -39,8 +41,10 @@ def ingest_stream(spark: SparkSession, spec: EventSpec, landing_root: str, wareh
             attempted = [r._filename for r in todo.select("_filename").collect()]
             if attempted:
                 run_ts = C.run_timestamp()
-                commit_contents(spark, spec, warehouse, todo, run_ts=run_ts,
-                                batch_id=C.new_batch_id(run_ts), attempted=attempted)
+                batch_id = C.new_batch_id(run_ts)
+                report = commit_contents(spark, spec, warehouse, todo, run_ts=run_ts,
+                                         batch_id=batch_id, attempted=attempted)
+                C.write_batch(report, warehouse, C.RUN_REPORT, batch_id)
         finally:
             todo.unpersist()
 
@@ -54,6 +58,7 @@ def ingest_stream(spark: SparkSession, spec: EventSpec, landing_root: str, wareh
 
 def run_available_now(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: str,
                       checkpoint: str, **kw) -> None:
+    retry_failed(spark, spec, landing_root, warehouse)
     q = ingest_stream(spark, spec, landing_root, warehouse, checkpoint, available_now=True, **kw)
     q.awaitTermination()
     if q.exception() is not None:

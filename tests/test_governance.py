@@ -114,3 +114,33 @@ def test_row_filter(spark):
     assert G.allowed_regions(spark, gov, "REVOPS_ADMIN") == ["AFRICA", "AMERICA", "EUROPE", "MIDDLE EAST"]
     assert G.allowed_regions(spark, gov, "FINANCE_DEVELOPER") == ["EUROPE"]
     assert G.allowed_regions(spark, gov, "FINANCE_ANALYST") == []
+
+
+def test_long_chains_and_cycles_resolve(spark):
+    from lakeloom.operators.governance import role_closure
+
+    chain = [(f"r{n:03d}", f"r{n + 1:03d}") for n in range(100)]
+    edges = spark.createDataFrame(chain + [("x", "y"), ("y", "z"), ("z", "x")], "holder string, member string")
+    reach = {}
+    for r in role_closure(spark, edges).collect():
+        reach.setdefault(r.role, set()).add(r.member)
+    assert len(reach["r000"]) == 101 and len(reach["r099"]) == 2 and reach["x"] == {"x", "y", "z"}
+
+
+def test_masking_fails_closed(spark):
+    import pytest
+
+    from lakeloom.operators import governance as G
+    from lakeloom.sources.settings import Governance
+
+    def read(data_type, column_type):
+        gov = Governance.load(spark)
+        gov.__dict__["_policies"] = ([type("R", (), {"tag": "T", "data_type": data_type, "mask_expression": "NULL"})()], {})
+        df = spark.createDataFrame([(None,)], f"c {column_type}")
+        return G.masked(spark, df, None, "REVOPS_READER", gov, column_tags={"c": ("T", "v")})
+
+    for data_type, column_type in [("FLOAT", "double"), ("INTEGER", "int"), ("TIMESTAMP", "timestamp"), ("CHAR(3)", "string")]:
+        assert read(data_type, column_type).first().c is None
+    for data_type, column_type in [("NUMBER", "string"), ("GEOGRAPHY", "string")]:
+        with pytest.raises(G.MaskingError):
+            read(data_type, column_type)

@@ -6,10 +6,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import F09, F10, write_json
+from conftest import F_A, F_B, write_json
 from lakeloom.config import EVENTS
 from lakeloom.operators import commit as C
-from lakeloom.plans.ingest import NOT_AN_ARRAY, IngestError, ingest
+from lakeloom.plans.ingest import NOT_AN_ARRAY, IngestError, ingest, retry_failed
 from lakeloom.plans.staging import stg_events
 from lakeloom.sources.landing import ScanScope
 
@@ -24,23 +24,24 @@ def _log(spark, wh):
 def test_first_load_golden(spark, sample_landing, tmp_root):
     wh = f"{tmp_root}/wh"
     res = ingest(spark, SPEC, sample_landing, wh, ScanScope.backfill())
-    assert _log(spark, wh) == {F09: (2, 1), F10: (7, 4)}
+    assert _log(spark, wh) == {F_A: (3, 1), F_B: (9, 5)}
     raw = C.committed(spark, wh, C.RAW)
-    assert raw.count() == 9
+    assert raw.count() == 12
     reasons = sorted(r.reason for r in C.committed(spark, wh, C.QUARANTINE).collect())
     assert reasons == sorted([
         "missing/null required field(s): user_id",
         "missing/null required field(s): user_id",
         "missing/null required field(s): event_id",
         "missing/null required field(s): account_id",
+        "missing/null required field(s): account_id",
         "missing/null required field(s): event_timestamp",
     ])
     t = res.totals().first()
-    assert (t.files_loaded, t.rows_loaded, t.rows_quarantined) == (2, 9, 5)
-    assert sorted((r.file_name, r.status) for r in res.report.collect()) == [(F09, "loaded"), (F10, "loaded")]
+    assert (t.files_loaded, t.rows_loaded, t.rows_quarantined) == (2, 12, 6)
+    assert sorted((r.file_name, r.status) for r in res.report.collect()) == [(F_A, "loaded"), (F_B, "loaded")]
     # Promoted keys are best effort; the full set lands (invalid rows too).
-    row = raw.where(F.col("_filename") == F09).where(F.col("_pos") == 0).first()
-    assert row.event_id == "ev_0001" and row.event_timestamp == datetime(2026, 5, 1, 9, 14, 22)
+    row = raw.where(F.col("_filename") == F_A).where(F.col("_pos") == 0).first()
+    assert row.event_id == "click-1" and row.event_timestamp == datetime(2026, 3, 14, 20, 5, 30)
 
 
 def test_rerun_is_noop_and_force_doubles(spark, sample_landing, tmp_root):
@@ -51,8 +52,8 @@ def test_rerun_is_noop_and_force_doubles(spark, sample_landing, tmp_root):
     assert again.totals().first().files_loaded == 0
     assert {r.status for r in again.report.collect()} == {"skipped"}
     ingest(spark, SPEC, sample_landing, wh, ScanScope.backfill(), force=True)
-    assert C.committed(spark, wh, C.RAW).count() == 18
-    assert C.committed(spark, wh, C.QUARANTINE).count() == 10
+    assert C.committed(spark, wh, C.RAW).count() == 24
+    assert C.committed(spark, wh, C.QUARANTINE).count() == 12
     assert C.committed(spark, wh, C.LOAD_LOG).count() == 4
 
 
@@ -60,12 +61,12 @@ def test_staging_after_load_and_after_force(spark, sample_landing, tmp_root):
     wh = f"{tmp_root}/wh"
     ingest(spark, SPEC, sample_landing, wh, ScanScope.backfill())
     ids = sorted(r.event_id for r in stg_events(C.committed(spark, wh, C.RAW), SPEC).collect())
-    assert ids == ["ev_0001", "ev_v1", "ev_v2"]
+    assert ids == ["click-1", "click-11", "click-12", "click-3"]
     ingest(spark, SPEC, sample_landing, wh, ScanScope.backfill(), force=True)
     stg = stg_events(C.committed(spark, wh, C.RAW), SPEC)
-    assert sorted(r.event_id for r in stg.collect()) == ["ev_0001", "ev_v1", "ev_v2"]
-    d = stg.where(F.col("event_id") == "ev_0001").first()
-    assert (d.browser, d.module, d.duration_ms) == ("Firefox", "planning", 3420)
+    assert sorted(r.event_id for r in stg.collect()) == ["click-1", "click-11", "click-12", "click-3"]
+    d = stg.where(F.col("event_id") == "click-1").first()
+    assert (d.browser, d.module, d.duration_ms) == ("Lynx", None, 77)
 
 
 def test_contract_edge_cases(spark, tmp_root):
@@ -162,17 +163,17 @@ def test_crash_before_log_leaves_invisible_orphans(spark, sample_landing, tmp_ro
     with pytest.raises(RuntimeError):
         ingest(spark, SPEC, sample_landing, wh, ScanScope.backfill())
     monkeypatch.setattr(C, "write_batch", real)
-    assert C.read_all(spark, wh, C.RAW).count() == 9           # orphans on disk
+    assert C.read_all(spark, wh, C.RAW).count() == 12          # orphans on disk
     assert C.committed(spark, wh, C.RAW).count() == 0          # but invisible
     ingest(spark, SPEC, sample_landing, wh, ScanScope.backfill())  # retry, new batch
-    assert C.committed(spark, wh, C.RAW).count() == 9
-    assert _log(spark, wh) == {F09: (2, 1), F10: (7, 4)}
+    assert C.committed(spark, wh, C.RAW).count() == 12
+    assert _log(spark, wh) == {F_A: (3, 1), F_B: (9, 5)}
 
 
 def test_split_loads_equal_one_load(spark, sample_landing, tmp_root):
     a, b = f"{tmp_root}/wh_a", f"{tmp_root}/wh_b"
-    ingest(spark, SPEC, sample_landing, a, ScanScope.path("dt=2026-05-01/hr=09"))
-    ingest(spark, SPEC, sample_landing, a, ScanScope.path("dt=2026-05-01/hr=10"))
+    ingest(spark, SPEC, sample_landing, a, ScanScope.path("dt=2026-03-14/hr=20"))
+    ingest(spark, SPEC, sample_landing, a, ScanScope.path("dt=2026-03-14/hr=21"))
     ingest(spark, SPEC, sample_landing, b, ScanScope.backfill())
     cols = ["event_id", "_filename", "_pos", "_reason"]
     def rows(wh):
@@ -180,34 +181,34 @@ def test_split_loads_equal_one_load(spark, sample_landing, tmp_root):
     assert rows(a) == rows(b)
 
 
-def test_size_guard_fails_file_without_truncating(spark, sample_landing, tmp_root):
-    from dataclasses import replace
-    small = replace(SPEC, max_file_bytes=300)
-    wh = f"{tmp_root}/wh"
-    res = ingest(spark, small, sample_landing, wh, ScanScope.backfill())
-    st = {r.file_name: r.status for r in res.report.collect()}
-    assert st == {F09: "failed", F10: "failed"}
-    assert C.committed(spark, wh, C.RAW).count() == 0
-    with pytest.raises(IngestError):
-        ingest(spark, small, sample_landing, wh, ScanScope.backfill(), strict=True)
-
-
-def test_large_scope_commits_in_bounded_batches(spark, tmp_root):
+def test_one_commit_for_many_and_for_large_files(spark, tmp_root):
     root = f"{tmp_root}/landing"
-    for h in range(8):
-        write_json(f"{root}/dt=2026-05-05/hr={h:02d}/f.json", [
-            {"event_id": f"e{h}", "account_id": "a", "event_timestamp": "2026-05-05T00:00:00Z", "user_id": "u"}])
+    event = {"account_id": "a", "event_timestamp": "2026-05-05T00:00:00Z", "user_id": "u"}
+    for h in range(24):
+        write_json(f"{root}/dt=2026-05-05/hr={h:02d}/f.json", [{"event_id": f"e{h}", **event}])
+    write_json(f"{root}/dt=2026-05-06/hr=00/large.json", [{"event_id": f"l{n}", "pad": "x" * 2000, **event} for n in range(10_000)])
     wh = f"{tmp_root}/wh"
-    res = ingest(spark, SPEC, root, wh, ScanScope.backfill(), max_files_per_batch=2)
-    log = C.committed(spark, wh, C.LOAD_LOG)
-    assert len(res.batches) > 1  # hash chunks: about 2 files each
-    assert log.select("_batch_id").distinct().count() == len(res.batches)
-    assert log.count() == 8 and C.committed(spark, wh, C.RAW).count() == 8
-    assert sorted(r.status for r in res.report.collect()) == ["loaded"] * 8
-    again = ingest(spark, SPEC, root, wh, ScanScope.backfill(), max_files_per_batch=2)
+    res = ingest(spark, SPEC, root, wh, ScanScope.backfill())
+    assert len(res.batches) == 1 and C.committed(spark, wh, C.LOAD_LOG).count() == 25
+    assert C.committed(spark, wh, C.RAW).count() == 10_024
+    again = ingest(spark, SPEC, root, wh, ScanScope.backfill())
     assert again.batch_id is None and {r.status for r in again.report.collect()} == {"skipped"}
 
 
+def test_every_file_has_a_status_and_failures_are_tried_again(spark, tmp_root):
+    root, wh = f"{tmp_root}/landing", f"{tmp_root}/wh"
+    good = [{"event_id": "e", "account_id": "a", "event_timestamp": "2026-05-05T00:00:00Z", "user_id": "u"}]
+    for name, body in {"good": good, "bad": "not json", "object": "{}", "none": "[]"}.items():
+        write_json(f"{root}/{name}.json", body)
+    first = ingest(spark, SPEC, root, wh, ScanScope.backfill(), persist_report=True)
+    assert {r.file_name: r.status for r in first.report.collect()} == {
+        "good.json": "loaded", "bad.json": "failed", "object.json": "failed", "none.json": "empty"}
+    write_json(f"{root}/bad.json", good)
+    again = retry_failed(spark, SPEC, root, wh)
+    assert {r.file_name: r.status for r in again.report.collect()} == {"bad.json": "loaded", "object.json": "failed"}
+    assert C.committed(spark, wh, C.LOAD_LOG).count() == 2
+
+
 def test_special_characters_in_paths(spark, tmp_root):
     root = f"{tmp_root}/land ing"
     names = ["a b.json", "c%d.json", "e+f.json", "ü.json"]
@@ -227,7 +228,7 @@ def test_persisted_report(spark, sample_landing, tmp_root):
     wh = f"{tmp_root}/wh"
     ingest(spark, SPEC, sample_landing, wh, ScanScope.backfill(), persist_report=True)
     rep = C.committed(spark, wh, C.RUN_REPORT)
-    assert sorted((r.file_name, r.status) for r in rep.collect()) == [(F09, "loaded"), (F10, "loaded")]
+    assert sorted((r.file_name, r.status) for r in rep.collect()) == [(F_A, "loaded"), (F_B, "loaded")]
 
 
 def test_run_with_only_empty_and_bad_files(spark, tmp_root):

@@ -25,54 +25,64 @@ OPP_SCHEMA = T.StructType([
 ])
 SYNC = datetime(2026, 7, 10)
 
-# Invented seed: 4 accounts, 6 opportunities (one soft-deleted, one messy stage).
 ACCOUNTS = [
-    ("acc_1", "North Borough", "Government", Decimal("480000.00"), "IL", "Enterprise", datetime(2024, 3, 11, 9, 15), SYNC),
-    ("acc_2", "Lake School Board", "Education", Decimal("120000.00"), "MI", "Mid-Market", datetime(2024, 7, 2, 14, 40), SYNC),
-    ("acc_3", "Stone County", "Government", Decimal("36000.00"), "MT", "SMB", datetime(2025, 1, 20, 11, 5), SYNC),
-    ("acc_4", "Bay Water Co", "Utilities", Decimal("245000.00"), "WA", "Mid-Market", datetime(2025, 5, 9, 16, 22), SYNC),
-]
+    (f"a{n}", name, field, Decimal(arr), state, tier, datetime(2023, n, 2 * n, n), SYNC)
+    for n, (name, field, arr, state, tier) in enumerate([
+        ("Harbour Foods", "Retail", "910.50", "OR", "Gold"), ("Quill Press", "Media", "77.25", "VT", "Silver"),
+        ("Tarn Outdoor", "Retail", "3000.00", "UT", "Gold")], 1)]
 OPPS = [
-    ("opp_A", "acc_1", "own_1", "Prospecting", Decimal("50000.00"), date(2026, 9, 30), datetime(2026, 4, 1, 10), datetime(2026, 6, 20, 12), False, SYNC),
-    ("opp_B", "acc_1", "own_1", "  negotiation ", Decimal("145000.00"), date(2026, 8, 15), datetime(2026, 2, 15, 9, 30), datetime(2026, 7, 1, 15, 45), False, SYNC),
-    ("opp_C", "acc_2", "own_2", "Closed Won", Decimal("120000.00"), date(2026, 5, 31), datetime(2025, 11, 10, 8, 20), datetime(2026, 6, 1, 10, 10), False, SYNC),
-    ("opp_D", "acc_3", "own_2", "Qualification", Decimal("18000.00"), date(2026, 12, 31), datetime(2026, 5, 5, 13), datetime(2026, 7, 8, 9), False, SYNC),
-    ("opp_E", "acc_4", "own_3", "Closed Lost", Decimal("90000.00"), date(2026, 3, 31), datetime(2025, 12, 1, 10, 45), datetime(2026, 4, 2, 11, 30), False, SYNC),
-    ("opp_F", "acc_4", "own_3", "Prospecting", Decimal("60000.00"), date(2026, 10, 15), datetime(2026, 6, 25, 14, 10), datetime(2026, 7, 5, 16), True, SYNC),
-]
+    (f"o{n}", account, f"rep{n % 2}", stage, Decimal(amount), close, created, created, gone, SYNC)
+    for n, (account, stage, amount, close, created, gone) in enumerate([
+        ("a1", "Qualification", "200.00", date(2026, 3, 1), datetime(2026, 2, 1, 8), False),
+        ("a2", " CLOSED   won", "40.00", date(2026, 1, 31), datetime(2026, 1, 1, 8), False),
+        ("a2", "closed LOST ", "9.99", date(2025, 12, 25), datetime(2025, 12, 24, 8), False),
+        ("a3", "Negotiation", "1000.00", date(2026, 2, 11), datetime(2026, 2, 1, 8), False),
+        ("a3", "Prospecting", "5.00", date(2026, 9, 9), datetime(2026, 2, 1, 8), True)], 1)]
 
 
 def test_mart_golden(spark):
     acc = STG.stg_accounts(spark.createDataFrame(ACCOUNTS, ACC_SCHEMA))
     opp = STG.stg_opportunities(spark.createDataFrame(OPPS, OPP_SCHEMA))
     mart = {r.opportunity_id: r for r in M.mart_opportunities(opp, acc).collect()}
-    assert sorted(mart) == ["opp_A", "opp_B", "opp_C", "opp_D", "opp_E"]
-    assert {k: v.days_to_close for k, v in mart.items()} == {
-        "opp_A": 182, "opp_B": 181, "opp_C": 202, "opp_D": 240, "opp_E": 120}
-    assert mart["opp_B"].stage_name == "Negotiation"
-    assert mart["opp_B"].pipeline_stage_bucket == "late"
-    assert mart["opp_B"].weighted_amount == Decimal("87000.00")
-    assert mart["opp_E"].weighted_amount == Decimal("0.00")
-    assert mart["opp_A"].account_name == "North Borough"
+    assert {k: v.days_to_close for k, v in mart.items()} == {"o1": 28, "o2": 30, "o3": 1, "o4": 10}
+    assert [mart[k].stage_name for k in ("o2", "o3")] == ["Closed Won", "Closed Lost"]
+    assert mart["o4"].pipeline_stage_bucket == "late"
+    assert [mart[k].weighted_amount for k in ("o1", "o2", "o3", "o4")] == [
+        Decimal("50.00"), Decimal("40.00"), Decimal("0.00"), Decimal("600.00")]
+    assert mart["o1"].account_name == "Harbour Foods"
+
+
+def test_versions_that_tie_are_chosen_by_content(spark):
+    ties = [ACCOUNTS[0][:3] + (Decimal(n),) + ACCOUNTS[0][4:] for n in range(6)]
+    picks = {STG.stg_accounts(spark.createDataFrame(rows, ACC_SCHEMA).repartition(k)).first().arr
+             for rows in (ties, ties[::-1]) for k in (1, 3)}
+    assert len(picks) == 1
+
+
+def test_a_batch_that_commits_late_is_not_lost(spark, tmp_root):
+    rows = lambda *ids: spark.createDataFrame([(f"e{i}", i, f"b{i}") for i in ids], "event_id string, n int, _batch_id string")
+    first = STG.build_incremental(spark, f"{tmp_root}/snap", rows(2), ["event_id"], ["n"])
+    assert first.count() == 1
+    second = STG.build_incremental(spark, f"{tmp_root}/snap", rows(1, 2), ["event_id"], ["n"])  # b1 began before b2
+    assert sorted(r.event_id for r in second.collect()) == ["e1", "e2"]
 
 
 def test_cdc_versions_ties_orphans_nulls(spark):
     later = datetime(2026, 7, 11)
     rows = OPPS + [
-        # newer version of A (wins), a same-sync version of C with an older modification (loses)
-        ("opp_A", "acc_1", "own_1", "Negotiation", Decimal("55000.00"), None, datetime(2026, 4, 1, 10), datetime(2026, 7, 10), False, later),
-        ("opp_C", "acc_2", "own_2", "Prospecting", Decimal("1.00"), date(2026, 5, 31), datetime(2025, 11, 10, 8, 20), datetime(2026, 1, 1), False, SYNC),
-        # orphan account, NULL amount; F resurrected by a newer undeleted version
-        ("opp_G", "acc_missing", "own_9", "qualification", None, date(2026, 1, 1), datetime(2026, 1, 5), datetime(2026, 1, 5), False, SYNC),
-        ("opp_F", "acc_4", "own_3", "Prospecting", Decimal("61000.00"), date(2026, 10, 15), datetime(2026, 6, 25, 14, 10), datetime(2026, 7, 9), False, later),
-    ]
+        # a newer version wins; an older modification of the same sync loses
+        ("o1", "a1", "rep1", "Negotiation", Decimal("210.00"), None, datetime(2026, 2, 1, 8), datetime(2026, 7, 10), False, later),
+        ("o2", "a2", "rep0", "Prospecting", Decimal("1.00"), date(2026, 5, 31), datetime(2026, 1, 1, 8), datetime(2025, 1, 1), False, SYNC),
+        # an orphan account with a NULL amount; a deleted row that a newer version brings back
+        ("o9", "nobody", "rep9", "qualification", None, date(2026, 1, 1), datetime(2026, 1, 5), datetime(2026, 1, 5), False, SYNC),
+        ("o5", "a3", "rep1", "Prospecting", Decimal("6.00"), date(2026, 9, 9), datetime(2026, 2, 1, 8), datetime(2026, 7, 9), False, later)]
     opp = STG.stg_opportunities(spark.createDataFrame(rows, OPP_SCHEMA))
     acc = STG.stg_accounts(spark.createDataFrame(ACCOUNTS, ACC_SCHEMA))
     mart = {r.opportunity_id: r for r in M.mart_opportunities(opp, acc).collect()}
-    assert mart["opp_A"].stage_name == "Negotiation" and mart["opp_A"].days_to_close is None
-    assert mart["opp_C"].stage_name == "Closed Won"
-    assert mart["opp_G"].account_name is None and mart["opp_G"].weighted_amount is None
-    assert mart["opp_F"].amount == Decimal("61000.00")
+    assert mart["o1"].stage_name == "Negotiation" and mart["o1"].days_to_close is None
+    assert mart["o2"].stage_name == "Closed Won"
+    assert mart["o9"].account_name is None and mart["o9"].weighted_amount is None
+    assert mart["o5"].amount == Decimal("6.00")
 
 
 def test_latest_by_key_is_order_independent(spark):
@@ -111,9 +121,9 @@ def test_metrics_and_seed_summary(spark):
     opp = STG.stg_opportunities(spark.createDataFrame(OPPS, OPP_SCHEMA))
     mart = M.mart_opportunities(opp, acc)
     m = {r.pipeline_stage_bucket: r for r in M.pipeline_metrics(mart, by=("pipeline_stage_bucket",)).collect()}
-    assert m["early"].opportunities == 2 and m["early"].total_amount == Decimal("68000.00")
-    assert m["early"].weighted_pipeline == Decimal("9500.00")
-    assert M.seed_summary(acc, "DB.S.ACCOUNT").first().result == "seeded 4 accounts into DB.S.ACCOUNT"
+    assert m["early"].opportunities == 1 and m["early"].total_amount == Decimal("200.00")
+    assert m["early"].weighted_pipeline == Decimal("50.00")
+    assert M.seed_summary(acc, "DB.S.ACCOUNT").first().result == "seeded 3 accounts into DB.S.ACCOUNT"
 
 
 def test_clean_string(spark):

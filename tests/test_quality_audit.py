@@ -39,3 +39,19 @@ def test_column_access_audit(spark):
                                "query_id string, role_name string")
     rows = column_access(ah, qh, "%SALESFORCE_RAW_FIVETRAN.ACCOUNT", "ARR").collect()
     assert [(r.user_name, r.role_name) for r in rows] == [("CY", "REVOPS_ANALYST"), ("ANA", "REVOPS_ADMIN")]
+
+
+def test_further_kinds_and_unknown_ones(spark):
+    import pytest
+
+    from lakeloom.operators import quality as Q
+
+    child = spark.createDataFrame([(1, "A1", "p", True), (1, "bad", None, False), (2, None, "q", False), (2, "B2", "gone", True), (3, "C3", None, True)],
+                                  "g int, code string, parent string, main boolean")
+    parent = spark.createDataFrame([("p",), ("q",)], "id string")
+    checks = [Q.empty("no_rows", "child"), Q.pattern("child", "code", "^[A-Z][0-9]$"), Q.one_per_group("child", "g", "main"),
+              Q.conditional_reference("child", "parent", "parent", "id", "main")]
+    got = {r.check_name: r.failures for r in Q.run_checks({"child": child, "parent": parent}, checks).collect()}
+    assert got == {"no_rows": 5, "pattern_child_code": 1, "one_per_group_child_g": 0, "conditional_reference_child_parent": 2}
+    with pytest.raises(ValueError, match="unknown check kinds"):
+        Q.run_checks({"child": child}, [Q.Check("c", "child", "frequency")])

@@ -1,4 +1,4 @@
-from conftest import F09, F10
+from conftest import F_A, F_B
 from lakeloom.config import EVENTS
 from lakeloom.operators import commit as C
 from lakeloom.plans.ingest import ingest
@@ -13,14 +13,14 @@ def test_stream_equals_batch_and_shares_the_log(spark, sample_landing, tmp_root)
     run_available_now(spark, SPEC, sample_landing, wh, f"{tmp_root}/ckpt")
     log = {r.file_name: (r.records_processed, r.records_quarantined)
            for r in C.committed(spark, wh, C.LOAD_LOG).collect()}
-    assert log == {F09: (2, 1), F10: (7, 4)}
-    assert C.committed(spark, wh, C.RAW).count() == 9
+    assert log == {F_A: (3, 1), F_B: (9, 5)}
+    assert C.committed(spark, wh, C.RAW).count() == 12
     # a batch run after the stream skips what the stream loaded
     res = ingest(spark, SPEC, sample_landing, wh, ScanScope.backfill())
     assert {r.status for r in res.report.collect()} == {"skipped"}
     # a fresh stream checkpoint over the same warehouse also loads nothing new
     run_available_now(spark, SPEC, sample_landing, wh, f"{tmp_root}/ckpt2")
-    assert C.committed(spark, wh, C.RAW).count() == 9
+    assert C.committed(spark, wh, C.RAW).count() == 12
 
 
 def test_entry_and_registry(spark):
@@ -36,12 +36,12 @@ def test_cli_ingest_and_sql_views(spark, sample_landing, tmp_root, capsys):
     wh = f"{tmp_root}/wh"
     assert main(["ingest", "--landing", sample_landing, "--warehouse", wh, "--backfill"]) == 0
     out = capsys.readouterr().out
-    assert "Done: 2 file(s), 9 loaded, 5 quarantined." in out
+    assert "2 file(s) loaded" in out and "rows: 12 written, of which 6 break the contract" in out
     assert main(["ingest", "--landing", sample_landing, "--warehouse", wh, "--backfill"]) == 0
-    assert "Done: 0 file(s)" in capsys.readouterr().out
+    assert "2 file(s) skipped" in capsys.readouterr().out
     C.register_views(spark, wh, prefix="t_")
     n = spark.sql("SELECT count(*) AS n FROM t_raw r JOIN t_load_log l ON r._filename = l.file_name").first().n
-    assert n == 9
+    assert n == 12
     assert main(["check-config"]) == 0
 
 
@@ -49,11 +49,11 @@ def test_stream_restart_loads_only_new_files(spark, sample_landing, tmp_root):
     from conftest import write_json
     wh, ckpt = f"{tmp_root}/wh", f"{tmp_root}/ckpt"
     run_available_now(spark, SPEC, sample_landing, wh, ckpt)
-    write_json(f"{sample_landing}/dt=2026-05-01/hr=11/late.json", [
+    write_json(f"{sample_landing}/dt=2026-03-14/hr=22/late.json", [
         {"event_id": "ev_new", "account_id": "a", "event_timestamp": "2026-05-01T11:00:00Z", "user_id": "u"}])
     run_available_now(spark, SPEC, sample_landing, wh, ckpt)  # same checkpoint: restart
     log = {r.file_name: r.records_processed for r in C.committed(spark, wh, C.LOAD_LOG).collect()}
-    assert log == {F09: 2, F10: 7, "dt=2026-05-01/hr=11/late.json": 1}
+    assert log == {F_A: 3, F_B: 9, "dt=2026-03-14/hr=22/late.json": 1}
     assert C.committed(spark, wh, C.LOAD_LOG).select("_batch_id").distinct().count() == 2
 
 
@@ -61,19 +61,19 @@ def test_late_file_in_window_rescan(spark, sample_landing, tmp_root):
     from datetime import datetime
     from conftest import write_json
     wh = f"{tmp_root}/wh"
-    now = datetime(2026, 5, 2, 8)
+    now = datetime(2026, 3, 15, 8)
     first = ingest(spark, SPEC, sample_landing, wh, ScanScope.window(now, 48))
     assert first.totals().first().files_loaded == 2
     # a straggler lands in an hour folder that was already scanned
-    write_json(f"{sample_landing}/dt=2026-05-01/hr=09/late.json", [
+    write_json(f"{sample_landing}/dt=2026-03-14/hr=20/late.json", [
         {"event_id": "ev_late", "account_id": "a", "event_timestamp": "2026-05-01T09:59:00Z", "user_id": "u"}])
     second = ingest(spark, SPEC, sample_landing, wh, ScanScope.window(now, 48))
     loaded = [r.file_name for r in second.report.collect() if r.status == "loaded"]
-    assert loaded == ["dt=2026-05-01/hr=09/late.json"]
+    assert loaded == ["dt=2026-03-14/hr=20/late.json"]
     # outside the window it is not seen; prefill catches it
     wh2 = f"{tmp_root}/wh2"
-    assert ingest(spark, SPEC, sample_landing, wh2, ScanScope.window(datetime(2026, 5, 10), 48)).batch_id is None
-    assert ingest(spark, SPEC, sample_landing, wh2, ScanScope.prefill("2026-05-01")).totals().first().files_loaded == 3
+    assert ingest(spark, SPEC, sample_landing, wh2, ScanScope.window(datetime(2026, 3, 20), 48)).batch_id is None
+    assert ingest(spark, SPEC, sample_landing, wh2, ScanScope.prefill("2026-03-14")).totals().first().files_loaded == 3
 
 
 def test_cli_stream_available_now(spark, sample_landing, tmp_root):
@@ -81,4 +81,4 @@ def test_cli_stream_available_now(spark, sample_landing, tmp_root):
     wh = f"{tmp_root}/wh"
     assert main(["stream", "--landing", sample_landing, "--warehouse", wh,
                  "--checkpoint", f"{tmp_root}/ckpt", "--available-now"]) == 0
-    assert C.committed(spark, wh, C.RAW).count() == 9
+    assert C.committed(spark, wh, C.RAW).count() == 12
