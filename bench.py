@@ -87,7 +87,7 @@ def main():
     results = {name: round(timed(fn), 3) for name, fn in queries.items() if not only or name in only}
 
     headline = ["ingest_raw", "ingest_rerun_noop", "stg_events_latest", "mart_opportunities",
-                "masked_reader", "access_audit"]
+                "masked_reader", "access_audit", "dq_checks", "events_by_day"]
     value = round(sum(results[q] for q in headline if q in results), 3)
     extra = {"setup_sec": round(setup_s, 3), "landing_files": files, "raw_rows": rows}
     if "ingest_raw" in results:
