@@ -229,6 +229,24 @@ def opportunities(spark, sf_dir) -> DataFrame:
     return STG.stg_opportunities(opportunities_feed(spark, sf_dir))
 
 
+def _sliced(feed: DataFrame, key: str) -> DataFrame:
+    """The feed as two arrivals by a hash of key and sync time, so that versions, deletes
+    and ties of a key lie in both, the newer one now in the first, now in the second."""
+    return feed.withColumn("_slice", F.concat(F.lit("slice-"), F.pmod(F.xxhash64(key, "_fivetran_synced"), F.lit(2))))
+
+
+def q_stg_accounts_incremental(spark, sf_dir):
+    feed, root = _sliced(accounts_feed(spark, sf_dir), "account_id"), scratch_dir(spark, "snapshot")
+    STG.stg_accounts_incremental(spark, root, feed.where("_slice = 'slice-1'"), "_slice")
+    return STG.stg_accounts_incremental(spark, root, feed, "_slice")
+
+
+def q_stg_opportunities_incremental(spark, sf_dir):
+    feed, root = _sliced(opportunities_feed(spark, sf_dir), "opportunity_id"), scratch_dir(spark, "snapshot")
+    STG.stg_opportunities_incremental(spark, root, feed.where("_slice = 'slice-1'"), "_slice")
+    return STG.stg_opportunities_incremental(spark, root, feed, "_slice")
+
+
 def q_stg_accounts(spark, sf_dir):
     return accounts(spark, sf_dir)
 
@@ -468,6 +486,8 @@ QUERIES = {
     "masked_exempt": q_masked_exempt,
     "masked_mart": q_masked_mart,
     "masked_staging": q_masked_staging,
+    "stg_accounts_incremental": q_stg_accounts_incremental,
+    "stg_opportunities_incremental": q_stg_opportunities_incremental,
     "mask_email": q_mask_email,
     "mask_phone": q_mask_phone,
     "row_access": q_row_access,

@@ -312,3 +312,7 @@ ORACLES: dict[str, str] = {
         WHERE r_name IN ('AFRICA', 'MIDDLE EAST', 'AMERICA', 'EUROPE')""",
     "access_audit": _AUDIT,
 }
+
+# Built from slices, the result is that of the full staging.
+for _model in ("stg_accounts", "stg_opportunities"):
+    ORACLES[f"{_model}_incremental"] = ORACLES[_model]

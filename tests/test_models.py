@@ -138,3 +138,12 @@ def test_null_keys_group_like_partition_by(spark):
     out = sorted(latest_by_key(df, ["k"], ["o"]).collect(), key=lambda r: (r.k or "", r.o))
     win = sorted(latest_by_key_window(df, ["k"], ["o"]).collect(), key=lambda r: (r.k or "", r.o))
     assert [(r.k, r.o) for r in out] == [(r.k, r.o) for r in win] == [(None, 2), ("a", 3)]
+
+
+def test_a_late_older_version_does_not_revive_a_deleted_row(spark, tmp_root):
+    deleted = OPPS[4]  # o5 is deleted
+    older = deleted[:7] + (datetime(2026, 1, 1), False, datetime(2026, 7, 1))
+    slices = spark.createDataFrame([(*r, "s1") for r in OPPS] + [(*older, "s2")], T.StructType([*OPP_SCHEMA.fields, T.StructField("slice", T.StringType())]))
+    first = STG.stg_opportunities_incremental(spark, f"{tmp_root}/snap", slices.where("slice = 's1'"), "slice")
+    second = STG.stg_opportunities_incremental(spark, f"{tmp_root}/snap", slices, "slice")
+    assert sorted(r.opportunity_id for r in first.collect()) == sorted(r.opportunity_id for r in second.collect()) == ["o1", "o2", "o3", "o4"]
