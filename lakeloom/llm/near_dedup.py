@@ -18,22 +18,22 @@ similarity. Weights are cut into dyadic cells, so a shingle of weight ``w`` cost
 
 **Joins.** Equal texts are one node, found by an MD5 aggregation, so copies cost
 one row each. ``ROWS`` coordinates make a band (25 bands of 5: a pair at 0.8 is
-missed with probability 5e-5) and nodes that share a band share a bucket. Nodes in
-buckets of two or more get a second, finer signature of ``FINE`` coordinates from
-their texts; pairs that agree on less than ``LEAST_AGREEMENT`` of it, four standard
-deviations below 0.8, are not read. The others are verified exactly, on the shingle
+missed with probability 5e-5) and nodes that share a band share a bucket. Pairs whose
+signatures agree on less than ``LEAST_AGREEMENT`` of the coordinates, five standard
+deviations below 0.8, are not read; the others are verified exactly, on the shingle
 counts. Only links that can join two components are looked for:
 
 1. every member of a bucket against the bucket's smallest node;
-2. in buckets that hold several components, each stray (a member outside the
-   bucket's largest component) against the member of another component that its fine
-   signature agrees with most;
-3. each stray against every member of another component.
+2. in buckets that then hold several components, each stray (a member outside the
+   bucket's largest component) against every member of another component.
 
-Steps 2 and 3 compare signatures in a grid of at most ``STRAYS`` by ``MEMBERS`` rows a
-cell, so a bucket of any size is spread over tasks of bounded size, and only pairs
-that agree leave a cell. Members of one component are never compared: groups of near
-copies cost a row for each member once they are linked.
+Step 2 works in a grid of about ``STRAYS`` by ``MEMBERS`` rows a cell, so a bucket of any
+size is spread over tasks of bounded size. A cell holds the members' signatures, bands
+and shingles (as sorted 32-bit hashes, a repeated shingle's occurrences counted as
+different ones), so it tests its pairs itself and no pair leaves it but a link: at most
+one for each stray and component. A pair that shares several bands is tested in the
+first one only, and links are verified once more on the 64-bit hashes. Members of one
+component are never compared.
 
 Defined cases: null text is a class of its own; texts without a word are
 classed with equal texts only. Null doc_ids take part; a class's id is its
@@ -60,10 +60,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
-FINE = 512
-COARSE = 128
-LEAST_AGREEMENT, LEAST_COARSE = 0.73, 0.62
-STRAYS, MEMBERS = 1024, 16384
+LEAST_AGREEMENT = 0.62
+STRAYS, MEMBERS = 1024, 4096
+CHUNK = 256
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -146,7 +145,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 SKETCH = T.StructType([
     T.StructField("uid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("key", T.StringType()),
-    T.StructField("bands", T.ArrayType(T.LongType()))])
+    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
 
 
 def sketch(rows: DataFrame) -> DataFrame:
@@ -166,96 +165,106 @@ def sketch(rows: DataFrame) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands[has].ravel()))], names=SKETCH.names)
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands[has].ravel())),
+                 pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], names=SKETCH.names)
 
     ready = rows.select("uid", F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("key"),
                         word_hashes(F.col("text")).alias("words"))
     return ready.mapInArrow(run, SKETCH)
 
 
-def fine_signatures(texts: DataFrame) -> DataFrame:
-    """node and the fine signature (a byte per coordinate) of (node, words)."""
+def elements(words: np.ndarray) -> np.ndarray:
+    """The shingles of a text as sorted 32-bit hashes, its weighted set as a set."""
+    _, h, n = shingles(words, np.array([len(words)]))
+    turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.sort((mix64(np.repeat(h, n) + turn.astype(np.uint64)) >> np.uint64(32)).astype("<u4"))
 
+
+def _with_elements(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, ends = _lists(batch.column(1))
-            starts = np.concatenate([[0], ends[:-1]])
-            for a in range(0, len(ends), 100):
-                part = slice(a, a + 100)
-                base = starts[a]
-                doc, h, n = shingles(words[base:ends[part][-1]], ends[part] - base)
-                sig = dart_signatures(doc, h, n.astype(float), len(ends[part]), FINE).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array([s.tobytes() for s in sig], pa.binary())], names=["node", "fine"])
+            made = [elements(w).tobytes() for w in np.split(words, ends[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "elements"])
 
-    return texts.select("node", "words").mapInArrow(run, "node long, fine binary")
+    return texts.select("node", "words").mapInArrow(run, "node long, elements binary")
 
 
 def _bytes(column: list) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, FINE)
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, COORDINATES)
 
 
-def _agreeing(pairs: DataFrame, fine: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose fine signatures agree on enough coordinates."""
+def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree on enough coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (_bytes(c.to_pylist()) for c in batch.columns[2:])
             yield batch.select([0, 1]).filter(pa.array((x == y).mean(1) >= LEAST_AGREEMENT, pa.bool_()))
 
-    both = pairs.join(fine.select(F.col("node").alias("a"), F.col("fine").alias("x")), "a").join(
-        fine.select(F.col("node").alias("b"), F.col("fine").alias("y")), "b")
+    both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(
+        sigs.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _cell_pairs(stray: np.ndarray, node: np.ndarray, label: np.ndarray, main: np.ndarray, fine: np.ndarray, best_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (stray, member) of the pairs of a cell that agree."""
-    rows, cols = np.flatnonzero(stray), np.flatnonzero(~stray)
-    left, right = [], []
-    step = max(1, (1 << 23) // max(1, len(cols) * COARSE))
-    for a in range(0, len(rows), step):
-        own = rows[a:a + step]
-        may = label[own][:, None] != label[cols][None, :]
-        if not best_only:  # two strays meet twice: once is enough
-            may &= main[cols][None, :] | (node[own][:, None] < node[cols][None, :])
-        rough = (fine[own, :COARSE][:, None, :] == fine[cols, :COARSE][None, :, :]).sum(2)
-        x, y = np.nonzero(may & (rough >= LEAST_COARSE * COARSE))
-        agree = np.concatenate([(fine[own[x[k:k + 4096]]] == fine[cols[y[k:k + 4096]]]).mean(1) for k in range(0, len(x), 4096)]) if len(x) else np.zeros(0)
-        hold = agree >= LEAST_AGREEMENT
-        x, y, agree = x[hold], y[hold], agree[hold]
-        if best_only and len(x):
-            order = np.lexsort((node[cols[y]], -agree, x))
-            x, y = x[order], y[order]
-            first = np.append(True, x[1:] != x[:-1])
-            x, y = x[first], y[first]
-        left.append(own[x])
-        right.append(cols[y])
-    return (np.concatenate(left), np.concatenate(right)) if left else (rows[:0], rows[:0])
-
-
-def _grid(opened: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of the strays and members of open buckets that agree: all of
-    them, or for each stray the best of each cell. ``opened`` is (bucket, node,
-    label, most, n, strays, fine)."""
+def _cell_links(bucket: int, stray: np.ndarray, node: np.ndarray, label: np.ndarray, main: np.ndarray, sig: np.ndarray,
+                bands: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links (stray, member) of one cell: one for each stray and component."""
+    cols = np.flatnonzero(~stray)
+    sizes = np.array([len(s) for s in sets])
+    for r in np.flatnonzero(stray):
+        # two strays meet twice: once is enough
+        may = (label[cols] != label[r]) & (main[cols] | (node[r] < node[cols]))
+        agree = (sig[cols] == sig[r]).sum(1)
+        at = np.flatnonzero(may & (agree >= LEAST_AGREEMENT * COORDINATES))
+        if not len(at):
+            continue
+        at = at[np.lexsort((node[cols[at]], -agree[at]))]
+        at = at[bands[r][(bands[cols[at]] == bands[r]).argmax(1)] == bucket]
+        own, found = sets[r], set()
+        while len(at):
+            some, at = cols[at[:CHUNK]], at[CHUNK:]
+            flat = np.concatenate([sets[c] for c in some])
+            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            common = np.add.reduceat(own[place] == flat, np.cumsum(sizes[some]) - sizes[some])
+            hits = some[common >= SIMILARITY * (sizes[some] + len(own) - common) - 1e-9]
+            for c in hits.tolist():
+                if label[c] not in found:
+                    found.add(label[c])
+                    yield int(node[r]), int(node[c])
+            if found:
+                at = at[~np.isin(label[cols[at]], list(found))]
+
+
+def _grid(opened: DataFrame) -> DataFrame:
+    """Links (a, b) between strays and members of open buckets. ``opened`` is (bucket,
+    node, label, most, n, strays, sig, bands, elements)."""
     down = F.ceil(F.col("strays") / STRAYS).cast("int")
     across = F.ceil(F.col("n") / MEMBERS).cast("int")
-    sized = opened.select("bucket", "node", "label", (F.col("label") == F.col("most")).alias("main"), "fine", down.alias("down"), across.alias("across"))
+    own = ["node", "label", "main", "sig", "bands", "elements"]
+    sized = opened.select("bucket", down.alias("down"), across.alias("across"), (F.col("label") == F.col("most")).alias("main"), *[c for c in own if c != "main"])
     member = sized.select("bucket", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), F.pmod(F.hash("node", F.lit(1)), F.col("across")).alias("j"),
-                          F.lit(False).alias("stray"), "node", "label", "main", "fine")
-    stray = sized.where("not main").select("bucket", F.pmod(F.hash("node", F.lit(2)), F.col("down")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"),
-                                           F.lit(True).alias("stray"), "node", "label", "main", "fine")
-    cells = member.union(stray).select(F.xxhash64("bucket", "i", "j").alias("cell"), "stray", "node", "label", "main", "fine")
+                          F.lit(False).alias("stray"), *own)
+    stray = sized.where("not main").select("bucket", F.pmod(F.hash("node", F.lit(2)), F.col("down")).alias("i"),
+                                           F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), F.lit(True).alias("stray"), *own)
+    cells = member.union(stray).select(F.xxhash64("bucket", "i", "j").alias("cell"), "bucket", "stray", *own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            cell, stray, node, label, main = (table.column(i).to_numpy() for i in range(5))
-            fine = _bytes(table.column(5).to_pylist())
-            edges = np.flatnonzero(np.diff(cell)) + 1
-            for rows in np.split(np.arange(len(cell)), edges):
-                x, y = _cell_pairs(stray[rows], node[rows], label[rows], main[rows], fine[rows], best_only)
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[rows][x]), pa.array(node[rows][y])], names=["a", "b"])
+        def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            cell, bucket, stray, node, label, main = (table.column(i).to_numpy() for i in range(6))
+            edges = np.append(np.flatnonzero(np.diff(cell)) + 1, len(cell))
+            out, a = [], 0
+            for b in edges.tolist():
+                part = table.slice(a, b - a)
+                sig = _bytes(part.column(6).to_pylist())
+                bands = np.asarray(part.column(7).combine_chunks().flatten()).reshape(-1, BANDS)
+                sets = [np.frombuffer(x, "<u4") for x in part.column(8).to_pylist()]
+                out += _cell_links(bucket[a], stray[a:b], node[a:b], label[a:b], main[a:b], sig, bands, sets)
+                a = b
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -265,10 +274,10 @@ def _grid(opened: DataFrame, best_only: bool) -> DataFrame:
             cell = held.column(0).to_numpy()
             whole = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
             if whole:
-                yield from pairs(held.slice(0, whole))
+                yield from links(held.slice(0, whole))
                 held = held.slice(whole)
         if held is not None:
-            yield from pairs(held)
+            yield from links(held)
 
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
@@ -296,33 +305,32 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """Labels (node, label) of all linked nodes; ``nodes`` is (node, bands)."""
+    """Labels (node, label) of all linked nodes; ``nodes`` is (node, bands, sig)."""
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
     members = stored(rows.join(shared.select("bucket", "centre"), "bucket"), "dedup-buckets")
     if members.isEmpty():
         return None
     texts = stored(texts_of(members.select("node").distinct()), "dedup-texts")
-    fine = stored(fine_signatures(texts), "dedup-fine")
+    sigs = nodes.select("node", "sig", "bands").join(members.select("node").distinct(), "node", "left_semi")
+    sigs = stored(sigs, "dedup-signatures")
 
     def distinct(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     star = distinct(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))
-    links = stored(_verified(_agreeing(star, fine), texts), "dedup-links")
-    for best_only in (True, False):
-        labels = components(links)
-        labelled = members.select("bucket", "node").join(labels, "node", "left").select(
-            "bucket", "node", F.coalesce("label", "node").alias("label"))
-        groups = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        open_buckets = groups.groupBy("bucket").agg(
-            F.max_by("label", "n").alias("most"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
-        opened = labelled.join(open_buckets, "bucket").join(fine, "node")
-        found = stored(distinct(_grid(opened, best_only)), "dedup-pairs")
-        if found.isEmpty():
-            return labels
-        links = stored(links.union(_verified(found, texts)), "dedup-links")
-    return components(links)
+    links = stored(_verified(_agreeing(star, sigs), texts), "dedup-links")
+    labels = components(links)
+    labelled = members.select("bucket", "node").join(labels, "node", "left").select(
+        "bucket", "node", F.coalesce("label", "node").alias("label"))
+    groups = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    open_buckets = groups.groupBy("bucket").agg(
+        F.max_by("label", "n").alias("most"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("strays")).where("strays > 0")
+    opened = stored(labelled.join(open_buckets, "bucket"), "dedup-open")
+    open_texts = texts.join(opened.select("node").distinct(), "node", "left_semi")
+    payload = stored(_with_elements(open_texts).join(sigs, "node"), "dedup-elements")
+    found = stored(_verified(distinct(_grid(opened.join(payload, "node"))), texts), "dedup-more-links")
+    return labels if found.isEmpty() else components(links.union(found))
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -342,7 +350,7 @@ def _classed(rows: DataFrame) -> DataFrame:
         F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).select(
             "key", "node", F.coalesce("first_uid", "node").alias("first_uid"), "first_id", "copies")
     keys = stored(keys, "dedup-keys")
-    nodes = sketches.where(F.size("bands") > 0).select(F.col("uid").alias("node"), "bands").join(
+    nodes = sketches.where(F.size("bands") > 0).select(F.col("uid").alias("node"), "bands", "sig").join(
         keys.select("node"), "node", "left_semi")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
