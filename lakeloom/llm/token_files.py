@@ -14,7 +14,9 @@ follow ascending doc_id: Spark sorts by range, each task streams its rows into
 one file, and the running totals of the files give every document's global start.
 
 Memory is one block and one Arrow batch of texts per task, plus the file's
-document list. Defined cases: null or empty text holds only the end id. Null
+document list. Defined cases: null or empty text holds only the end id. A text that
+holds a special token of the tokenizer file literally (``<|endoftext|>``, in this
+writing only) gets that token's id, as with the library's own settings. Null
 doc_ids sort first; rows that repeat a doc_id are ordered by their text and each
 stored. An empty table gives no file. Other columns are not read.
 """
@@ -140,13 +142,18 @@ class TokenFileReader:
 class WordTokenizer:
     """Ids by a ``tokenizers`` file whose pre-tokenizer drops white space, so that
     what stands between spaces and line ends encodes alike wherever it stands.
-    Distinct stretches are encoded once and kept for later batches."""
+    Distinct stretches are encoded once and kept for later batches. ``literal`` is
+    the library's ``encode_special_tokens``: special tokens in a text are plain
+    text to it. Added tokens must hold no white space, and not letters alone."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = literal
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
+        if any(t.isalpha() or t.split() != [t] for t in self.added):
+            raise ValueError("an added token holds white space or letters alone")
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -204,21 +211,26 @@ class WordTokenizer:
             ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
         return np.split(ids, np.cumsum(n)[:-1])
 
-    @staticmethod
-    def _words(text: str) -> list[str]:
+    def _words(self, text: str) -> list[str]:
         """Stretches between spaces and line ends; the tokenizer lower-cases, so
-        Latin-1 texts, where that is a matter of single letters, are it before."""
+        Latin-1 texts, where that is a matter of single letters, are it before. Added
+        tokens are found before that, so stretches like one stay as they are."""
+        def stretches(t: str) -> list[str]:
+            return t.replace("\n", " ").split(" ")
+
         try:
             text.encode("latin-1")
-            text = text.lower()
         except UnicodeEncodeError:
-            pass
-        return text.replace("\n", " ").split(" ")
+            return stretches(text)
+        lower = text.lower()
+        if any(t in lower for t in self.added):
+            return [w if any(t in x for t in self.added) else x for w, x in zip(stretches(text), stretches(lower))]
+        return stretches(lower)
 
 
 @lru_cache(maxsize=4)
 def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return WordTokenizer(path, literal=False)
 
 
 def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None, planes: int = 4,

@@ -63,3 +63,17 @@ def test_tables(spark):
     assert got == want
     assert sorted(len(r.ids) for r in T.read_ids(spark, files).collect()) == sorted(r[2] for r in want)
     assert T.read(T.write(docs.where("false"), WORD_BPE_FILE, END_ID)).collect() == []
+
+
+def test_special_tokens_in_texts_as_the_untouched_library(spark):
+    library, rng = Tokenizer.from_file(WORD_BPE_FILE), random.Random(2)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "Word", "a.", "é", "\u0301", "中", " ", "\n", "'s", "|>", "7"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(2000)]
+    texts += ["end of file <|endoftext|> next <|ENDOFTEXT|>", "<|endoftext|>", "plain Words only"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(want[2000]) == 11 and 49407 in want[2000]
+    for t, ids, ids_of in zip(texts, T.word_tokenizer(WORD_BPE_FILE).encode(texts), want):
+        assert ids.tolist() == ids_of, t
+    docs = spark.createDataFrame(list(enumerate(texts[-203:])), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in T.read_ids(spark, T.write(docs, WORD_BPE_FILE, END_ID)).collect()}
+    assert got == {i: ids + [END_ID] for i, ids in enumerate(want[-203:])}
