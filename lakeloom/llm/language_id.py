@@ -12,8 +12,14 @@ N-grams are letter trigrams: every letter with its two neighbours, non-letters
 read as a space, lower-cased. A profile is the most frequent trigrams of a
 bounded sample of labelled texts (about ``sample_per_language`` whole texts and
 at most ``profile_size`` trigrams per language, each at least ``PROFILE_SHARE``
-of the language's trigrams; at most ``max_languages`` languages, the most
-frequent ones). Prediction covers every whole text.
+of the language's trigrams). Every language that has a label is learned. Prediction
+covers every whole text.
+
+``keep`` asks for a share of a text's trigrams in the profile: ``MIN_COVERAGE``, or
+less for a language that spreads its trigrams thinner. For that, a profile of one half
+of the sample is tried on the other half; the language's limit is half the coverage
+that ``LOW`` of those texts stay under (0 if there are none to try; a text without any
+known trigram goes in any case).
 
 Defined cases: null text or text without a letter: ``und`` with score 0. A text
 with letters but without any known trigram, and ties, take the alphabetically
@@ -26,7 +32,7 @@ predicted each. Other columns are neither read nor returned by ``predict``;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +41,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lakeloom.llm.common import char_class, code_points, crc32_of_id, mix64, passes, prepare_workers
+from lakeloom.llm.common import char_class, code_points, crc32_of_id, mix64, passes, prepare_workers, stored
 
 SAMPLE_PER_LANGUAGE = 2000
 PROFILE_SIZE = 4000
 PROFILE_SHARE = 1e-4
-MAX_LANGUAGES = 256
 FILTER_BITS = 18
 PROBES = 3
 MIN_COVERAGE = 0.2
+LOW = 0.01
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,11 +70,12 @@ def _probe(grams: np.ndarray, j: int, bits: int) -> np.ndarray:
 @dataclass
 class LanguageFilter:
     """Bit-sliced Bloom filter: ``masks[word][position]`` has bit ``l`` for
-    language ``8 * word + l``."""
+    language ``8 * word + l``. ``limits``: least coverage by language, if learned."""
 
     languages: list[str]
     masks: np.ndarray
     false_rate: np.ndarray
+    limits: dict[str, float] = field(default_factory=dict)
 
     @staticmethod
     def build(profiles: dict[str, list[int]], bits: int = FILTER_BITS) -> LanguageFilter:
@@ -117,36 +124,63 @@ class LanguageFilter:
 
 
 def fit(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE,
-        profile_size: int = PROFILE_SIZE, max_languages: int = MAX_LANGUAGES) -> LanguageFilter:
+        profile_size: int = PROFILE_SIZE) -> LanguageFilter:
     """Learn from rows (text, lang, sample key ``doc_id``) with non-null lang."""
-    prepare_workers(labelled.sparkSession)
+    spark = labelled.sparkSession
+    prepare_workers(spark)
     rows = labelled.where("lang is not null and text is not null").select(
-        "lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw"))
-    sizes = (rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect())
+        "lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw"),
+        F.pmod(F.xxhash64("text", "doc_id"), F.lit(2)).cast("int").alias("half"))
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return LanguageFilter.build({})
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_per_language / r["count"]))))
-    sample = rows.where(F.col("draw") < F.try_element_at(share, F.col("lang"))).select("lang", "text")
+    share = spark.createDataFrame([(r["lang"], min(1.0, sample_per_language / r["count"])) for r in sizes], "lang string, share double")
+    sample = stored(rows.join(F.broadcast(share), "lang").where("draw < share").select("lang", "half", "text"), "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lang in sorted(set(langs)):
-                own = [t for t, x in zip(texts, langs) if x == lang]
+            groups: dict[tuple[str, int], list[str]] = {}
+            for lang, half, text in zip(*(c.to_pylist() for c in batch.columns)):
+                groups.setdefault((lang, half), []).append(text)
+            for (lang, half), own in sorted(groups.items()):
                 for a, b in passes(own):
                     grams, n = np.unique(trigrams(own[a:b])[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)],
-                        names=["lang", "gram", "n"])
+                        [pa.array([lang] * len(grams), pa.string()), pa.array([half] * len(grams), pa.int32()), pa.array(grams.astype(np.int64)), pa.array(n)],
+                        names=["lang", "half", "gram", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = stored(sample.mapInArrow(count, "lang string, half int, gram long, n long").groupBy("lang", "half", "gram").agg(
+        F.sum("n").alias("n")), "language-grams")
     own = Window.partitionBy("lang")
-    top = counted.withColumns({"rank": F.row_number().over(own.orderBy(F.desc("n"), "gram")), "all": F.sum("n").over(own)}).where(
-        (F.col("rank") <= profile_size) & (F.col("n") >= PROFILE_SHARE * F.col("all")))
-    profiles: dict[str, list[int]] = {r["lang"]: [] for r in sizes}
-    for r in top.select("lang", "gram").toLocalIterator():
-        profiles[r["lang"]].append(r["gram"])
-    return LanguageFilter.build(profiles)
+
+    def learned(grams: DataFrame) -> LanguageFilter:
+        each = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        top = each.withColumns({"rank": F.row_number().over(own.orderBy(F.desc("n"), "gram")), "all": F.sum("n").over(own)}).where(
+            (F.col("rank") <= profile_size) & (F.col("n") >= PROFILE_SHARE * F.col("all")))
+        profiles: dict[str, list[int]] = {r["lang"]: [] for r in sizes}
+        for r in top.select("lang", "gram").toLocalIterator():
+            profiles[r["lang"]].append(r["gram"])
+        return LanguageFilter.build(profiles)
+
+    tried = learned(counted.where("half = 0"))
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {lang: i for i, lang in enumerate(tried.languages)}
+        for batch in batches:
+            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in passes(texts):
+                hits, n = tried.counts(texts[a:b])
+                of = hits[np.arange(b - a), [place[x] for x in langs[a:b]]]
+                some = n > 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(langs[a:b], pa.string()).filter(pa.array(some)), pa.array(np.minimum(1, of[some] / n[some]))],
+                    names=["lang", "coverage"])
+
+    low = sample.where("half = 1").select("lang", "text").mapInArrow(cover, "lang string, coverage double").groupBy("lang").agg(
+        F.percentile_approx("coverage", LOW).alias("low")).collect()  # a row per language
+    model = learned(counted)
+    model.limits = dict.fromkeys(model.languages, 0.0) | {r["lang"]: r["low"] / 2 for r in low}
+    return model
 
 
 PREDICTION = T.StructType([
@@ -170,14 +204,16 @@ def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
 def keep(docs: DataFrame, model: LanguageFilter, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """The documents in a learned language, with the columns of ``docs``; those
-    without letters, or whose trigrams hardly occur in any profile, go."""
+    without letters, or whose trigrams hardly occur in any profile, go. The limit is
+    ``min_coverage`` or, if less, the language's own."""
     prepare_workers(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, _, coverage = model.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([x != "und" and c >= min_coverage for x, c in zip(langs, coverage)], pa.bool_()))
+            yield batch.filter(pa.array(
+                [x != "und" and c > 0 and c >= min(min_coverage, model.limits.get(x, min_coverage)) for x, c in zip(langs, coverage)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

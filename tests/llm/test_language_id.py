@@ -62,3 +62,26 @@ def test_held_out_accuracy(spark):
     own = {r.doc_id: r.lang for r in docs.collect()}
     held = [r for r in L.predict(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert np.mean([r.lang_pred == own[r.doc_id] for r in held]) > 0.98
+
+
+def test_every_labelled_language_is_learned(spark):
+    texts = {f"l{i:03}": " ".join(chr(0x4E00 + 30 * i + (7 * k + j) % 30) * 3 for j in range(6) for k in range(5)) for i in range(300)}
+    rows = [(i, t, lang, "") for i, (lang, t) in enumerate(texts.items())]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = L.fit(docs)
+    assert model.languages == sorted(texts)
+    assert model.predict(list(texts.values()))[0] == list(texts)
+    assert L.keep(docs, model).count() == 300
+
+
+def test_languages_with_many_characters_are_kept(spark):
+    rng = np.random.default_rng(7)
+    thin = [" ".join("".join(chr(0x4E00 + c) for c in rng.integers(0, 50, 4)) for _ in range(24)) for _ in range(900)]
+    rows = [(i, t, "zh", "") for i, t in enumerate(thin)] + [(10_000 + i, EN, "en", "") for i in range(50)]
+    train, test = spark.createDataFrame(rows[:600] + rows[900:], SCHEMA), spark.createDataFrame(rows[600:900], SCHEMA)
+    model = L.fit(train, profile_size=1500)
+    langs, _, coverage = model.predict([t for _, t, _, _ in rows[600:900]])
+    assert set(langs) == {"zh"} and np.min(coverage) < L.MIN_COVERAGE
+    assert L.keep(test, model).count() == 300
+    odd = spark.createDataFrame([(1, "".join(chr(0xAC00 + 7 * k) for k in range(90)), None, "")], SCHEMA)
+    assert L.keep(odd, model).count() == 0
