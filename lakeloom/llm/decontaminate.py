@@ -1,7 +1,8 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 A document is contaminated by a test item if it holds at least 0.8 of the item's
-distinct five-word shingles (lower-cased runs of letters and digits).
+distinct five-word shingles (lower-cased runs of letters and digits). An item of one
+to four words is held by a document in which these words stand one after another.
 
 **Sketches.** A document falls into the size class ``c`` with at most ``2**c``
 distinct shingles. Its class cuts the 64-bit hash range into ``2**(c + e)`` bins;
@@ -19,11 +20,14 @@ the smallest class in which it is its bin's least.
 that meet are candidates, and only their documents' shingles are then counted
 exactly. Equal texts are one document here, by the MD5 of the text. The items'
 table is broadcast if a count finds at most ``BROADCAST_ROWS`` rows, and so are
-the candidates' keys; beyond that both are shuffled joins.
-
-Everything is built-in DataFrame functions. Defined cases: null text, and texts of
-fewer than five words, hold nothing; items of fewer than five words or with null
-text can't be found and take no part. Items that repeat an item_id are searched
+the candidates' keys; beyond that both are shuffled joins. Items of fewer than five
+words are looked up by a hash of all their words among the documents' n-grams of the
+lengths that such items have; without such items no document is read for them.
+
+Everything is built-in DataFrame functions. Defined cases: null text holds nothing, and
+texts of fewer than five words hold short items only; items without a word or with null
+text can't be found and take no part. A short item is reported as one shingle (shared
+and item_shingles 1). Items that repeat an item_id are searched
 each and reported once, with the highest containment. Null doc_ids and repeated
 rows are reported each. Empty tables give empty results. Other columns are not
 read; ``keep`` returns the input's own columns.
@@ -32,6 +36,7 @@ read; ``keep`` returns the input's own columns.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +63,12 @@ def extra_bits(smallest_item: int) -> int:
     return 40
 
 
+def _ngrams(n: int) -> Column:
+    """The distinct hashes of ``n`` successive words of the array ``w``."""
+    each = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(n))))
+    return F.when(F.size("w") >= n, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+
+
 def with_shingles(rows: DataFrame, text: str, *columns: str | Column) -> DataFrame:
     """``columns`` and ``s``, the sorted distinct shingle hashes of the text. Rows
     are not filtered here, and arrays are exploded with ``explode_outer``: Spark would
@@ -65,10 +76,7 @@ def with_shingles(rows: DataFrame, text: str, *columns: str | Column) -> DataFra
     element."""
     words = rows.select(*columns, word_hashes(F.col(text)).alias("w"))
     names = [c for c in words.columns if c != "w"]
-    each = F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE),
-                       lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(SHINGLE))))
-    none = F.array().cast("array<bigint>")
-    listed = words.select(*names, F.when(F.size("w") >= SHINGLE, F.array_distinct(each)).otherwise(none).alias("s"))
+    listed = words.select(*names, _ngrams(SHINGLE).alias("s"))
     return listed.select(*names, F.sort_array("s").alias("s"))
 
 
@@ -96,31 +104,61 @@ def item_rows(benchmark: DataFrame) -> DataFrame:
     return each.select("item", F.size("s").alias("size"), "hash", common.alias("common")).where("hash is not null")
 
 
+def short_item_rows(benchmark: DataFrame) -> DataFrame:
+    """item (MD5 of the text), words (their number) and hash of the distinct item texts
+    of one to SHINGLE - 1 words; words that aren't there are null, which a hash skips."""
+    texts = benchmark.select("text", F.md5(F.col("text").cast("binary")).alias("item")).where("item is not null").dropDuplicates(["item"])
+    words = texts.select("item", word_hashes(F.col("text")).alias("w")).select(
+        "item", F.size("w").alias("words"), F.xxhash64(*(F.get("w", F.lit(j)) for j in range(SHINGLE - 1))).alias("hash"))
+    return words.where((F.col("words") > 0) & (F.col("words") < SHINGLE))
+
+
+def holding_short(docs: DataFrame, short: DataFrame, lengths: list[int], rows: int) -> DataFrame:
+    """key, item, shared and size of the texts and the short items they hold."""
+    words = docs.select(F.md5(F.col("text").cast("binary")).alias("key"), word_hashes(F.col("text")).alias("w"))
+    grams = F.concat(*(F.transform(_ngrams(n), lambda h: F.struct(F.lit(n).alias("words"), h.alias("hash"))) for n in lengths))
+    each = words.select("key", F.explode_outer(grams).alias("g")).select("key", "g.words", "g.hash")
+    return each.join(_small(short, rows), ["words", "hash"]).select(
+        "key", "item", F.lit(1).cast("long").alias("shared"), F.lit(1).alias("size")).distinct()
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if its counted rows are few enough."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
-    """key, item_id, shared, size of all contaminated texts (None: no item can be
-    searched)."""
-    items = stored(item_rows(benchmark), "bench-items")
-    found = items.agg(F.count("*").alias("n"), F.min("size").alias("least")).first()
-    if not found["n"]:
-        return None
-    e = extra_bits(found["least"])
+def holding_long(docs: DataFrame, items: DataFrame, rows: int, least: int) -> DataFrame:
+    """key, item, shared and size of the texts and the items of ``item_rows`` they hold."""
+    e = extra_bits(least)
     # the bins of class c have c + e bits: the shingle is its bin's least once those tell it from the one before
     sketch = items.select("hash", "item", (F.col("common") + 1 - e).alias("from_class"))
-    met = document_sketches(docs, e).join(_small(sketch, found["n"]), "hash").where(
+    met = document_sketches(docs, e).join(_small(sketch, rows), "hash").where(
         (F.col("class") >= F.col("from_class")) | (F.col("from_class") + e <= 0))
     candidates = stored(met.select("key", "item").distinct(), "bench-candidates")
     keys = candidates.select("key").distinct()
     texts = docs.select("text", F.md5(F.col("text").cast("binary")).alias("key")).join(
         _small(keys, candidates.count()), "key", "left_semi").dropDuplicates(["key"])
     each = with_shingles(texts, "text", "key").select("key", F.explode_outer("s").alias("hash"))
-    counts = each.join(_small(items.select("hash", "item", "size"), found["n"]), "hash").groupBy(
+    counts = each.join(_small(items.select("hash", "item", "size"), rows), "hash").groupBy(
         "key", "item").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
-    sure = counts.where(F.col("shared") >= CONTAINMENT * F.col("size") - 1e-9).join(candidates, ["key", "item"], "left_semi")
+    return counts.where(F.col("shared") >= CONTAINMENT * F.col("size") - 1e-9).join(candidates, ["key", "item"], "left_semi")
+
+
+def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """key, item_id, shared, size of all contaminated texts (None: no item can be
+    searched)."""
+    items = stored(item_rows(benchmark), "bench-items")
+    short = stored(short_item_rows(benchmark), "bench-short")
+    found = items.agg(F.count("*").alias("n"), F.min("size").alias("least")).first()
+    lengths = {r["words"]: r["count"] for r in short.groupBy("words").count().collect()}  # at most SHINGLE - 1 rows
+    parts = []
+    if found["n"]:
+        parts.append(holding_long(docs, items, found["n"], found["least"]))
+    if lengths:
+        parts.append(holding_short(docs, short, sorted(lengths), sum(lengths.values())))
+    if not parts:
+        return None
+    sure = reduce(DataFrame.unionByName, parts)
     ids = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.md5(F.col("text").cast("binary")).alias("item")).distinct()
     best = sure.join(ids, "item").groupBy("key", "item_id").agg(F.max_by(F.struct("shared", "size"), F.col("shared") / F.col("size")).alias("b"))
     return stored(best.select("key", "item_id", F.col("b.shared").alias("shared"), F.col("b.size").cast("long").alias("size")), "bench-contained")

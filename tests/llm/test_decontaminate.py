@@ -71,3 +71,30 @@ def test_tables_too_large_to_broadcast(spark, monkeypatch):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id, r.shared, r.item_shingles) for r in D.report(d, b).collect()} == brute(docs, items)
     assert [r.doc_id for r in D.keep(d, b).collect()] == [9]
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_items_of_fewer_than_five_words(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(D, "BROADCAST_ROWS", broadcast_rows)
+    rng = random.Random(8)
+    items = [(1, "W1!"), (2, "w2 w3"), (3, "w4, W5 w6"), (4, "w1 w2 w1 w2"), (5, ""), (6, None), (7, "w1 w1"), (8, "..."), (None, "w3")]
+    docs = [(i, " ".join(f"w{rng.randrange(8)}" for _ in range(rng.choice([0, 1, 2, 4, 5, 30])))) for i in range(200)]
+    docs += [(200, None), (200, "w2  W3."), (None, "x w4 w5 w6 x"), (201, "w4 w5 x w6"), (202, "none of them")]
+    schema = "item_id long, text string"
+    d, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, schema)
+
+    def runs(text):
+        return re.findall(r"[^\W_]+", (text or "").lower())
+
+    def holds(text, item):
+        w, v = runs(text), runs(item)
+        return bool(v) and any(w[i:i + len(v)] == v for i in range(len(w) - len(v) + 1))
+
+    want = {(a, b) for a, text in docs for b, item in items if holds(text, item)}
+    got = D.report(d, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and {(r.shared, r.item_shingles, r.containment) for r in got} == {(1, 1, 1.0)}
+    clean = [t or "" for _, t in docs if not any(holds(t, item) for _, item in items)]
+    assert sorted(r.text or "" for r in D.keep(d, bench).collect()) == sorted(clean)
+    longer = (9, "one two three four five six seven")
+    both = D.report(spark.createDataFrame([(1, longer[1] + " w1"), (2, longer[1])], "doc_id long, text string"), spark.createDataFrame([*items, longer], schema))
+    assert sorted((r.doc_id, r.item_id, r.item_shingles) for r in both.collect()) == [(1, 1, 1), (1, 9, 3), (2, 9, 3)]
