@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import byte_bpe, decontaminate, language_id, near_dedup, quality, token_files, token_rollup, url_templates, vector_search, warc
+from lakeloom.llm import byte_bpe, decontaminate, language_id, merkle, near_dedup, prefix_trie, quality, token_files, token_rollup, url_templates, vector_search, warc
 from lakeloom.llm.common import crc32_of_id, stored, table
 
 
@@ -88,6 +88,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.lower_case_every_fifth(docs))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("ref")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top; it imports this module
 
@@ -105,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_rollup": op9_token_rollup,
     "op10_decontaminate": op10_decontaminate,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 
