@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import byte_bpe, decontaminate, language_id, merkle, near_dedup, prefix_trie, quality, token_files, token_rollup, url_templates, vector_search, warc
+from lakeloom.llm import byte_bpe, decontaminate, language_id, merkle, near_dedup, prefix_trie, quality, suffix_dedup, token_files, token_rollup, url_templates, vector_search, warc
 from lakeloom.llm.common import crc32_of_id, stored, table
 
 
@@ -88,6 +88,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rest.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return merkle.manifest(docs, merkle.lower_case_every_fifth(docs))
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_rollup": op9_token_rollup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
