@@ -21,6 +21,8 @@ from lakeloom.session import scratch_dir
 
 #: Rows that go to a Python worker at once; texts and pages are long rows.
 ARROW_ROWS = 1000
+#: Bytes of such a batch, whatever its rows hold.
+ARROW_BYTES = 8 << 20
 #: Characters that one numpy pass works on (a longer single text goes alone).
 PASS_CHARS = 1_000_000
 
@@ -36,6 +38,7 @@ def prepare_workers(spark: SparkSession) -> None:
     """Send the package to the Python workers (once per application) and bound
     the Arrow batches by rows, since a row here is a whole text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
