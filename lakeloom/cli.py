@@ -50,16 +50,25 @@ def cmd_ingest(args) -> int:
 
 def cmd_stream(args) -> int:
     from lakeloom.config import EVENTS
-    from lakeloom.streaming.file_arrival import ingest_stream
+    from lakeloom.plans.ingest import retry_failed
+    from lakeloom.streaming.file_arrival import failed_files, ingest_stream, run_available_now, run_stream
 
     spark = _session(args)
     spec = EVENTS[args.event]
     landing = args.landing or spec.landing_root(args.root, args.env)
-    q = ingest_stream(spark, spec, landing, args.warehouse, args.checkpoint,
-                      available_now=args.available_now, processing_time=args.every,
-                      max_files_per_trigger=args.max_files_per_trigger)
-    q.awaitTermination()
-    return 0 if q.exception() is None else 1
+    options = {"max_files_per_trigger": args.max_files_per_trigger, "staging": args.staging}
+    if args.available_now:
+        run_available_now(spark, spec, landing, args.warehouse, args.checkpoint, **options)
+    else:
+        retry_failed(spark, spec, landing, args.warehouse)
+        run_stream(ingest_stream(spark, spec, landing, args.warehouse, args.checkpoint, available_now=False,
+                                 processing_time=args.every, retry=True, **options))
+    failed = failed_files(spark, args.warehouse)
+    n = failed.count()
+    for r in failed.orderBy("file_name").limit(20).collect():
+        print(f"failed: {r.file_name}")
+    print(f"{n} file(s) failed")
+    return 1 if n else 0
 
 
 def cmd_check_config(args) -> int:
@@ -150,6 +159,7 @@ def main(argv: list[str] | None = None) -> int:
     stm.add_argument("--available-now", action="store_true", help="drain what is there, then stop")
     stm.add_argument("--every", default="1 minute", help="processing-time trigger interval")
     stm.add_argument("--max-files-per-trigger", type=int, default=1000)
+    stm.add_argument("--staging", help="snapshot folder of the deduplicated events, kept up to date by the stream")
     stm.set_defaults(fn=cmd_stream)
 
     chk = sub.add_parser("check-config", help="validate the governance config tables")

@@ -6,7 +6,7 @@ values are always parsed from the path as strings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: the landing folder pattern, hour optional.
@@ -31,20 +31,23 @@ def file_hour(path: Column) -> Column:
 
 
 def qualify(root: str) -> str:
-    """Qualified form of a folder as Spark reports file paths (``file:/x``)."""
-    root = root.rstrip("/")
-    if "://" in root or root.startswith("file:"):
-        return root
-    return "file:" + root
+    """The folder with the scheme and authority of its file system, however it is
+    written: ``/x``, ``file:/x`` and ``file:///x`` are one folder."""
+    spark = SparkSession.active()
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def plain_uri(path: Column) -> Column:
+    """File paths with one slash after ``file:``, as in ``qualify``; Spark writes one or three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def relative_path(path: Column, root: str) -> Column:
     """Path made relative to the landing root (lineage column ``_filename``)."""
     q = qualify(root) + "/"
-    plain = root.rstrip("/") + "/"
-    return (F.when(path.startswith(q), F.substring(path, len(q) + 1, 1 << 20))
-            .when(path.startswith(plain), F.substring(path, len(plain) + 1, 1 << 20))
-            .otherwise(path))
+    path = plain_uri(path)
+    return F.when(path.startswith(q), F.substr(path, F.lit(len(q) + 1))).otherwise(path)
 
 
 def file_uri_path(meta_path: Column) -> Column:

@@ -171,6 +171,64 @@ def q_stream_ingest(spark, sf_dir):
     return _raw_view(C.committed(spark, wh, C.RAW))
 
 
+def _with_odd_files(spark, sf_dir) -> str:
+    """The landed events and a file of every verdict."""
+    landing = scratch_dir(spark, "landing")
+    S.write_landing(S.table(spark, sf_dir, "events"), landing)
+    for name, text in S.ODD_FILES.items():
+        S.put_file(spark, f"{landing}/{name}", text)
+    return landing
+
+
+def _verdict_view(rows: DataFrame) -> DataFrame:
+    return rows.select(*_file_cols("file_name"), F.regexp_extract("file_name", "chunk=([a-z]+)", 1).alias("kind"), "status", "detail")
+
+
+def q_ingest_file_verdicts(spark, sf_dir):
+    """Every status a file can have in one load."""
+    return _verdict_view(ingest(spark, SPEC, _with_odd_files(spark, sf_dir), scratch_dir(spark, "warehouse"), ScanScope.backfill()).report)
+
+
+def q_stream_file_verdicts(spark, sf_dir):
+    """The same files streamed; the broken one is corrected in place, a second run loads it."""
+    from lakeloom.streaming.file_arrival import file_verdicts, run_available_now
+
+    landing, wh, checkpoint = _with_odd_files(spark, sf_dir), scratch_dir(spark, "warehouse"), scratch_dir(spark, "stream-checkpoint")
+    run_available_now(spark, SPEC, landing, wh, checkpoint)
+    S.put_file(spark, f"{landing}/{S.CORRECTED[0]}", S.CORRECTED[1])
+    run_available_now(spark, SPEC, landing, wh, checkpoint)
+    return _verdict_view(file_verdicts(spark, wh))
+
+
+def q_ingest_split_arrays(spark, sf_dir):
+    """A day's events in a few large arrays, each read by byte ranges."""
+    landing, wh = scratch_dir(spark, "landing"), scratch_dir(spark, "warehouse")
+    S.write_landing(S.table(spark, sf_dir, "events"), landing, 500_000, hourly=False)
+    ingest(spark, SPEC, landing, wh, ScanScope.backfill(), split_arrays=True)
+    return _raw_view(C.committed(spark, wh, C.RAW)).drop("file_hr")
+
+
+def two_arrivals(spark, sf_dir) -> tuple[list[DataFrame], str]:
+    """The events' first and second half by time, and a landing root to write them to."""
+    ev = S.table(spark, sf_dir, "events")
+    span = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    mid = F.lit((span.lo + (span.hi - span.lo) / 2).replace(microsecond=0))
+    return [ev.where(F.col("ts") < mid), ev.where(F.col("ts") >= mid)], scratch_dir(spark, "landing")
+
+
+def q_stream_stg_events(spark, sf_dir):
+    """Files that arrive in two halves, streamed to the deduplicated staging table by
+    several micro-batches: newest row per event, as in the batch build."""
+    from lakeloom.streaming.file_arrival import run_available_now
+
+    halves, landing = two_arrivals(spark, sf_dir)
+    wh, snap, checkpoint = (scratch_dir(spark, k) for k in ("warehouse", "snapshot", "stream-checkpoint"))
+    for n, half in enumerate(halves):
+        S.write_landing(half, f"{landing}/arrival={n}")
+        run_available_now(spark, SPEC, landing, wh, checkpoint, staging=snap)
+    return _stg_view(STG.current_snapshot(spark, snap))
+
+
 # ----------------------------------------------------------------- staging
 
 STG_COLUMNS = ["event_id", "user_id", "account_id", "page_name", "session_id",
@@ -469,6 +527,10 @@ QUERIES = {
     "ingest_force": q_ingest_force,
     "scan_modes": q_scan_modes,
     "stream_ingest": q_stream_ingest,
+    "stream_stg_events": q_stream_stg_events,
+    "ingest_file_verdicts": q_ingest_file_verdicts,
+    "stream_file_verdicts": q_stream_file_verdicts,
+    "ingest_split_arrays": q_ingest_split_arrays,
     "stg_events_latest": q_stg_events_latest,
     "stg_incremental_equals_full": q_stg_incremental,
     "events_by_day": q_events_by_day,

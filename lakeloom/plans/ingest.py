@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime
@@ -20,11 +21,10 @@ from pyspark.sql import functions as F
 from lakeloom.config import EventSpec
 from lakeloom.functions.contract import contract_reason, invalid_timestamp, promoted
 from lakeloom.operators import commit as C
+from lakeloom.sources.arrays import NOT_AN_ARRAY, STRICT_TS, SplitArrays, read_fragments
 from lakeloom.sources.landing import ScanScope, list_files, read_contents
 
-# Fixed value: file verdict texts.
-NOT_AN_ARRAY = "file is not a JSON array"
-STRICT_TS = "invalid event_timestamp (strict)"
+# Fixed value: the verdict on a file without elements.
 EMPTY_ARRAY = "empty array (no rows; rescanned next run)"
 
 
@@ -87,26 +87,44 @@ def raw_rows(spec: EventSpec, records: DataFrame, run_ts: datetime) -> DataFrame
     )
 
 
-def commit_contents(spark: SparkSession, spec: EventSpec, warehouse: str, contents: DataFrame, *,
-                    run_ts: datetime, batch_id: str, attempted: list[str], strict: bool = False) -> DataFrame:
-    """Parse, validate and commit whole files ``(_filename, value)`` as one batch.
+class WholeFiles:
+    """Files parsed whole, one row a file. ``read`` gives (_filename, value) of the files
+    (path, _filename) named."""
 
-    ``attempted`` lists the files in ``contents``. One pass parses every file
-    and writes RAW; quarantine and log derive from the written batch. Files
-    that produced no log row (not a JSON array, strict failure, or ``[]``) are
-    the only ones parsed a second time, to report why. Returns the per-file
+    def __init__(self, spec: EventSpec, read: Callable[[DataFrame], DataFrame], strict: bool = False):
+        self.spec, self.read, self.strict = spec, read, strict
+
+    def _parsed(self, files: DataFrame) -> DataFrame:
+        # Parse once per file. The projection keeps ``from_json`` out of the
+        # filter the optimizer would otherwise infer for the explode.
+        parsed = self.read(files).select("_filename", F.from_json("value", "array<variant>").alias("_records"))
+        error = F.when(F.col("_records").isNull(), F.lit(NOT_AN_ARRAY))
+        if self.strict:
+            error = error.when(
+                F.exists("_records", lambda r: invalid_timestamp(r, self.spec.timestamp_field)), F.lit(STRICT_TS))
+        return parsed.select("_filename", "_records", error.alias("_file_error"))
+
+    def records(self, files: DataFrame) -> DataFrame:
+        """(_filename, _pos, payload) of the files without an error."""
+        return (self._parsed(files).where(F.col("_file_error").isNull())
+                .select("_filename", F.posexplode("_records").alias("_pos", "payload")))
+
+    def errors(self, files: DataFrame) -> DataFrame:
+        """(_filename, _file_error), the error null for ``[]``."""
+        return self._parsed(files).select("_filename", "_file_error")
+
+
+def commit_contents(spark: SparkSession, spec: EventSpec, warehouse: str, source, *,
+                    run_ts: datetime, batch_id: str, attempted: DataFrame) -> DataFrame:
+    """Parse, validate and commit the ``attempted`` files (path, _filename) as one batch.
+
+    ``source`` (``WholeFiles`` or ``SplitArrays``) parses them. One pass writes RAW;
+    quarantine and log derive from the written batch. Files that produced no log row (not
+    a JSON array, strict failure, or ``[]``) are the attempted ones without a row in the
+    batch's log; they alone are parsed a second time, to report why. Returns the per-file
     report rows of this batch.
     """
-    # Parse once per file. The projection keeps ``from_json`` out of the
-    # filter the optimizer would otherwise infer for the explode.
-    parsed = contents.select("_filename", F.from_json("value", "array<variant>").alias("_records"))
-    error = F.when(F.col("_records").isNull(), F.lit(NOT_AN_ARRAY))
-    if strict:
-        error = error.when(
-            F.exists("_records", lambda r: invalid_timestamp(r, spec.timestamp_field)), F.lit(STRICT_TS))
-    parsed = parsed.select("_filename", "_records", error.alias("_file_error"))
-    records = (parsed.where(F.col("_file_error").isNull())
-               .select("_filename", F.posexplode("_records").alias("_pos", "payload")))
+    records = source.records(attempted)
     with _phase("write raw"):
         C.write_batch(raw_rows(spec, records, run_ts), warehouse, C.RAW, batch_id)
 
@@ -127,34 +145,33 @@ def commit_contents(spark: SparkSession, spec: EventSpec, warehouse: str, conten
     loaded = C.read_batch(spark, warehouse, C.LOAD_LOG, batch_id).select(
         "file_name", F.lit("loaded").alias("status"), F.lit(None).cast("string").alias("detail"),
         "records_processed", "records_quarantined")
-    logged = {r.file_name for r in loaded.select("file_name").toLocalIterator()}  # names only
-    missing = sorted(set(attempted) - logged)
-    if missing:
-        with _phase("classify unlogged files"):
-            why = (parsed.where(F.col("_filename").isin(missing))
-                   .select("_filename", F.coalesce("_file_error", F.lit(EMPTY_ARRAY)).alias("_why")))
-            verdicts = {r._filename: r._why for r in why.toLocalIterator()}
-        # a file of 0 bytes makes no row at all: it is no array either
-        rows = [(name, "empty" if w == EMPTY_ARRAY else "failed", w, 0, 0)
-                for name in missing for w in [verdicts.get(name, NOT_AN_ARRAY)]]
-        loaded = loaded.unionByName(spark.createDataFrame(rows, C.RUN_REPORT_SCHEMA))
-    return loaded
+    missing = attempted.join(loaded.select(F.col("file_name").alias("_filename")), "_filename", "left_anti")
+    if missing.isEmpty():
+        return loaded
+    why = source.errors(missing).select("_filename", F.coalesce("_file_error", F.lit(EMPTY_ARRAY)).alias("detail"))
+    # a file of 0 bytes makes no row at all: it is no array either
+    why = missing.select("_filename").join(why, "_filename", "left").select(
+        F.col("_filename").alias("file_name"), F.coalesce("detail", F.lit(NOT_AN_ARRAY)).alias("detail"))
+    status = F.when(F.col("detail") == EMPTY_ARRAY, "empty").otherwise("failed")
+    zero = F.lit(0).cast("long")
+    return loaded.unionByName(why.select("file_name", status.alias("status"), "detail", zero.alias("records_processed"), zero.alias("records_quarantined")))
 
 
 def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: str,
            scope: ScanScope | None = None, *, force: bool = False, strict: bool = False,
            run_ts: datetime | None = None, dry_run: bool = False, only: DataFrame | None = None,
-           persist_report: bool = False) -> IngestResult:
+           persist_report: bool = False, split_arrays: bool = False) -> IngestResult:
     """Load every file in scope that is not yet in the load log (all of them
     with ``force``) and return the per-file run report. ``dry_run`` reports
     what would be loaded and writes nothing. ``only`` (file_name) narrows the
     scope to the files named.
 
     The scope is listed once: the files and whether the log held them at that
-    time are written as the run's manifest, from which the paths to read and the
-    report come, so the report is the same however late it is evaluated. A run
-    is one commit at any number of files. The driver holds the paths to read,
-    as Spark's file index does for any scan; no payload passes through it.
+    time are written as the run's manifest (if anything is to load), from which the
+    paths to read and the report come, so the report is the same however late it is
+    evaluated. A run is one commit at any number of files; no list of files beyond
+    Spark's own index and no payload passes through the driver. ``split_arrays``
+    reads each array by byte ranges (``sources/arrays.py``) instead of one row a file.
     ``persist_report`` also writes the report to the ``run_report`` table.
     """
     scope = scope or ScanScope.window(lookback_hours=spec.lookback_hours)
@@ -168,7 +185,8 @@ def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: s
     else:
         held = C.loaded_file_names(spark, warehouse).select(F.col("file_name").alias("_filename")).distinct().withColumn("held", F.lit(True))
         manifest = files.join(held, "_filename", "left").withColumn("held", F.coalesce("held", F.lit(False)))
-    if not dry_run:
+    loads = not dry_run and not manifest.where("not held").isEmpty()
+    if loads:
         path = f"{warehouse.rstrip('/')}/_manifests/{run_id}"
         with _phase("list + skip"):
             manifest.write.parquet(path)
@@ -179,13 +197,14 @@ def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: s
         parts.append(_report_rows(todo, "would load", scope.mode))
         return IngestResult(None, run_ts, _union(parts))
 
-    listed = sorted((r["path"], r["_filename"]) for r in todo.toLocalIterator())
-    if listed:
-        contents = read_contents(spark, landing_root, scope, [p for p, _ in listed])
-        parts.append(commit_contents(spark, spec, warehouse, contents, run_ts=run_ts, batch_id=run_id,
-                                     attempted=[name for _, name in listed], strict=strict))
+    if loads:
+        if split_arrays:
+            source = SplitArrays(spec, lambda files: read_fragments(spark, landing_root, scope, files), strict)
+        else:
+            source = WholeFiles(spec, lambda files: read_contents(spark, landing_root, scope, files), strict)
+        parts.append(commit_contents(spark, spec, warehouse, source, run_ts=run_ts, batch_id=run_id, attempted=todo.select("path", "_filename")))
     report = _union(parts)
-    if listed and persist_report:  # reading it back also cuts lineage
+    if loads and persist_report:  # reading it back also cuts lineage
         with _phase("write report"):
             C.write_batch(report, warehouse, C.RUN_REPORT, run_id)
         report = C.read_batch(spark, warehouse, C.RUN_REPORT, run_id).drop("_batch_id")
@@ -195,7 +214,7 @@ def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: s
             first = bad.orderBy("file_name").first()
             raise IngestError(f"{n} file(s) failed, the first is {first.file_name}: {first.detail}; "
                               "the run report names all")
-    return IngestResult(run_id if listed else None, run_ts, report, (run_id,) if listed else ())
+    return IngestResult(run_id if loads else None, run_ts, report, (run_id,) if loads else ())
 
 
 def retry_failed(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: str) -> IngestResult | None:

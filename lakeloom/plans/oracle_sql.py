@@ -166,6 +166,15 @@ def _dbl(sql: str, *cols: str) -> str:
     return f"SELECT * REPLACE ({repl}) FROM ({sql}) AS q"
 
 
+def _verdicts(broken: str) -> str:
+    odd = ", ".join(f"({dt}, {hr}, '{kind}', '{status}', {detail})" for dt, hr, kind, status, detail in [
+        ("'1999-01-01'", "'01'", "broken", *broken), ("'1999-01-01'", "'02'", "object", "failed", "'file is not a JSON array'"),
+        ("'1999-01-01'", "'03'", "empty", "empty", "'empty array (no rows; rescanned next run)'"),
+        ("'1999-01-01'", "'04'", "nothing", "failed", "'file is not a JSON array'"), ("NULL", "NULL", "late", "loaded", "NULL")])
+    return _w(f"""SELECT file_dt, file_hr, '' AS kind, 'loaded' AS status, CAST(NULL AS VARCHAR) AS detail
+                  FROM (SELECT DISTINCT file_dt, file_hr, chunk FROM raw) UNION ALL SELECT * FROM (VALUES {odd})""")
+
+
 def _w(body: str) -> str:
     return "WITH " + _LANDED + body
 
@@ -212,6 +221,14 @@ ORACLES: dict[str, str] = {
                records_processed
         FROM files CROSS JOIN clock"""),
     "stg_events_latest": _w(f"SELECT {_STG_COLS} FROM stg"),
+    "ingest_file_verdicts": _verdicts(("failed", "'file is not a JSON array'")),
+    "stream_file_verdicts": _verdicts(("loaded", "NULL")),
+    "ingest_split_arrays": _w("""
+        , days AS (SELECT *, COUNT(*) OVER (PARTITION BY file_dt) AS day_count FROM raw),
+        places AS (SELECT *, n % CAST(ceil(day_count / 500000.0) AS BIGINT) AS day_chunk FROM days)
+        SELECT event_id, account_id, event_timestamp, user_id, file_dt, reason,
+               CAST(row_number() OVER (PARTITION BY file_dt, day_chunk ORDER BY ts, n, copy) - 1 AS INTEGER) AS _pos FROM places"""),
+    "stream_stg_events": _w(f"SELECT {_STG_COLS} FROM stg"),
     "stg_incremental_equals_full": _w(f"SELECT {_STG_COLS} FROM stg"),
     "events_by_day": _w("""
         SELECT date_trunc('day', event_timestamp) AS event_date, page_name, COUNT(*) AS events,

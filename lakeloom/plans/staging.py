@@ -11,17 +11,14 @@
 
 from __future__ import annotations
 
-import time
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.config import EventSpec
 from lakeloom.functions.contract import payload_field
 from lakeloom.functions.text import clean_string
-from lakeloom.operators.commit import is_missing_path
+from lakeloom.operators import snapshot as SNAP
+from lakeloom.operators.commit import RAW, committed
 from lakeloom.operators.dedup import latest_by_key
 
 # Dedup order for telemetry (newest load wins; file and position break ties).
@@ -104,62 +101,28 @@ def _newest_incremental(spark: SparkSession, snapshot_root: str, versions: DataF
 
 # ------------------------------------------------------------- incremental
 
-def _versions_path(snapshot_root: str) -> str:
-    return f"{snapshot_root.rstrip('/')}/_versions"
-
-
-def _consumed_path(version_path: str) -> str:
-    return f"{version_path}_consumed"
-
-
 def current_snapshot(spark: SparkSession, snapshot_root: str) -> DataFrame | None:
-    """The newest committed snapshot version, or None before the first build.
-
-    ``_versions`` rows are written after the snapshot data, so a version is
-    only visible once complete.
-    """
-    path = _current_path(spark, snapshot_root)
-    return spark.read.parquet(path) if path else None
-
-
-def _current_path(spark: SparkSession, snapshot_root: str) -> str | None:
-    try:
-        versions = spark.read.parquet(_versions_path(snapshot_root))
-    except AnalysisException as e:
-        if is_missing_path(e):
-            return None
-        raise
-    last = versions.orderBy(F.col("version").desc()).select("path").take(1)
-    return last[0]["path"] if last else None
+    """The committed snapshot, or None before the first build."""
+    return SNAP.current(spark, snapshot_root)
 
 
 def build_incremental(spark: SparkSession, snapshot_root: str, source: DataFrame,
                       keys: list[str], order: list[str], *, watermark: str = "_batch_id",
-                      full_refresh: bool = False) -> DataFrame:
-    """Latest-per-key model built incrementally; writes a new snapshot version.
-
-    ``source`` holds typed rows carrying the ``watermark`` column (a batch id). Each
-    version keeps a table of the ids it has consumed; the new slice is the rows of
-    all other ids, whatever their order, so a batch that began earlier and was
-    committed later is not lost. It is merged with the current snapshot. Because
-    the newest-wins choice is associative, the result equals a full rebuild.
-    ``full_refresh`` rebuilds from the whole source (needed after a logic change).
+                      full_refresh: bool = False, stream: str | None = None, epoch: int | None = None) -> DataFrame:
+    """Latest-per-key model built incrementally (``operators/snapshot.py``).
+
+    ``source`` holds typed rows carrying the ``watermark`` column (a batch id). The new
+    slice is the rows of all ids that no build has consumed, whatever their order, so a
+    batch that began earlier and was committed later is not lost. Only the buckets its
+    keys fall into are rewritten. Because the newest-wins choice is associative, the
+    result equals a full rebuild. ``full_refresh`` rebuilds from the whole source (needed
+    after a logic change). ``stream`` and ``epoch`` name the micro-batch that asks.
     """
-    prev_path = None if full_refresh else _current_path(spark, snapshot_root)
-    version = time.time_ns() // 1000
-    version_path = f"{snapshot_root.rstrip('/')}/v_{version}_{uuid.uuid4().hex[:8]}"
-    seen = source.select(watermark).distinct()
-    if prev_path is None:
-        seen.write.parquet(_consumed_path(version_path))
-        merged = source.join(spark.read.parquet(_consumed_path(version_path)), watermark, "left_semi").select(*source.columns)
-    else:
-        consumed = spark.read.parquet(_consumed_path(prev_path))
-        seen.union(consumed).distinct().write.parquet(_consumed_path(version_path))
-        fresh = spark.read.parquet(_consumed_path(version_path)).join(consumed, watermark, "left_anti")
-        slice_ = source.join(fresh, watermark, "left_semi").select(*source.columns)
-        merged = slice_.unionByName(spark.read.parquet(prev_path).select(*source.columns))
-    result = latest_by_key(merged, keys, order)
-    result.write.mode("errorifexists").parquet(version_path)
-    spark.createDataFrame([(version, version_path)], "version long, path string") \
-        .write.mode("append").parquet(_versions_path(snapshot_root))  # commit marker
-    return spark.read.parquet(version_path)
+    return SNAP.merge(spark, snapshot_root, source, keys, order, watermark, full_refresh=full_refresh, stream=stream, epoch=epoch)
+
+
+def stage_events(spark: SparkSession, spec: EventSpec, warehouse: str, snapshot_root: str, *,
+                 stream: str | None = None, epoch: int | None = None, full_refresh: bool = False) -> DataFrame:
+    """Event staging brought up to date with committed RAW."""
+    raw = typed_events(committed(spark, warehouse, RAW), spec)
+    return build_incremental(spark, snapshot_root, raw, [spec.key_field], list(EVENT_ORDER), full_refresh=full_refresh, stream=stream, epoch=epoch)

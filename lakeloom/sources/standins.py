@@ -67,8 +67,8 @@ def telemetry_records(events: DataFrame) -> DataFrame:
         "ts", n.alias("n"), "copy", json.alias("json"))
 
 
-def write_landing(events: DataFrame, landing_root: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Write records as ``dt=YYYY-MM-DD/hr=HH/chunk=C/*.txt``, each file one JSON array.
+def write_landing(events: DataFrame, landing_root: str, rows_per_file: int = ROWS_PER_FILE, hourly: bool = True) -> None:
+    """Write records (a day's under hr=00 if not ``hourly``) as ``dt=YYYY-MM-DD/hr=HH/chunk=C/*.txt``, each file one JSON array.
 
     An hour holding more than ``rows_per_file`` records is split into
     ``ceil(count / rows_per_file)`` chunks by ``n % chunks``, so a hot hour is
@@ -76,6 +76,8 @@ def write_landing(events: DataFrame, landing_root: str, rows_per_file: int = ROW
     inside their chunk to place the array brackets.
     """
     rec = telemetry_records(events)
+    if not hourly:
+        rec = rec.withColumn("hr", F.lit("00"))
     per_hour = rec.groupBy("dt", "hr").agg(F.count(F.lit(1)).alias("_count"))
     rec = (rec.join(per_hour, ["dt", "hr"])
               .withColumn("chunk", F.pmod(F.col("n"), F.ceil(F.col("_count") / F.lit(rows_per_file)))))
@@ -91,6 +93,25 @@ def write_landing(events: DataFrame, landing_root: str, rows_per_file: int = ROW
         .write.partitionBy("dt", "hr", "chunk").mode("errorifexists").text(landing_root))
 
 
+def put_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write one file under this very name, over an older one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
+# Files of every verdict, beside the landed ones.
+ODD_FILES = {
+    "dt=1999-01-01/hr=01/chunk=broken/f.txt": '[{"event_id": "evt_x"',
+    "dt=1999-01-01/hr=02/chunk=object/f.txt": '{"event_id": "evt_x"}',
+    "dt=1999-01-01/hr=03/chunk=empty/f.txt": "[]",
+    "dt=1999-01-01/hr=04/chunk=nothing/f.txt": "",
+    "undated/chunk=late/f.txt": '[{"event_id": "evt_u"}, 5]',
+}
+CORRECTED = ("dt=1999-01-01/hr=01/chunk=broken/f.txt", '[{"event_id": "evt_x"}]')
+
+
 # ---------------------------------------------------------------- CDC feeds
 
 # Stage names by order priority, and the messy spellings.
