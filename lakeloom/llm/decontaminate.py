@@ -180,5 +180,8 @@ def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contained(docs, benchmark)
     if found is None:
         return docs
-    gone = found.select(F.col("key").alias("gone")).distinct()
-    return docs.join(_small(gone, found.count()), F.md5(F.col("text").cast("binary")) == F.col("gone"), "left_anti")
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    gone = found.select(F.col("key").alias(name)).distinct()
+    return docs.join(_small(gone, found.count()), F.md5(F.col("text").cast("binary")) == F.col(name), "left_anti")

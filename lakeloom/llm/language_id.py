@@ -128,8 +128,10 @@ def fit(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE,
     """Learn from rows (text, lang, sample key ``doc_id``) with non-null lang."""
     spark = labelled.sparkSession
     prepare_workers(spark)
+    # Rows without an id are drawn by their text, equal ones of them together.
+    drawn_by = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     rows = labelled.where("lang is not null and text is not null").select(
-        "lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw"),
+        "lang", "text", (F.pmod(drawn_by, F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw"),
         F.pmod(F.xxhash64("text", "doc_id"), F.lit(2)).cast("int").alias("half"))
     sizes = rows.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:

@@ -26,6 +26,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,11 @@ class RollupStore:
         if not self._exists():
             return self.spark.createDataFrame([], "batch_id string, folder string")
         noted = self.spark.read.schema(COMMITS).parquet(f"{self.folder}/commits")
+        # Of compactions that replace a batch in common the earliest stands; the others count for nothing.
+        replaced = noted.select("batch_id", F.explode("replaces").alias("batch"))
+        first = replaced.groupBy("batch").agg(F.min("batch_id").alias("first"))
+        void = replaced.join(first, "batch").where("batch_id <> first").select("batch_id").distinct()
+        noted = noted.join(void, "batch_id", "left_anti")
         gone = noted.select(F.explode("replaces").alias("batch_id"))
         return noted.groupBy("batch_id").agg(F.min("folder").alias("folder")).join(gone, "batch_id", "left_anti")
 
@@ -96,10 +102,11 @@ class RollupStore:
 
     def compact(self) -> None:
         """Replace the deltas of all commits by their sum; batch ids stay known."""
+        started = time.time_ns()
         standing = sorted((r["folder"], r["batch_id"]) for r in self.commits().toLocalIterator())
         folders, batch_ids = [f for f, _ in standing], [b for _, b in standing]
         if len(folders) < 2:
             return
         folder = f"{self.folder}/deltas/{uuid.uuid4().hex}"
         self._sum(folders).write.parquet(folder)
-        self._note(f"compaction-{uuid.uuid4().hex}", folder, batch_ids)
+        self._note(f"compaction-{started:020d}-{uuid.uuid4().hex}", folder, batch_ids)
