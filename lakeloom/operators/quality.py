@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("not_null", "unique", "accepted_values", "relationships", "expression", "pattern", "conditional_reference",
@@ -101,6 +101,39 @@ def _summary(counts: DataFrame, checks: list[Check]) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
+def is_row_check(c: Check) -> bool:
+    return _row_failure(c) is not None
+
+
+def observed(df: DataFrame, checks: list[Check]) -> tuple[DataFrame, Observation | None]:
+    """``df`` whose next write also counts the failing rows of the row checks."""
+    rows = [c for c in checks if is_row_check(c)]
+    if not rows:
+        return df, None
+    seen = Observation()
+    return df.observe(seen, *[F.count(F.when(_row_failure(c), F.lit(1))).alias(c.name) for c in rows]), seen
+
+
+def written_summary(spark: SparkSession, checks: list[Check], seen: dict[str, Observation | None], models: dict[str, DataFrame]) -> DataFrame:
+    """The summary after the models were written: row checks from what the writes have
+    counted, the others (unique, references, one per group) from the written data."""
+    counted = [(c.name, c.model, c.kind, int(seen[c.model].get[c.name]), c.severity, c.threshold) for c in checks if is_row_check(c)]
+    parts = []
+    if counted:
+        rows = spark.createDataFrame(counted, "check_name string, model string, check_type string, failures long, severity string, threshold long")
+        parts.append(_judged(rows))
+    if rest := [c for c in checks if not is_row_check(c)]:
+        parts.append(run_checks(models, rest))
+    out = parts[0] if parts else no_checks(spark)
+    return out.unionByName(parts[1]) if len(parts) > 1 else out
+
+
+def _judged(counts: DataFrame) -> DataFrame:
+    failures = F.coalesce(F.col("failures"), F.lit(0)).cast("long")
+    status = F.when(failures <= F.col("threshold"), "pass").when(F.col("severity") == "warn", "warn").otherwise("fail")
+    return counts.withColumn("status", status).withColumn("failures", failures).select(*SUMMARY_COLUMNS)
+
+
 def run_checks(models: dict[str, DataFrame], checks: list[Check]) -> DataFrame:
     """One summary row per check.
 
@@ -156,10 +189,7 @@ def run_checks(models: dict[str, DataFrame], checks: list[Check]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    status = (F.when(F.coalesce(F.col("failures"), F.lit(0)) <= F.col("threshold"), "pass")
-              .when(F.col("severity") == "warn", "warn").otherwise("fail"))
-    return (out.withColumn("failures", F.coalesce(F.col("failures"), F.lit(0)).cast("long"))
-            .withColumn("status", status).select(*SUMMARY_COLUMNS))
+    return _judged(out)
 
 
 def no_checks(spark: SparkSession) -> DataFrame:
@@ -167,12 +197,18 @@ def no_checks(spark: SparkSession) -> DataFrame:
 
 
 class QualityError(RuntimeError):
-    pass
+    """``summary``: the checks run so far, one row each."""
+
+    def __init__(self, message: str, summary: DataFrame):
+        super().__init__(message)
+        self.summary = summary
 
 
-def assert_checks(summary: DataFrame) -> DataFrame:
-    """Raise when any error-severity check fails (blocks the build)."""
+def assert_checks(summary: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Raise when any error-severity check fails (blocks the build). ``before``: the
+    summary of earlier layers, which is put in front."""
     failing = summary.where(F.col("status") == "fail").select("check_name", "failures").collect()
     if failing:
-        raise QualityError("failing checks: " + ", ".join(f"{r.check_name}={r.failures}" for r in failing))
-    return summary
+        raise QualityError("failing checks: " + ", ".join(f"{r.check_name}={r.failures}" for r in failing),
+                           summary if before is None else before.unionByName(summary))
+    return summary if before is None else before.unionByName(summary)

@@ -12,7 +12,7 @@ import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.config import Target
@@ -25,12 +25,14 @@ from lakeloom.sources.cdc import ACCOUNT_TABLE, OPPORTUNITY_TABLE
 from lakeloom.sources.settings import CONF_DIR, Governance
 
 
-def write_version(spark: SparkSession, df: DataFrame, path: str) -> tuple[int, str, DataFrame]:
-    """Write a new, not yet current version of a model; returns it read back."""
+def write_version(spark: SparkSession, df: DataFrame, path: str, checks: list[Q.Check] = ()) -> tuple[int, str, DataFrame, Observation | None]:
+    """Write a new, not yet current version of a model; returns it read back, and what
+    the write has counted for the row checks (no further scan)."""
+    df, seen = Q.observed(df, list(checks))
     version = time.time_ns() // 1000
     data = f"{path.rstrip('/')}/v_{version}_{uuid.uuid4().hex[:8]}"
     df.write.mode("errorifexists").parquet(data)
-    return version, data, spark.read.parquet(data)
+    return version, data, spark.read.parquet(data), seen
 
 
 def make_current(spark: SparkSession, path: str, version: int, data: str) -> None:
@@ -41,7 +43,7 @@ def make_current(spark: SparkSession, path: str, version: int, data: str) -> Non
 
 def publish(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     """Write a new version of the model and make it current; returns it."""
-    version, data, written = write_version(spark, df, path)
+    version, data, written, _ = write_version(spark, df, path)
     make_current(spark, path, version, data)
     return written
 
@@ -59,26 +61,26 @@ def read_model(spark: SparkSession, path: str) -> DataFrame | None:
 
 def build_sales_models(spark: SparkSession, accounts_src: DataFrame, opportunities_src: DataFrame,
                        target: Target, checks: list[Q.Check], gov: Governance | None = None) -> DataFrame:
-    """Build, test and publish staging and mart. Each model is computed once:
-    it is written as a new version, the checks run on the written data, and
-    only a passing layer becomes current. Classified columns, and those derived from
+    """Build, test and publish staging and mart. Each model is computed once: it is written
+    as a new version, and the same pass counts the rows that fail row checks; unique and
+    relationship checks read the written data. Only a passing layer becomes current. Classified columns, and those derived from
     them, are written with their tags, so masked reads of a built model need no tags
     passed. Returns the check summary."""
     gov = gov or Governance.load(spark, CONF_DIR)
     acc_path, opp_path = target.path("staging", "stg_accounts"), target.path("staging", "stg_opportunities")
-    acc_v = write_version(spark, G.classify(STG.stg_accounts(accounts_src), ACCOUNT_TABLE, gov), acc_path)
-    opp_v = write_version(spark, G.classify(STG.stg_opportunities(opportunities_src), OPPORTUNITY_TABLE, gov), opp_path)
-    staging_checks = [c for c in checks if c.model.startswith("stg_")]
-    staged = {"stg_accounts": acc_v[2], "stg_opportunities": opp_v[2]}
-    summary = Q.assert_checks(Q.run_checks(staged, staging_checks)) if staging_checks else Q.no_checks(spark)
+    def of(model: str) -> list[Q.Check]:
+        return [c for c in checks if c.model == model]
+
+    acc_v = write_version(spark, G.classify(STG.stg_accounts(accounts_src), ACCOUNT_TABLE, gov), acc_path, of("stg_accounts"))
+    opp_v = write_version(spark, G.classify(STG.stg_opportunities(opportunities_src), OPPORTUNITY_TABLE, gov), opp_path, of("stg_opportunities"))
+    staged, seen = {"stg_accounts": acc_v[2], "stg_opportunities": opp_v[2]}, {"stg_accounts": acc_v[3], "stg_opportunities": opp_v[3]}
+    summary = Q.assert_checks(Q.written_summary(spark, of("stg_accounts") + of("stg_opportunities"), seen, staged))
     make_current(spark, acc_path, acc_v[0], acc_v[1])
     make_current(spark, opp_path, opp_v[0], opp_v[1])
     mart_path = target.path("marts", "mart_opportunities")
     mart = M.mart_opportunities(opp_v[2], acc_v[2])
-    mart_v = write_version(spark, G.classify(mart, None, gov, M.MART_COLUMN_TAGS), mart_path)
-    mart_checks = [c for c in checks if c.model == "mart_opportunities"]
-    if mart_checks:
-        summary = summary.unionByName(Q.assert_checks(Q.run_checks({"mart_opportunities": mart_v[2]},
-                                                                   mart_checks)))
+    mart_v = write_version(spark, G.classify(mart, None, gov, M.MART_COLUMN_TAGS), mart_path, of("mart_opportunities"))
+    models = {**staged, "mart_opportunities": mart_v[2]}
+    summary = Q.assert_checks(Q.written_summary(spark, of("mart_opportunities"), {"mart_opportunities": mart_v[3]}, models), summary)
     make_current(spark, mart_path, mart_v[0], mart_v[1])
     return summary

@@ -363,6 +363,34 @@ def q_dq_checks(spark, sf_dir):
     return Q.run_checks(models, model_checks())
 
 
+def gate_checks() -> list[Q.Check]:
+    """Checks of which the last one, of error severity, fails on the stand-in feeds."""
+    return [
+        Q.not_null("stg_accounts", "account_id"),
+        Q.accepted_values("stg_accounts", "customer_tier", ("Enterprise", "SMB"), severity="warn"),
+        Q.unique("stg_opportunities", "opportunity_id"),
+        Q.unique("stg_opportunities", "account_id", severity="warn"),
+        Q.pattern("stg_opportunities", "account_id", "^acct_[0-9]+$", severity="warn"),
+        Q.conditional_reference("stg_opportunities", "account_id", "stg_accounts", "account_id", "stage_name = 'Closed Won'", severity="warn"),
+        Q.one_per_group("mart_opportunities", "owner_id", "stage_name = 'Closed Lost' AND amount > 400000", severity="warn"),
+        Q.not_null("mart_opportunities", "amount", severity="warn"),
+        Q.expression("negative_days_to_close", "mart_opportunities", "days_to_close < 0"),
+    ]
+
+
+def q_build_gate(spark, sf_dir):
+    """A build whose mart fails an error check: every check's row, and whether its model
+    was published (staging was, the mart is not)."""
+    target = Target(scratch_dir(spark, "models"))
+    try:
+        summary = B.build_sales_models(spark, accounts_feed(spark, sf_dir), opportunities_feed(spark, sf_dir), target, gate_checks(), governance(spark))
+    except Q.QualityError as e:
+        summary = e.summary
+    layers = {"stg_accounts": "staging", "stg_opportunities": "staging", "mart_opportunities": "marts"}
+    published = [m for m, layer in layers.items() if B.read_model(spark, target.path(layer, m)) is not None]
+    return summary.withColumn("published", F.col("model").isin(published))
+
+
 def q_load_monitoring(spark, sf_dir):
     fx = fixture(spark, sf_dir)
     log = C.committed(spark, fx.warehouse, C.LOAD_LOG).withColumn("file_dt", path_dt(F.col("file_name")))
@@ -541,6 +569,7 @@ QUERIES = {
     "mart_finance_bookings": q_mart_finance_bookings,
     "account_seed_summary": q_account_seed_summary,
     "dq_checks": q_dq_checks,
+    "build_gate": q_build_gate,
     "load_monitoring": q_load_monitoring,
     "freshness": q_freshness,
     "drift_report": q_drift_report,

@@ -294,6 +294,29 @@ ORACLES: dict[str, str] = {
         SELECT check_name, model, check_type, failures, severity,
                CASE WHEN failures <= 0 THEN 'pass' WHEN severity = 'warn' THEN 'warn' ELSE 'fail' END AS status
         FROM counts"""),
+    "build_gate": _c("""
+        , owners AS (SELECT owner_id, COUNT(*) FILTER (WHERE stage_name = 'Closed Lost' AND amount > 400000) AS hits FROM mart GROUP BY owner_id),
+        counts AS (
+          SELECT 'not_null_stg_accounts_account_id' AS check_name, 'stg_accounts' AS model, 'not_null' AS check_type,
+                 (SELECT COUNT(*) FROM acc WHERE account_id IS NULL) AS failures, 'error' AS severity
+          UNION ALL SELECT 'accepted_values_stg_accounts_customer_tier', 'stg_accounts', 'accepted_values',
+                 (SELECT COUNT(*) FROM acc WHERE customer_tier NOT IN ('Enterprise', 'SMB')), 'warn'
+          UNION ALL SELECT 'unique_stg_opportunities_opportunity_id', 'stg_opportunities', 'unique',
+                 (SELECT COUNT(*) FROM (SELECT opportunity_id FROM opp GROUP BY 1 HAVING COUNT(*) > 1)), 'error'
+          UNION ALL SELECT 'unique_stg_opportunities_account_id', 'stg_opportunities', 'unique',
+                 (SELECT COUNT(*) FROM (SELECT account_id FROM opp GROUP BY 1 HAVING COUNT(*) > 1)), 'warn'
+          UNION ALL SELECT 'pattern_stg_opportunities_account_id', 'stg_opportunities', 'pattern',
+                 (SELECT COUNT(*) FROM opp WHERE NOT regexp_matches(account_id, '^acct_[0-9]+$')), 'warn'
+          UNION ALL SELECT 'conditional_reference_stg_opportunities_account_id', 'stg_opportunities', 'conditional_reference',
+                 (SELECT COUNT(*) FROM opp WHERE stage_name = 'Closed Won' AND account_id NOT IN (SELECT account_id FROM acc)), 'warn'
+          UNION ALL SELECT 'one_per_group_mart_opportunities_owner_id', 'mart_opportunities', 'one_per_group',
+                 (SELECT COUNT(*) FROM owners WHERE hits <> 1), 'warn'
+          UNION ALL SELECT 'not_null_mart_opportunities_amount', 'mart_opportunities', 'not_null',
+                 (SELECT COUNT(*) FROM mart WHERE amount IS NULL), 'warn'
+          UNION ALL SELECT 'negative_days_to_close', 'mart_opportunities', 'expression',
+                 (SELECT COUNT(*) FROM mart WHERE days_to_close < 0), 'error')
+        SELECT *, CASE WHEN failures = 0 THEN 'pass' WHEN severity = 'warn' THEN 'warn' ELSE 'fail' END AS status,
+               model <> 'mart_opportunities' AS published FROM counts"""),
     "load_monitoring": _dbl(_w("""
         , per_day AS (
           SELECT file_dt, COUNT(DISTINCT file_hr || '/' || CAST(chunk AS VARCHAR)) AS files,
