@@ -24,19 +24,23 @@ stored. An empty table gives no file. Other columns are not read.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import PieceStore, passes, shared_folder, prepare_workers, stored
+from lakeloom.llm.common import passes, shared_folder, prepare_workers, stored
 from lakeloom.llm.files import new_file, read_file
 
 MAGIC = b"LLTK1"
@@ -44,6 +48,8 @@ BLOCK_IDS = 1 << 16
 LEVEL = 3
 KEPT_WORDS = 1_000_000
 WORDS_A_TEXT = 1000
+#: Characters encoded at once (a longer single text goes alone): the more, the fewer repeated words are looked up.
+PASS_CHARS = 4_000_000
 
 
 def to_planes(ids: np.ndarray, planes: int) -> list[bytes]:
@@ -139,98 +145,152 @@ class TokenFileReader:
             yield doc_id, start, pieces(start, n)
 
 
+class StretchStore:
+    """Ids of distinct stretches of text, each encoded once per worker. Beyond
+    ``limit`` those seen once since the last clearing go (all, if the others fill
+    half of it), which costs time but changes no result."""
+
+    def __init__(self, encode_new, limit: int):
+        self.encode_new, self.limit = encode_new, limit
+        self._keep([])
+
+    def _keep(self, numbers: list[int] | np.ndarray) -> None:
+        kept: list[str] = []
+        if len(numbers):
+            words = list(self.number)
+            kept = [words[i] for i in numbers]
+            size = self.size[numbers]
+            at = np.cumsum(size) - size
+            self.flat = self.flat[np.repeat(self.start[numbers] - at, size) + np.arange(int(size.sum()))]
+            self.start, self.size = at, size
+        else:
+            self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.number: defaultdict[str, int] = defaultdict(None, zip(kept, range(len(kept))))
+        self.number.default_factory = self.number.__len__  # the next number for each new stretch
+        self.seen = np.zeros(len(kept), np.int64)
+
+    def numbers(self, stretches: list[str], times: np.ndarray) -> np.ndarray:
+        """A number for each of these distinct stretches, met ``times`` times."""
+        if len(self.number) > self.limit:
+            often = np.flatnonzero(self.seen > 1)
+            self._keep(often if 2 * len(often) <= self.limit else [])
+        out = np.fromiter(map(self.number.__getitem__, stretches), np.int64, len(stretches))
+        if new := list(islice(self.number, len(self.size), None)):
+            flat, start, size = self.encode_new(new)
+            self.start = np.concatenate([self.start, len(self.flat) + start])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+            self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        self.seen[out] += times
+        return out
+
+
 class WordTokenizer:
-    """Ids by a ``tokenizers`` file whose pre-tokenizer drops white space, so that
-    what stands between spaces and line ends encodes alike wherever it stands.
-    Distinct stretches are encoded once and kept for later batches. ``literal`` is
-    the library's ``encode_special_tokens``: special tokens in a text are plain
-    text to it. Added tokens must hold no white space, and not letters alone."""
+    """Ids by a ``tokenizers`` file whose pre-tokenizer drops white space and parts
+    letters from marks, so that what stands between spaces and line ends encodes
+    alike wherever it stands, and so do a word and the ASCII marks behind it.
+    Distinct stretches are numbered by Arrow, encoded once and kept for later
+    batches. Special tokens in a text get their ids, as with the library's own
+    settings. Added tokens must hold no white space, and not letters alone."""
+
+    #: The first of the ASCII marks behind a Latin letter or digit, up to the next space.
+    MARKS = re.compile(r"[!-/:-@\[-`{-~](?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ].)[!-/:-@\[-`{-~]* ")
+
+    WORD = re.compile("[a-zß-öø-ÿ]+")
 
-    def __init__(self, path: str, literal: bool = True):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = literal
         self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         if any(t.isalpha() or t.split() != [t] for t in self.added):
             raise ValueError("an added token holds white space or letters alone")
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.marks = {m: ids[0] for m in ".," if len(ids := self._ids([m])[0]) == 1}
-        self.store = PieceStore(self._new, KEPT_WORDS)
+        self.store = StretchStore(self._new, KEPT_WORDS)
+        # The file's model alone, for words of lower-case Latin letters, which neither
+        # its normalizer nor its splitting touches (tried here with every such letter).
+        octets = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        latin = [c for c in map(chr, range(256)) if self.WORD.fullmatch(c)]
+        self.octets = {ord(c): octets.pre_tokenize_str(c)[0][0] for c in latin}
+        self.light = Tokenizer(self.library.model)
+        self.light.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        trial = " ".join(latin + [a + b for a in latin for b in latin] + ["".join(latin)])
+        if not np.array_equal(self._model_ids([trial])[0], self._ids([trial])[0]):
+            raise ValueError("the tokenizer does more to Latin words than their bytes' model")
 
     def _ids(self, words: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _model_ids(self, texts: list[str]) -> list[np.ndarray]:
+        texts = [t if t.isascii() else t.translate(self.octets) for t in texts]
+        return [np.array(e.ids, np.uint32) for e in self.light.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Plain words (letters, perhaps with a point or comma behind them) whose
-        lower-case core is known take its ids. The other plain words are encoded
-        many to a text and told apart by the tokens that end a word, which saves
-        the library's cost of a text; what isn't plain, or stands in a text whose
-        count of ends is not as expected, is encoded alone."""
+        """Words of lower-case Latin letters alone are encoded many to a text by the
+        file's model and told apart by the tokens that end a word, which saves the
+        library's cost of a text; what isn't plain, or stands in a text whose count
+        of ends is not as expected, is encoded alone and in full."""
         start, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        chunks, at, plain, ends, alone = [], 0, [], [], []
-
-        def add(i: int, ids: np.ndarray) -> None:
-            nonlocal at
-            start[i], size[i] = at, len(ids)
-            chunks.append(ids)
-            at += len(ids)
-
-        for i, w in enumerate(words):
-            mark = self.marks.get(w[-1:])
-            core = w if mark is None else w[:-1]
-            if not core.isalpha():
-                alone.append(i)
-            elif core.isascii() and not (core == w and core.islower()) and (ids := self.store.known(core.lower())) is not None:
-                add(i, ids if mark is None else np.append(ids, mark))
-            else:
-                plain.append(i)
-                ends.append(1 if mark is None else 2)
+        letters = np.fromiter((m is not None for m in map(self.WORD.fullmatch, words)), bool, len(words))
+        plain, alone = np.flatnonzero(letters), np.flatnonzero(~letters).tolist()
+        chunks, at = [], 0
         cuts = range(0, len(plain), WORDS_A_TEXT)
-        for a, ids in zip(cuts, self._ids([" ".join([words[i] for i in plain[a:a + WORDS_A_TEXT]]) for a in cuts])):
-            group, last = plain[a:a + WORDS_A_TEXT], np.flatnonzero(self.ends[ids]) + 1
-            expected = np.cumsum(ends[a:a + WORDS_A_TEXT])
-            if len(last) != expected[-1]:
-                alone += group
+        for a, ids in zip(cuts, self._model_ids([" ".join([words[i] for i in plain[a:a + WORDS_A_TEXT]]) for a in cuts])):
+            group, bounds = plain[a:a + WORDS_A_TEXT], np.flatnonzero(self.ends[ids]) + 1
+            if len(bounds) != len(group):
+                alone += group.tolist()
                 continue
-            bounds = last[expected - 1]
             size[group] = np.diff(bounds, prepend=0)
             start[group] = at + bounds - size[group]
             chunks.append(ids)
             at += len(ids)
         for i, ids in zip(alone, self._ids([words[i] for i in alone])):
-            add(i, ids)
+            start[i], size[i] = at, len(ids)
+            chunks.append(ids)
+            at += len(ids)
         return np.concatenate(chunks), start, size
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
         """The ids of each text, with ``end_id`` behind them if there is one."""
-        ids, n = self.store.ids([self._words(t or "") for t in texts])
+        if not texts:
+            return []
+        parts = pc.split_pattern(pa.array([self._spaced(t or "") for t in texts], pa.large_string()), " ")
+        numbered = parts.flatten().dictionary_encode()
+        at = numbered.indices.to_numpy()
+        seq = self.store.numbers(numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), np.bincount(at, minlength=len(numbered.dictionary)))[at]
+        size = self.store.size[seq]
+        ends = np.cumsum(size)
+        ids = self.store.flat[np.repeat(self.store.start[seq] - (ends - size), size) + np.arange(ends[-1])]
+        n = np.diff(ends[np.cumsum(pc.list_value_length(parts).to_numpy()) - 1], prepend=0)
         if end_id is not None:
             ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
         return np.split(ids, np.cumsum(n)[:-1])
 
-    def _words(self, text: str) -> list[str]:
-        """Stretches between spaces and line ends; the tokenizer lower-cases, so
-        Latin-1 texts, where that is a matter of single letters, are it before. Added
-        tokens are found before that, so stretches like one stay as they are."""
-        def stretches(t: str) -> list[str]:
-            return t.replace("\n", " ").split(" ")
-
+    def _spaced(self, text: str) -> str:
+        """The text with single spaces where stretches part: line ends, and before
+        marks that end a stretch. The tokenizer lower-cases, so Latin-1 texts, where
+        that is a matter of single letters, are it before. Added tokens are found
+        before that, so in a text with the like of one no marks are parted and
+        stretches like one stay as they are."""
+        text = text.replace("\n", " ")
+        lower = text.lower()
         try:
             text.encode("latin-1")
+            plain = lower
         except UnicodeEncodeError:
-            return stretches(text)
-        lower = text.lower()
+            plain = text
         if any(t in lower for t in self.added):
-            return [w if any(t in x for t in self.added) else x for w, x in zip(stretches(text), stretches(lower))]
-        return stretches(lower)
+            if plain is text:
+                return text
+            return " ".join([w if any(t in x for t in self.added) else x for w, x in zip(text.split(" "), lower.split(" "))])
+        return self.MARKS.sub(r" \g<0>", plain + " ")
 
 
 @lru_cache(maxsize=4)
 def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path, literal=False)
+    return WordTokenizer(path)
 
 
 def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None, planes: int = 4,
@@ -241,7 +301,8 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None, pl
     prepare_workers(spark)
     folder = folder or shared_folder(spark, "token-files")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges of ids and beginnings of texts: rows that share an id, or have none, are spread too.
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, 256)).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no, tokens, writer = TaskContext.get().partitionId(), word_tokenizer(path), None
@@ -249,7 +310,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None, pl
             writer = TokenFileWriter(out, planes, block_ids)
             for batch in batches:
                 doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for a, b in passes(texts):
+                for a, b in passes(texts, PASS_CHARS):
                     for doc_id, ids in zip(doc_ids[a:b], tokens.encode(texts[a:b], end_id)):
                         writer.add(doc_id, ids)
             writer.close()

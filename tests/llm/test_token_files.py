@@ -39,7 +39,6 @@ def test_file_round_trip_over_block_edges(planes):
 
 def test_words_encode_as_the_library_does():
     library = Tokenizer.from_file(WORD_BPE_FILE)
-    library.encode_special_tokens = True
     rng, letters = random.Random(1), "abcE  \n\n\t\r'sR123éßñ中文  \x1c\x85́ΣΩς😀‍.!?#--,<|>"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
     texts += ["", None, "<|endoftext|> a", " ", " ́a", "Word word WORD. word, Word.", "İ İ. I", "a " * 5000]
@@ -77,3 +76,26 @@ def test_special_tokens_in_texts_as_the_untouched_library(spark):
     docs = spark.createDataFrame(list(enumerate(texts[-203:])), "doc_id long, text string")
     got = {r.doc_id: r.ids for r in T.read_ids(spark, T.write(docs, WORD_BPE_FILE, END_ID)).collect()}
     assert got == {i: ids + [END_ID] for i, ids in enumerate(want[-203:])}
+
+
+def test_store_clears_without_changing_ids():
+    library, rng = Tokenizer.from_file(WORD_BPE_FILE), random.Random(4)
+    tokens = T.WordTokenizer(WORD_BPE_FILE)
+    tokens.store.limit = 50
+    marks = ["", "", ".", ",", "!!", ",###", "'", "\u0327", "\u2014.", "_"]
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choices("abé", k=rng.randint(1, 4))) + rng.choice(marks) for _ in range(30)) for _ in range(4)]
+        for t, ids in zip(texts, tokens.encode(texts, END_ID)):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids + [END_ID], t
+        assert len(tokens.store.number) == len(tokens.store.size) < 50 + 4 * 61
+    assert tokens.encode([]) == []
+
+
+def test_rows_without_an_id_are_spread(spark):
+    rows = [(None, f"text {i:05d} " + "x" * 50) for i in range(4000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table is one partition else
+    try:
+        files = T.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), WORD_BPE_FILE, END_ID).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) > 1 and sum(r.docs for r in files) == 4000 and max(r.docs for r in files) < 2000
