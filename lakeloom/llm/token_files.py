@@ -302,7 +302,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None, pl
     folder = folder or shared_folder(spark, "token-files")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # Ranges of ids and beginnings of texts: rows that share an id, or have none, are spread too.
-    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, 256)).sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange("doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no, tokens, writer = TaskContext.get().partitionId(), word_tokenizer(path), None
