@@ -409,6 +409,18 @@ def q_drift_report(spark, sf_dir):
     return MON.drift_report(C.committed(spark, fx.warehouse, C.RAW), SPEC)
 
 
+# Types of the telemetry payload's paths.
+PAYLOAD_TYPES = {"event_id": "STRING", "account_id": "STRING", "user_id": "STRING", "event_timestamp": "STRING",
+                 "page_name": "STRING", "session_id": "STRING", "properties": "OBJECT", "properties.k": "BIGINT",
+                 "properties.value": "DOUBLE", "properties.referrer": "STRING"}
+
+
+def q_drift_nested(spark, sf_dir):
+    """Nested payload drift over records with a new, a retyped and a widened key."""
+    raw = S.drifted_records(S.table(spark, sf_dir, "events")).select(F.parse_json("json").alias("payload"))
+    return MON.nested_drift(raw, PAYLOAD_TYPES)
+
+
 # -------------------------------------------------------------- governance
 
 _GOV: dict[str, Governance] = {}
@@ -573,6 +585,7 @@ QUERIES = {
     "load_monitoring": q_load_monitoring,
     "freshness": q_freshness,
     "drift_report": q_drift_report,
+    "drift_nested": q_drift_nested,
     "masked_reader": q_masked_reader,
     "masked_exempt": q_masked_exempt,
     "masked_mart": q_masked_mart,

@@ -335,6 +335,35 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'page_name', total, 'known', 0 FROM t
         UNION ALL SELECT 'session_id', total, 'known', 0 FROM t
         UNION ALL SELECT 'properties', total, 'known', 0 FROM t"""),
+    "drift_nested": _w("""
+        , t AS (SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE n % 83 = 0) AS no_ts,
+                       COUNT(*) FILTER (WHERE n % 97 = 0) AS no_user,
+                       COUNT(*) FILTER (WHERE n % 41 = 0) AS camp, COUNT(*) FILTER (WHERE n % 43 = 0) AS sess,
+                       COUNT(*) FILTER (WHERE n % 47 = 0) AS wide,
+                       COUNT(*) FILTER (WHERE prop_value IS NULL) AS no_value,
+                       COUNT(*) FILTER (WHERE prop_value <> 0 AND (abs(prop_value) < 0.001 OR abs(prop_value) >= 1e7)) AS e FROM raw),
+        seen AS (
+          SELECT 'event_id' AS path, 'STRING' AS types, 'STRING' AS merged_type, total AS records_with, 0 AS records_null, 'same' AS status FROM t
+          UNION ALL SELECT 'account_id', 'STRING', 'STRING', total, 0, 'same' FROM t
+          UNION ALL SELECT 'user_id', 'STRING', 'STRING', total, no_user, 'same' FROM t
+          UNION ALL SELECT 'event_timestamp', 'STRING', 'STRING', total - no_ts, 0, 'same' FROM t
+          UNION ALL SELECT 'page_name', 'STRING', 'STRING', total, 0, 'same' FROM t
+          UNION ALL SELECT 'session_id', CASE WHEN sess > 0 THEN 'BIGINT,STRING' ELSE 'STRING' END,
+                           CASE WHEN sess > 0 THEN 'VARIANT' ELSE 'STRING' END, total, 0,
+                           CASE WHEN sess > 0 THEN 'breaking' ELSE 'same' END FROM t
+          UNION ALL SELECT 'properties', 'OBJECT', 'OBJECT', total, 0, 'same' FROM t
+          UNION ALL SELECT 'properties.k', CASE WHEN wide > 0 THEN 'BIGINT,DECIMAL' ELSE 'BIGINT' END,
+                           CASE WHEN wide > 0 THEN 'DECIMAL' ELSE 'BIGINT' END, total, 0,
+                           CASE WHEN wide > 0 THEN 'widened' ELSE 'same' END FROM t
+          UNION ALL SELECT 'properties.value', CASE WHEN e > 0 THEN 'DECIMAL,DOUBLE' ELSE 'DECIMAL' END,
+                           CASE WHEN e > 0 THEN 'DOUBLE' ELSE 'DECIMAL' END, total, no_value, 'same' FROM t
+          UNION ALL SELECT 'properties.campaign', 'OBJECT', 'OBJECT', camp, 0, 'additive' FROM t WHERE camp > 0
+          UNION ALL SELECT 'properties.campaign.id', 'BIGINT', 'BIGINT', camp, 0, 'additive' FROM t WHERE camp > 0
+          UNION ALL SELECT 'properties.campaign.tags', 'ARRAY', 'ARRAY', camp, 0, 'additive' FROM t WHERE camp > 0
+          UNION ALL SELECT 'properties.campaign.tags[]', 'STRING', 'STRING', camp, 0, 'additive' FROM t WHERE camp > 0
+          UNION ALL SELECT 'properties.referrer', '', NULL, 0, 0, 'missing')
+        SELECT path, types, merged_type, CAST(records_with AS BIGINT) AS records_with, CAST(records_null AS BIGINT) AS records_null,
+               CAST(total - records_with AS BIGINT) AS records_without, status FROM seen, t"""),
     "masked_reader": _dbl(_c("SELECT account_id, account_name, CAST(NULL AS DECIMAL(18,2)) AS arr FROM acc"), "arr"),
     "masked_staging": _dbl(_c("SELECT account_id, account_name, CAST(NULL AS DECIMAL(18,2)) AS arr FROM acc"), "arr"),
     "masked_exempt": _dbl(_c("SELECT account_id, account_name, arr FROM acc"), "arr"),

@@ -67,6 +67,22 @@ def telemetry_records(events: DataFrame) -> DataFrame:
         "ts", n.alias("n"), "copy", json.alias("json"))
 
 
+# Drift injected into the telemetry records (on events.event_id).
+NEW_KEY_MOD = 41          # properties.campaign, an object with an array, appears
+RETYPED_MOD = 43          # session_id is a number
+WIDENED_MOD = 47          # properties.k has a fraction
+
+
+def drifted_records(events: DataFrame) -> DataFrame:
+    """The telemetry records with a new, a retyped and a widened key in some."""
+    n, json = F.col("n"), F.col("json")
+    new = F.concat(F.lit('"properties":{"campaign":{"id":'), n.cast("string"), F.lit(',"tags":["a",null]},'))
+    json = F.when(n % NEW_KEY_MOD == 0, F.replace(json, F.lit('"properties":{'), new)).otherwise(json)
+    json = F.when(n % RETYPED_MOD == 0, F.regexp_replace(json, '"session_id":"[^"]*"', '"session_id":7')).otherwise(json)
+    json = F.when(n % WIDENED_MOD == 0, F.regexp_replace(json, '"k":([0-9]+)', '"k":$1.5')).otherwise(json)
+    return telemetry_records(events).withColumn("json", json)
+
+
 def write_landing(events: DataFrame, landing_root: str, rows_per_file: int = ROWS_PER_FILE, hourly: bool = True) -> None:
     """Write records (a day's under hr=00 if not ``hourly``) as ``dt=YYYY-MM-DD/hr=HH/chunk=C/*.txt``, each file one JSON array.
 
