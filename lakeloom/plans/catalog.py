@@ -19,6 +19,7 @@ from lakeloom.operators import commit as C
 from lakeloom.operators import governance as G
 from lakeloom.operators import quality as Q
 from lakeloom.operators.audit import column_access
+from lakeloom.operators.clustered import cluster_raw, events_in_window
 from lakeloom.plans import build as B
 from lakeloom.plans import marts as M
 from lakeloom.plans import monitoring as MON
@@ -409,6 +410,14 @@ def q_drift_report(spark, sf_dir):
     return MON.drift_report(C.committed(spark, fx.warehouse, C.RAW), SPEC)
 
 
+def q_events_in_window(spark, sf_dir):
+    """RAW rows of the day that ends at the scan clock, from the files of clustered RAW that meet it."""
+    fx = fixture(spark, sf_dir)
+    cluster_raw(spark, fx.warehouse, rows_per_file=20_000)
+    now = scan_clock(spark, sf_dir)
+    return _raw_view(events_in_window(spark, fx.warehouse, now - timedelta(days=1), now))
+
+
 # Types of the telemetry payload's paths.
 PAYLOAD_TYPES = {"event_id": "STRING", "account_id": "STRING", "user_id": "STRING", "event_timestamp": "STRING",
                  "page_name": "STRING", "session_id": "STRING", "properties": "OBJECT", "properties.k": "BIGINT",
@@ -586,6 +595,7 @@ QUERIES = {
     "freshness": q_freshness,
     "drift_report": q_drift_report,
     "drift_nested": q_drift_nested,
+    "events_in_window": q_events_in_window,
     "masked_reader": q_masked_reader,
     "masked_exempt": q_masked_exempt,
     "masked_mart": q_masked_mart,

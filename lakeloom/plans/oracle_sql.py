@@ -335,6 +335,10 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'page_name', total, 'known', 0 FROM t
         UNION ALL SELECT 'session_id', total, 'known', 0 FROM t
         UNION ALL SELECT 'properties', total, 'known', 0 FROM t"""),
+    "events_in_window": _w(f"""
+        , clock AS (SELECT date_trunc('hour', max(ts)) + INTERVAL 1 HOUR AS now FROM events)
+        SELECT {_RAW_COLS} FROM raw, clock
+        WHERE event_timestamp >= now - INTERVAL 1 DAY AND event_timestamp < now"""),
     "drift_nested": _w("""
         , t AS (SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE n % 83 = 0) AS no_ts,
                        COUNT(*) FILTER (WHERE n % 97 = 0) AS no_user,
