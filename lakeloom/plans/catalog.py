@@ -20,6 +20,7 @@ from lakeloom.operators import governance as G
 from lakeloom.operators import quality as Q
 from lakeloom.operators.audit import column_access
 from lakeloom.operators.clustered import cluster_raw, events_in_window
+from lakeloom.operators.governed_sql import governed_view, register_governance, set_role
 from lakeloom.plans import build as B
 from lakeloom.plans import marts as M
 from lakeloom.plans import monitoring as MON
@@ -458,6 +459,18 @@ def q_masked_exempt(spark, sf_dir):
     return G.masked(spark, _accounts_for_masking(spark, sf_dir), ACCOUNT_TABLE, "SYSADMIN", gov)
 
 
+def q_masked_sql_view(spark, sf_dir):
+    """One governed view read in plain SQL under two roles of one session."""
+    gov = governance(spark)
+    register_governance(spark, gov)
+    governed_view(spark, gov, "governed_accounts", _accounts_for_masking(spark, sf_dir), ACCOUNT_TABLE)
+    parts = []
+    for role in ("REVOPS_READER", "SYSADMIN"):
+        set_role(spark, role)
+        parts.append(spark.sql("SELECT active_role AS as_role, * FROM governed_accounts"))
+    return parts[0].unionByName(parts[1])
+
+
 def q_masked_mart(spark, sf_dir):
     """The built mart read by REVOPS_READER: its own tags mask the derived columns."""
     df = _built(spark, sf_dir, "marts", "mart_opportunities").select(
@@ -599,6 +612,7 @@ QUERIES = {
     "masked_reader": q_masked_reader,
     "masked_exempt": q_masked_exempt,
     "masked_mart": q_masked_mart,
+    "masked_sql_view": q_masked_sql_view,
     "masked_staging": q_masked_staging,
     "stg_accounts_incremental": q_stg_accounts_incremental,
     "stg_opportunities_incremental": q_stg_opportunities_incremental,

@@ -370,6 +370,9 @@ ORACLES: dict[str, str] = {
                CAST(total - records_with AS BIGINT) AS records_without, status FROM seen, t"""),
     "masked_reader": _dbl(_c("SELECT account_id, account_name, CAST(NULL AS DECIMAL(18,2)) AS arr FROM acc"), "arr"),
     "masked_staging": _dbl(_c("SELECT account_id, account_name, CAST(NULL AS DECIMAL(18,2)) AS arr FROM acc"), "arr"),
+    "masked_sql_view": _dbl(_c("""
+        SELECT 'REVOPS_READER' AS as_role, account_id, account_name, CAST(NULL AS DECIMAL(18,2)) AS arr FROM acc
+        UNION ALL SELECT 'SYSADMIN', account_id, account_name, arr FROM acc"""), "arr"),
     "masked_exempt": _dbl(_c("SELECT account_id, account_name, arr FROM acc"), "arr"),
     "mask_email": """
         SELECT 'acct_' || CAST(c_custkey AS VARCHAR) AS account_id,
