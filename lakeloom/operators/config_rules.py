@@ -38,19 +38,18 @@ def config_violations(gov: Governance) -> DataFrame:
     wh = gov.active("warehouses").groupBy("function").agg(F.count_if("is_default").alias("defaults"))
     parts.append(_v(wh.where(F.col("defaults") != 1).withColumn("key", F.col("function")),
                     "one_default_per_function", "warehouses",
-                    F.concat(F.lit("function needs exactly one is_default row, found "),
-                             F.col("defaults").cast("string"))))
+                    F.format_string("%d warehouses are marked as this function's default", "defaults")))
     # Role hierarchy references known roles.
     inherits = roles.select("key", F.explode("inherits_from").alias("parent"))
     parts.append(_unknown(inherits, "parent", roles, "name", "known_parent_role", "functional_roles", "role"))
     # Mask expressions reference VAL or are NULL.
     parts.append(_v(rules.where(~F.col("mask_expression").contains("VAL") &
                                 (F.upper("mask_expression") != "NULL")),
-                    "mask_references_val", "masking_rules", "mask_expression must reference VAL or be NULL"))
+                    "mask_references_val", "masking_rules", "the mask neither uses the masked value nor hides it"))
     # One policy per (tag, data_type).
     dup = rules.groupBy("tag", "data_type").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
     parts.append(_v(dup.where(F.col("n") > 1), "unique_tag_data_type", "masking_rules",
-                    F.concat(F.lit("duplicate (tag, data_type) "), F.col("tag"), F.lit(", "), F.col("data_type"))))
+                    F.format_string("%d rules mask %s columns tagged %s", "n", "data_type", "tag")))
     # Classified columns: known schema and tag.
     pii = gov.active("pii_columns")
     parts.append(_unknown(pii, "schema", schemas, "schema", "known_schema", "pii_columns", "schema"))

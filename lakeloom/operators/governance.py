@@ -194,7 +194,8 @@ def _type_matches(data_type: str, spark_type: T.DataType) -> bool:
 
 
 def _rule_for(rules: list, tag: str, field: T.StructField):
-    """The tag's rule for the column's type; None if the tag has no active rule."""
+    """The tag's rule for the column's type, the first by key if several fit; None if
+    the tag has no active rule."""
     own = [r for r in rules if r.tag == tag]
     fit = [r for r in own if _type_matches(r.data_type, field.dataType)]
     if own and not fit:
@@ -229,7 +230,7 @@ def _policies(gov: Governance):
     """Active rules and exempt roles per tag (config-sized), cached on ``gov``."""
     cached = gov.__dict__.get("_policies")
     if cached is None:
-        rules = gov.active("masking_rules").select("tag", "data_type", "mask_expression").collect()
+        rules = gov.active("masking_rules").orderBy("key").select("tag", "data_type", "mask_expression").collect()
         exempt = {r.tag: set(r.roles) for r in exempt_roles(gov).collect()}
         cached = gov.__dict__["_policies"] = (rules, exempt)
     return cached

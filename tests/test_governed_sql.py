@@ -62,3 +62,12 @@ def test_a_masked_column_is_not_read(spark, tmp_path):
         return text[text.index("ReadSchema"):]
 
     assert "arr" in scanned("REVOPS_ADMIN") and "arr" not in scanned("REVOPS_READER")
+
+
+def test_of_two_rules_that_fit_the_first_by_key_counts(spark):
+    rules = read_config(spark, "masking_rules").where("tag = 'PII_CONTACT'").withColumn("is_active", F.lit(True))
+    two = rules.withColumn("key", F.lit("a_first")).withColumn("mask_expression", F.lit("'hidden'"))
+    df = spark.createDataFrame([("jo@x.org",)], "email string")
+    for both in (rules.unionByName(two), two.unionByName(rules)):
+        gov = Governance.load(spark, masking_rules=both)
+        assert G.masked(spark, df, None, "REVOPS_READER", gov, {"email": ("PII_CONTACT", "email")}).first()[0] == "hidden"
