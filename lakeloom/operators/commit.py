@@ -9,7 +9,11 @@ orphans, never half a file. A retry uses a new batch id.
 
 from __future__ import annotations
 
+import threading
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -58,6 +62,10 @@ RUN_REPORT_SCHEMA = T.StructType([
     T.StructField("records_quarantined", T.LongType()),
 ])
 
+#: Seconds between the signs of life of a claim's holder, and without one after which the
+#: claim counts as left behind by a run that died.
+SIGN_OF_LIFE, LEFT_BEHIND = 30.0, 600.0
+
 SCHEMAS = {RAW: RAW_SCHEMA, QUARANTINE: QUARANTINE_SCHEMA, LOAD_LOG: LOAD_LOG_SCHEMA,
            RUN_REPORT: RUN_REPORT_SCHEMA}
 
@@ -85,6 +93,81 @@ def write_batch(df: DataFrame, warehouse: str, table: str, batch_id: str) -> Non
     df.write.mode("errorifexists").parquet(batch_path(warehouse, table, batch_id))
 
 
+class Claimed(RuntimeError):
+    """Another run holds the warehouse's claim."""
+
+
+class _ClaimFile:
+    """One file of the shared file system, made only if it is not there."""
+
+    def __init__(self, spark: SparkSession, warehouse: str):
+        self.jvm = spark._jvm
+        self.path = self.jvm.org.apache.hadoop.fs.Path(f"{warehouse.rstrip('/')}/_claims/load")
+        self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs.mkdirs(self.path.getParent())
+
+    def made(self) -> bool:
+        if self.fs.getScheme() == "file":  # its create() looks first and makes then
+            return self.jvm.java.io.File(self.path.toUri().getPath()).createNewFile()
+        try:
+            self.fs.create(self.path, False).close()
+        except Exception:  # noqa: BLE001 - whoever made it first has it; other faults show as well
+            if self.touched() is None:
+                raise
+            return False
+        return True
+
+    def touched(self) -> int | None:
+        """Time of the holder's last sign of life, in milliseconds; None without a claim."""
+        found = self.fs.globStatus(self.path)
+        return found[0].getModificationTime() if found else None
+
+    def sign(self) -> None:
+        self.fs.setTimes(self.path, int(time.time() * 1000), -1)
+
+    def cleared(self, seen: int) -> None:
+        """Put a claim aside that shows no sign of life since ``seen``."""
+        if self.touched() == seen:
+            aside = self.jvm.org.apache.hadoop.fs.Path(f"{self.path}-{uuid.uuid4().hex}")
+            if self.fs.rename(self.path, aside):
+                self.fs.delete(aside, False)
+
+
+@contextmanager
+def claim(spark: SparkSession, warehouse: str, wait: float = 3600.0) -> Iterator[None]:
+    """Hold the warehouse for one load, from the look at the load log to the commit, so two
+    runs over one scope don't both load its files: the later one waits up to ``wait``
+    seconds (then ``Claimed`` is raised) and finds them in the log.
+
+    The claim is a file that is made only if it is not there. Its holder renews the time
+    of the file; a claim without a sign of life for ``LEFT_BEHIND`` seconds comes from a
+    run that died and is put aside.
+    """
+    file, until = _ClaimFile(spark, warehouse), time.monotonic() + wait
+    while not file.made():
+        seen = file.touched()
+        if seen is not None and time.time() * 1000 - seen > LEFT_BEHIND * 1000:
+            file.cleared(seen)
+        elif time.monotonic() >= until:
+            raise Claimed(f"another run loads into {warehouse}")
+        else:
+            time.sleep(min(0.5, max(0.01, until - time.monotonic())))
+    done = threading.Event()
+
+    def renew() -> None:
+        while not done.wait(SIGN_OF_LIFE):
+            file.sign()
+
+    renewing = threading.Thread(target=renew, daemon=True)
+    renewing.start()
+    try:
+        yield
+    finally:
+        done.set()
+        renewing.join()
+        file.fs.delete(file.path, False)
+
+
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 

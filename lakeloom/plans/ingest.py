@@ -11,7 +11,7 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -160,7 +160,7 @@ def commit_contents(spark: SparkSession, spec: EventSpec, warehouse: str, source
 def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: str,
            scope: ScanScope | None = None, *, force: bool = False, strict: bool = False,
            run_ts: datetime | None = None, dry_run: bool = False, only: DataFrame | None = None,
-           persist_report: bool = False, split_arrays: bool = False) -> IngestResult:
+           persist_report: bool = False, split_arrays: bool = False, wait: float = 3600.0) -> IngestResult:
     """Load every file in scope that is not yet in the load log (all of them
     with ``force``) and return the per-file run report. ``dry_run`` reports
     what would be loaded and writes nothing. ``only`` (file_name) narrows the
@@ -173,7 +173,17 @@ def ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: s
     Spark's own index and no payload passes through the driver. ``split_arrays``
     reads each array by byte ranges (``sources/arrays.py``) instead of one row a file.
     ``persist_report`` also writes the report to the ``run_report`` table.
+
+    From the look at the load log to the commit the run holds the warehouse's claim, so
+    of two runs over one scope the later one waits (up to ``wait`` seconds) and skips what
+    the first has loaded.
     """
+    with nullcontext() if dry_run else C.claim(spark, warehouse, wait):
+        return _ingest(spark, spec, landing_root, warehouse, scope, force, strict, run_ts, dry_run, only, persist_report, split_arrays)
+
+
+def _ingest(spark: SparkSession, spec: EventSpec, landing_root: str, warehouse: str, scope: ScanScope | None, force: bool, strict: bool,
+            run_ts: datetime | None, dry_run: bool, only: DataFrame | None, persist_report: bool, split_arrays: bool) -> IngestResult:
     scope = scope or ScanScope.window(lookback_hours=spec.lookback_hours)
     run_ts = run_ts or C.run_timestamp()
     run_id = C.new_batch_id(run_ts)

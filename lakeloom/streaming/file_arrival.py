@@ -41,9 +41,7 @@ def ingest_stream(spark: SparkSession, spec: EventSpec, landing_root: str, wareh
         relative_path(file_uri_path(F.col("_metadata.file_path")), landing_root).alias("_filename"),
         F.col("value"))
 
-    def load_batch(batch: DataFrame, epoch_id: int) -> None:
-        if retry:
-            retry_failed(spark, spec, landing_root, warehouse)
+    def load_new(batch: DataFrame) -> None:
         todo = batch
         if not force:
             loaded = C.loaded_file_names(spark, warehouse)
@@ -60,6 +58,12 @@ def ingest_stream(spark: SparkSession, spec: EventSpec, landing_root: str, wareh
                 C.write_batch(report, warehouse, C.RUN_REPORT, batch_id)
         finally:
             todo.unpersist()
+
+    def load_batch(batch: DataFrame, epoch_id: int) -> None:
+        if retry:
+            retry_failed(spark, spec, landing_root, warehouse)
+        with C.claim(spark, warehouse):
+            load_new(batch)
         if staging:
             stage_events(spark, spec, warehouse, staging, stream=checkpoint, epoch=epoch_id)
 
