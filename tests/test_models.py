@@ -147,3 +147,11 @@ def test_a_late_older_version_does_not_revive_a_deleted_row(spark, tmp_root):
     first = STG.stg_opportunities_incremental(spark, f"{tmp_root}/snap", slices.where("slice = 's1'"), "slice")
     second = STG.stg_opportunities_incremental(spark, f"{tmp_root}/snap", slices, "slice")
     assert sorted(r.opportunity_id for r in first.collect()) == sorted(r.opportunity_id for r in second.collect()) == ["o1", "o2", "o3", "o4"]
+
+
+def test_versions_are_reduced_per_task_without_a_sorted_aggregate(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), (None, 3, "z"), (None, None, "w")], "k string, o int, v string")
+    out = latest_by_key(df, ["k"], ["o"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("WindowGroupLimit") == 2  # before and behind the shuffle
+    assert sorted(map(tuple, out.collect()), key=str) == [("a", 2, "y"), (None, 3, "z")]
