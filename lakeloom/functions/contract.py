@@ -25,27 +25,32 @@ def promoted(payload: Column, key: str) -> Column:
     return payload_field(payload, _path(key), "string")
 
 
-def missing_keys(payload: Column, required: tuple[str, ...]) -> Column:
-    """array<string> of the required keys that are missing, JSON null or "",
-    in contract order. Whitespace, 0 and false pass."""
+def missing_keys(values: dict[str, Column], required: tuple[str, ...]) -> Column:
+    """array<string> of the required keys whose promoted value is missing, JSON null
+    or "", in contract order. Whitespace, 0 and false pass."""
     checks = []
     for key in required:
-        v = promoted(payload, key)
+        v = values[key]
         checks.append(F.when(v.isNull() | (v == F.lit("")), F.lit(key)))
     return F.array_compact(F.array(*checks))
 
 
 def invalid_timestamp(payload: Column, key: str) -> Column:
     """True when the timestamp text is present but does not parse."""
-    v = promoted(payload, key)
+    return unparsable(promoted(payload, key))
+
+
+def unparsable(v: Column) -> Column:
+    """The same of a promoted value."""
     return v.isNotNull() & (v != F.lit("")) & v.try_cast("timestamp_ntz").isNull()
 
 
-def contract_reason(payload: Column, required: tuple[str, ...], timestamp_key: str | None) -> Column:
-    """Quarantine reason, or NULL for a valid record."""
-    miss = missing_keys(payload, required)
+def contract_reason(values: dict[str, Column], required: tuple[str, ...], timestamp_key: str | None) -> Column:
+    """Quarantine reason, or NULL for a valid record. ``values``: the promoted value of
+    each key, a column of its own, as it is used several times."""
+    miss = missing_keys(values, required)
     missing_text = F.when(F.size(miss) > 0, F.concat(F.lit(MISSING_PREFIX), F.array_join(miss, ", ")))
     parts = [missing_text]
     if timestamp_key:
-        parts.append(F.when(invalid_timestamp(payload, timestamp_key), F.lit(INVALID_TS_REASON)))
+        parts.append(F.when(unparsable(values[timestamp_key]), F.lit(INVALID_TS_REASON)))
     return F.nullif(F.concat_ws("; ", *parts), F.lit(""))

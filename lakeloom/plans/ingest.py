@@ -75,15 +75,19 @@ def raw_rows(spec: EventSpec, records: DataFrame, run_ts: datetime) -> DataFrame
     The full set lands, valid or not; ``_reason`` is NULL for valid records.
     """
     p = F.col("payload")
-    return records.select(
-        promoted(p, spec.key_field).alias("event_id"),
-        promoted(p, spec.account_field).alias("account_id"),
-        promoted(p, spec.timestamp_field).try_cast("timestamp_ntz").alias("event_timestamp"),
+    keys = dict.fromkeys([spec.key_field, spec.account_field, spec.timestamp_field, *spec.required])
+    # A projection of its own, so each key is looked up once a record.
+    found = records.select("payload", "_filename", "_pos", *[promoted(p, k).alias(f"_key_{n}") for n, k in enumerate(keys)])
+    values = {k: F.col(f"_key_{n}") for n, k in enumerate(keys)}
+    return found.select(
+        values[spec.key_field].alias("event_id"),
+        values[spec.account_field].alias("account_id"),
+        values[spec.timestamp_field].try_cast("timestamp_ntz").alias("event_timestamp"),
         p,
         F.col("_filename"),
         F.col("_pos").cast("int").alias("_pos"),
         C.ts_literal(run_ts).alias("_loaded_at"),
-        contract_reason(p, spec.required, spec.timestamp_field).alias("_reason"),
+        contract_reason(values, spec.required, spec.timestamp_field).alias("_reason"),
     )
 
 
@@ -95,8 +99,6 @@ class WholeFiles:
         self.spec, self.read, self.strict = spec, read, strict
 
     def _parsed(self, files: DataFrame) -> DataFrame:
-        # Parse once per file. The projection keeps ``from_json`` out of the
-        # filter the optimizer would otherwise infer for the explode.
         parsed = self.read(files).select("_filename", F.from_json("value", "array<variant>").alias("_records"))
         error = F.when(F.col("_records").isNull(), F.lit(NOT_AN_ARRAY))
         if self.strict:
@@ -106,8 +108,11 @@ class WholeFiles:
 
     def records(self, files: DataFrame) -> DataFrame:
         """(_filename, _pos, payload) of the files without an error."""
-        return (self._parsed(files).where(F.col("_file_error").isNull())
-                .select("_filename", F.posexplode("_records").alias("_pos", "payload")))
+        parsed = self._parsed(files)
+        # Each file is parsed once: filters on the error, and those that Spark infers for an
+        # inner explode, would be pushed down to the scan and parse it again for each.
+        records = F.when(F.col("_file_error").isNull(), F.col("_records")) if self.strict else F.col("_records")
+        return parsed.select("_filename", F.posexplode_outer(records).alias("_pos", "payload")).where("_pos IS NOT NULL")
 
     def errors(self, files: DataFrame) -> DataFrame:
         """(_filename, _file_error), the error null for ``[]``."""

@@ -11,7 +11,7 @@ They mark records; they never drop any: every input row reaches the output.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Telemetry injection rules (on events.event_id).
@@ -29,19 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def telemetry_records(events: DataFrame) -> DataFrame:
-    """One row per landed record: (dt, hr, ts, n, copy, json)."""
-    n = F.col("event_id")
+def _sent(events: DataFrame) -> DataFrame:
+    """One row per landed record: dt, hr, ts, n, copy and the columns its JSON is made of."""
     base = events.select(
-        n, "ts", "user_id", "event_type", "value",
+        F.col("event_id").alias("n"), "ts", "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"))
-    resend = (base.where(n % RESEND_MOD == 0)
+    resend = (base.where(F.col("n") % RESEND_MOD == 0)
               .withColumn("k", F.col("k") + RESEND_K_OFFSET)
               .withColumn("copy", F.lit(1))
               .withColumn("file_ts", F.col("ts") + F.expr("INTERVAL 1 HOUR")))
     original = base.withColumn("copy", F.lit(0)).withColumn("file_ts", F.col("ts"))
-    rec = original.unionByName(resend)
+    return original.unionByName(resend).select(
+        F.date_format("file_ts", "yyyy-MM-dd").alias("dt"), F.date_format("file_ts", "HH").alias("hr"),
+        "ts", "n", "copy", "user_id", "event_type", "value", "k")
+
 
+def _json() -> Column:
+    """The JSON of a row of ``_sent``."""
+    n = F.col("n")
     user = F.when(n % NULL_USER_MOD == 0, F.lit(None).cast("string")).otherwise(
         F.concat(F.lit("usr_"), F.col("user_id").cast("string")))
     account = F.when(n % EMPTY_ACCOUNT_MOD == 0, F.lit("")).otherwise(
@@ -60,11 +65,12 @@ def telemetry_records(events: DataFrame) -> DataFrame:
     opts = {"ignoreNullFields": "false"}
     with_ts = F.to_json(F.struct(*common, F.date_format("ts", TS_FORMAT).alias("event_timestamp"), *tail), opts)
     without_ts = F.to_json(F.struct(*common, *tail), opts)
-    json = F.when(n % NO_TIMESTAMP_MOD == 0, without_ts).otherwise(with_ts)
-    return rec.select(
-        F.date_format("file_ts", "yyyy-MM-dd").alias("dt"),
-        F.date_format("file_ts", "HH").alias("hr"),
-        "ts", n.alias("n"), "copy", json.alias("json"))
+    return F.when(n % NO_TIMESTAMP_MOD == 0, without_ts).otherwise(with_ts)
+
+
+def telemetry_records(events: DataFrame) -> DataFrame:
+    """One row per landed record: (dt, hr, ts, n, copy, json)."""
+    return _sent(events).select("dt", "hr", "ts", "n", "copy", _json().alias("json"))
 
 
 # Drift injected into the telemetry records (on events.event_id).
@@ -91,22 +97,23 @@ def write_landing(events: DataFrame, landing_root: str, rows_per_file: int = ROW
     numbered and written by several tasks, never by one. Records are numbered
     inside their chunk to place the array brackets.
     """
-    rec = telemetry_records(events)
+    landing_lines(events, rows_per_file, hourly).write.partitionBy("dt", "hr", "chunk").mode("errorifexists").text(landing_root)
+
+
+def landing_lines(events: DataFrame, rows_per_file: int = ROWS_PER_FILE, hourly: bool = True) -> DataFrame:
+    """(dt, hr, chunk, value): the lines of the landing files, each file's in order in one
+    partition. The JSON is made behind the one shuffle, which carries the plain columns."""
+    rec = _sent(events)
     if not hourly:
         rec = rec.withColumn("hr", F.lit("00"))
     per_hour = rec.groupBy("dt", "hr").agg(F.count(F.lit(1)).alias("_count"))
     rec = (rec.join(per_hour, ["dt", "hr"])
-              .withColumn("chunk", F.pmod(F.col("n"), F.ceil(F.col("_count") / F.lit(rows_per_file)))))
+              .withColumn("chunk", F.pmod(F.col("n"), F.ceil(F.col("_count") / F.lit(rows_per_file)))).drop("_count"))
     w = Window.partitionBy("dt", "hr", "chunk").orderBy("ts", "n", "copy")
-    first = F.row_number().over(w) == 1
-    last = F.lead("n").over(w).isNull()
-    line = F.concat(F.when(first, F.lit("[")).otherwise(F.lit(",")), F.col("json"),
-                    F.when(last, F.lit("]")).otherwise(F.lit("")))
-    ordered = rec.select("dt", "hr", "chunk", "ts", "n", "copy", line.alias("value"))
-    (ordered.repartition("dt", "hr", "chunk")
-        .sortWithinPartitions("dt", "hr", "chunk", "ts", "n", "copy")
-        .select("dt", "hr", "chunk", "value")
-        .write.partitionBy("dt", "hr", "chunk").mode("errorifexists").text(landing_root))
+    rec = rec.withColumn("_first", F.row_number().over(w) == 1).withColumn("_last", F.lead("copy").over(w).isNull())
+    line = F.concat(F.when(F.col("_first"), F.lit("[")).otherwise(F.lit(",")), _json(),
+                    F.when(F.col("_last"), F.lit("]")).otherwise(F.lit("")))
+    return rec.select("dt", "hr", "chunk", line.alias("value"))
 
 
 def put_file(spark: SparkSession, path: str, text: str) -> None:

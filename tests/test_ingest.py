@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import F_A, F_B, write_json
 from lakeloom.config import EVENTS
 from lakeloom.operators import commit as C
-from lakeloom.plans.ingest import NOT_AN_ARRAY, IngestError, ingest, retry_failed
+from lakeloom.plans.ingest import NOT_AN_ARRAY, IngestError, WholeFiles, ingest, raw_rows, retry_failed
 from lakeloom.plans.staging import stg_events
 from lakeloom.sources.landing import ScanScope
 
@@ -242,3 +242,18 @@ def test_run_with_only_empty_and_bad_files(spark, tmp_root):
     assert C.committed(spark, wh, C.RAW).count() == 0
     assert C.committed(spark, wh, C.LOAD_LOG).count() == 0
     assert res.totals().first().files_loaded == 0
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_a_file_is_parsed_once(spark, strict):
+    files = spark.createDataFrame([("a", "[1,2]"), ("b", "x"), ("c", "[]"), ("d", None)], "_filename string, value string")
+    records = WholeFiles(EVENTS["page_views"], lambda _: files, strict).records(files)
+    assert sorted((r._filename, r._pos) for r in records.collect()) == [("a", 0), ("a", 1)]
+    assert records._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
+def test_a_key_is_looked_up_once(spark):
+    spec = EVENTS["page_views"]
+    records = spark.sql("SELECT 'f' _filename, 0 _pos, parse_json(concat('{\"a\":', id, '}')) payload FROM range(2)")
+    plan = raw_rows(spec, records, C.run_timestamp())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get(") == len({spec.key_field, spec.account_field, spec.timestamp_field, *spec.required})

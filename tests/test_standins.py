@@ -21,3 +21,10 @@ def test_hot_hours_split_into_valid_files(spark, tmp_root):
     assert C.committed(spark, wh, C.RAW).count() == n  # whole result, nothing dropped
     biggest = C.committed(spark, wh, C.LOAD_LOG).agg(F.max("records_processed")).first()[0]
     assert biggest <= 6
+
+
+def test_lines_are_shuffled_once_and_made_behind_the_shuffle(spark):
+    plan = S.landing_lines(S.table(spark, SF, "events"))._jdf.queryExecution().executedPlan().toString()
+    rows = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "chunk#" in line]
+    assert len(rows) == 1
+    assert "to_json" not in plan[plan.index(rows[0]):]
