@@ -9,7 +9,7 @@ from lakeloom.config import EVENTS
 from lakeloom.functions.paths import plain_uri
 from lakeloom.operators import commit as C
 from lakeloom.plans.ingest import WholeFiles, ingest
-from lakeloom.sources.arrays import SplitArrays, read_fragments
+from lakeloom.sources.arrays import SplitArrays, groups, read_fragments
 from lakeloom.sources.landing import ScanScope, list_files, read_contents
 
 SPEC = EVENTS["page_views"]
@@ -94,3 +94,13 @@ def test_plain_uri(spark):
     from pyspark.sql import functions as F
     rows = spark.createDataFrame([("file:///a/b",), ("file:/a/b",), ("hdfs://nn/a",)], "p string").select(plain_uri(F.col("p"))).collect()
     assert [r[0] for r in rows] == ["file:/a/b", "file:/a/b", "hdfs://nn/a"]
+
+
+def test_the_texts_are_read_twice_whatever_the_number_of_sums(spark, tmp_root):
+    """Once to mark the fragments, once to join them; sums over the texts themselves would double the work for each."""
+    write_json(f"{tmp_root}/in/dt=2026-01-01/f.json", TEXTS["long"])
+    files = list_files(spark, f"{tmp_root}/in", ScanScope.backfill()).select("path", "_filename")
+    read = read_fragments(spark, f"{tmp_root}/in", ScanScope.backfill(), files)
+    plan = groups(read)._jdf.queryExecution().optimizedPlan().toString()
+    texts = [line for line in plan.splitlines() if "Relation [" in line and "value#" in line]
+    assert len(texts) == 1 and plan.count("aggregate(") == 0  # the marks are made by then
