@@ -169,7 +169,8 @@ def claim(spark: SparkSession, warehouse: str, wait: float = 3600.0) -> Iterator
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    """No rows, as a relation that Spark knows to be small (joins broadcast it)."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def is_missing_path(error: AnalysisException) -> bool:

@@ -18,7 +18,7 @@ from lakeloom.config import EventSpec
 from lakeloom.functions.contract import payload_field
 from lakeloom.functions.text import clean_string
 from lakeloom.operators import snapshot as SNAP
-from lakeloom.operators.commit import RAW, committed
+from lakeloom.operators.commit import RAW, committed, load_log, read_all
 from lakeloom.operators.dedup import latest_by_key
 
 # Dedup order for telemetry (newest load wins; file and position break ties).
@@ -114,7 +114,7 @@ def build_incremental(spark: SparkSession, snapshot_root: str, source: DataFrame
     ``source`` holds typed rows carrying the ``watermark`` column (a batch id). The new
     slice is the rows of all ids that no build has consumed, whatever their order, so a
     batch that began earlier and was committed later is not lost. Only the buckets its
-    keys fall into are rewritten. Because the newest-wins choice is associative, the
+    keys fall into get new files. Because the newest-wins choice is associative, the
     result equals a full rebuild. ``full_refresh`` rebuilds from the whole source (needed
     after a logic change). ``stream`` and ``epoch`` name the micro-batch that asks.
     """
@@ -123,6 +123,13 @@ def build_incremental(spark: SparkSession, snapshot_root: str, source: DataFrame
 
 def stage_events(spark: SparkSession, spec: EventSpec, warehouse: str, snapshot_root: str, *,
                  stream: str | None = None, epoch: int | None = None, full_refresh: bool = False) -> DataFrame:
-    """Event staging brought up to date with committed RAW."""
-    raw = typed_events(committed(spark, warehouse, RAW), spec)
+    """Event staging brought up to date with committed RAW; only the batches that no build
+    has consumed are opened, if they can be named."""
+    raw = committed(spark, warehouse, RAW)
+    if not full_refresh:
+        new = load_log(spark, warehouse).select("_batch_id").distinct().join(SNAP.consumed(spark, snapshot_root.rstrip("/"), "_batch_id"), "_batch_id", "left_anti")
+        named = [r[0] for r in new.limit(SNAP.NAMED_IDS + 1).collect()]
+        if len(named) <= SNAP.NAMED_IDS:
+            raw = read_all(spark, warehouse, RAW).where(F.col("_batch_id").isin(named))
+    raw = typed_events(raw, spec)
     return build_incremental(spark, snapshot_root, raw, [spec.key_field], list(EVENT_ORDER), full_refresh=full_refresh, stream=stream, epoch=epoch)

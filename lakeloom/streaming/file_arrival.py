@@ -52,7 +52,8 @@ def ingest_stream(spark: SparkSession, spec: EventSpec, landing_root: str, wareh
             if not todo.isEmpty():
                 run_ts = C.run_timestamp()
                 batch_id = C.new_batch_id(run_ts)
-                source = WholeFiles(spec, lambda files: todo.join(files.select("_filename"), "_filename", "left_semi"))
+                names = F.broadcast if max_files_per_trigger else lambda files: files  # bounded, so texts aren't shuffled
+                source = WholeFiles(spec, lambda files: todo.join(names(files.select("_filename")), "_filename", "left_semi"))
                 report = commit_contents(spark, spec, warehouse, source, run_ts=run_ts, batch_id=batch_id,
                                          attempted=todo.select("_filename", F.col("_filename").alias("path")))
                 C.write_batch(report, warehouse, C.RUN_REPORT, batch_id)

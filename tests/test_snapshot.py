@@ -60,3 +60,30 @@ def test_an_epoch_counts_once(spark, tmp_root):
     assert content(merge(spark, tmp_root, b, stream="s", epoch=0)) == [(1, "a")]
     assert content(merge(spark, tmp_root, b, stream="s", epoch=1)) == [(1, "a"), (2, "b")]
     assert content(merge(spark, tmp_root, rows(spark, (3, "c", 1, "b3")), stream="other", epoch=1)) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_a_merge_writes_its_own_rows_until_they_outgrow_the_bucket(spark, tmp_root):
+    written = lambda: spark.read.parquet(f"{tmp_root}/data").count()
+    source = rows(spark, *[(i, "old", 1, "b0") for i in range(5)])
+    merge(spark, tmp_root, source, buckets=1)
+    expected = {i: "old" for i in range(5)}
+    for n in (1, 2):
+        source = source.unionByName(rows(spark, *[(i, f"v{n}", 1 + n, f"b{n}") for i in range(n, n + 5)], (0, "late", 0, f"b{n}")))
+        expected |= {i: f"v{n}" for i in range(n, n + 5)}
+        assert content(merge(spark, tmp_root, source)) == sorted(expected.items())
+        assert written() == (5 + 6 if n == 1 else 5 + 2 * 6 + 7)  # the bucket again only when 12 rows came to 5
+    assert len(S.files_by_bucket(spark, tmp_root).collect()) == 1
+
+
+def test_many_small_merges_onto_a_snapshot_of_before(spark, tmp_root, monkeypatch):
+    monkeypatch.setattr(S, "INCREMENTS", 1)
+    monkeypatch.setattr(S, "NAMED_IDS", 0)
+    source = rows(spark, *[(i, "old", 1, "b0") for i in range(30)])
+    merge(spark, tmp_root, source, buckets=1)
+    version = S.commits(spark, tmp_root).first().version
+    for folder, kept in (("commits", ["version", "buckets", "full", "stream", "epoch"]), (f"touched/_version={version}", ["_bucket"])):
+        old = spark.read.parquet(f"{tmp_root}/{folder}").select(kept)  # written without keys, counts and marks
+        spark.createDataFrame(old.collect(), old.schema).write.mode("overwrite").parquet(f"{tmp_root}/{folder}")
+    for n in (1, 2, 3):
+        source = source.unionByName(rows(spark, (n, "new", 2, f"b{n}")))
+        assert content(merge(spark, tmp_root, source)) == [(i, "new" if 1 <= i <= n else "old") for i in range(30)]
