@@ -76,10 +76,8 @@ def test_staging_opens_only_new_batches(spark, sample_landing, tmp_root):
     wh, snap = f"{tmp_root}/wh", f"{tmp_root}/snap"
     ingest(spark, SPEC, sample_landing, wh, ScanScope.path("dt=2026-03-14/hr=20"))
     first = staged(STG.stage_events(spark, SPEC, wh, snap))
-    for f in C.committed(spark, wh, C.RAW).inputFiles():  # no reader gets through the first batch any more
-        with open("/" + f.removeprefix("file:").lstrip("/"), "r+b") as broken:
-            broken.write(b"x" * len(broken.read()))
-            broken.truncate(0)
+    for f in C.read_all(spark, wh, C.RAW).inputFiles():  # no reader gets through the first batch any more
+        with open("/" + f.removeprefix("file:").lstrip("/"), "wb") as broken:
             broken.write(b"none")
     ingest(spark, SPEC, sample_landing, wh, ScanScope.path("dt=2026-03-14/hr=21"))
     assert len(staged(STG.stage_events(spark, SPEC, wh, snap))) > len(first)
